@@ -74,21 +74,24 @@ def _walk(state: DataFrame, stops_at_splitters: bool, paths: bool) -> tuple[Data
     return state.where("done"), state.where("not done")
 
 
-def _loops(links: DataFrame, stuck: DataFrame, count: int) -> DataFrame:
+def _loops(links: DataFrame, stuck: DataFrame) -> DataFrame:
     """Root (least id of its loop) of each stuck node. ``links``: id, cur, low of the single steps."""
     step = links.join(stuck.select("id"), "id", "left_semi").select("id", "cur", "low")
-    far, reach = step, 1
-    while reach < count:  # then every walk has passed its tail and stands in its loop
+    far, held = step, -1
+    # the nodes that 2^r steps reach only ever get fewer; once as many as after half the steps, they are the loops
+    while (now := far.agg(F.count_distinct("cur")).first()[0]) != held:
+        held = now
         far = checkpoint(far.select("id", "cur").join(far.select(F.col("id").alias("cur"), F.col("cur").alias("c2")), "cur").select("id", F.col("c2").alias("cur")))
-        reach *= 2
     inside = far.select(F.col("cur").alias("id")).distinct()
     ring = checkpoint(step.join(inside, "id", "left_semi"))
-    size, reach = ring.count(), 1
-    while reach < size:
+    held, now = None, ring.agg(F.sum(F.col("low").cast("decimal(38,0)"))).first()[0]
+    # a least id that twice as many steps don't lower is that of the whole loop
+    while now != held:
+        held = now
         ring = checkpoint(
             ring.join(ring.select(F.col("id").alias("cur"), F.col("cur").alias("c2"), F.col("low").alias("l2")), "cur").select("id", F.col("c2").alias("cur"), F.least("low", "l2").alias("low"))
         )
-        reach *= 2
+        now = ring.agg(F.sum(F.col("low").cast("decimal(38,0)"))).first()[0]
     return far.select("id", "cur").join(ring.select(F.col("id").alias("cur"), F.col("low").alias("root")), "cur").select("id", "root")
 
 
@@ -113,12 +116,12 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     )
     one = checkpoint(one)
     arrived, lost = _walk(one, True, paths)
-    n_lost = lost.count()
+    n_lost = not lost.isEmpty()
     cols = ["id", "cur", "d", "low"] + (["way"] if paths else [])
     # the reduced graph: splitters and roots
     reduced = arrived.where(is_splitter(F.col("id")) | (F.col("d") == 0)).select(*cols, (F.col("d") == 0).alias("done"))
     if n_lost:  # loops without a splitter; a splitter that leads into one ends a walk
-        tails = checkpoint(_loops(one, lost, n_lost))
+        tails = checkpoint(_loops(one, lost))
         ends = tails.where(is_splitter(F.col("id"))).select("id", F.col("id").alias("cur"), F.lit(0).alias("d"), F.col("id").alias("low"), *([empty.alias("way")] if paths else []), F.lit(True).alias("done"))
         reduced = reduced.unionByName(ends)
     reduced = checkpoint(reduced)
@@ -127,9 +130,8 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     if n_lost:
         anchors = anchors.join(tails.select(F.col("id").alias("root"), F.col("root").alias("loop")), "root", "left")
         anchors = anchors.withColumn("above", F.when(F.col("loop").isNull(), F.col("above")).otherwise(-1)).withColumn("root", F.coalesce("loop", "root")).drop("loop")
-    n_ringed = ringed.count()
-    if n_ringed:
-        rings = _loops(reduced, ringed, n_ringed)
+    if not ringed.isEmpty():
+        rings = _loops(reduced, ringed)
         anchors = anchors.unionByName(rings.select(F.col("id").alias("cur"), "root", F.lit(-1).alias("above"), *([empty.alias("rest")] if paths else [])))
     depth = F.when(F.col("above") < 0, -1).otherwise(F.col("above") + F.col("d")).cast("int")
     out = arrived.join(anchors, "cur").select(
