@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import conversations, packing, sampling, tokenizer
+from threadloom.llm import conversations, neardup, packing, sampling, tokenizer
 from threadloom.session import table
 
 
@@ -28,6 +28,25 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.groupBy("stratum").agg(F.count("*").alias("records"), F.countDistinct("conversation").alias("conversations"))
 
 
+FIELDS = ("brand_reply", "customer_text")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for field in FIELDS:
+        pairs = neardup.pairs_of(*neardup.near_duplicates(table(spark, sf_dir, "exemplar"), "evidence_id", field))
+        parts.append(pairs.select(F.lit(field).alias("field_name"), F.col("a").alias("evidence_id_a"), F.col("b").alias("evidence_id_b")))
+    return parts[0].unionByName(parts[1])
+
+
+def p7_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = []
+    for field in FIELDS:
+        grouped = neardup.groups_of(*neardup.near_duplicates(table(spark, sf_dir, "exemplar"), "evidence_id", field))
+        parts.append(grouped.select(F.lit(field).alias("field_name"), F.col("id").alias("evidence_id"), "class_id", "group_id", "links"))
+    return parts[0].unionByName(parts[1])
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, sf_dir, "documents"))
 
@@ -67,11 +86,22 @@ f AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY message_id ORDER B
 u AS (SELECT *, CAST(('0x' || substr(md5('{sampling.SALT}|' || conversation), 1, 13)) AS BIGINT) / {float(1 << 52)} AS u FROM f)
 """
 
+_BARE = r"lower(regexp_replace(regexp_replace(regexp_replace({0}, 'https?://\S+|www\.\S+', ' ', 'g'), '@[\p{{L}}\p{{N}}_]+', ' ', 'g'), '[\s.!?]*[\^~*/][A-Z]{{1,3}}\s*$', ' '))"
+_WORDS = r"list_distinct(regexp_extract_all(" + _BARE + r", '[\p{{L}}\p{{N}}]+'))"
+
+
+def _near_sql(field: str) -> str:
+    return f"""SELECT '{field}' AS field_name, a.id AS evidence_id_a, b.id AS evidence_id_b FROM {field} a JOIN {field} b ON a.id < b.id
+WHERE len(a.w) >= 6 AND len(b.w) >= 6 AND 10 * len(list_intersect(a.w, b.w)) >= 7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))"""
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_outcomes": p4_outcomes,
     "p5_sample": p5_sample,
     "p5_rates": p5_rates,
+    "p7_found": p7_found,
+    "p7_groups": p7_groups,
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,
@@ -79,6 +109,9 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "p4_found": _TURNS + "SELECT CAST(conv AS VARCHAR) AS conversation_id, CAST(turn_no AS INT) AS turn_no, CAST(id AS VARCHAR) AS tweet_id, who AS speaker FROM n WHERE conv IN (SELECT conv FROM g) AND conv IN (SELECT conv FROM k)",
     "p5_sample": _SAMPLE + f"SELECT stratum, conversation AS conversation_id, message_id FROM u WHERE u < {sampling.RATE}",
+    "p7_found": "WITH "
+    + ", ".join(f"{x} AS (SELECT DISTINCT evidence_id AS id, {_WORDS.format(x)} AS w FROM exemplar WHERE evidence_id IS NOT NULL)" for x in FIELDS)
+    + " " + " UNION ".join(map(_near_sql, FIELDS)),
     "p5_rates": _SAMPLE
     + f""", h AS (SELECT *, CASE stratum WHEN 'random' THEN 0.2 WHEN 'policy_trap' THEN 0.5 ELSE {sampling.RATE} END AS rate FROM u)
 SELECT stratum, count(*) AS records, count(DISTINCT conversation) AS conversations FROM h WHERE conversation IN (SELECT conversation FROM h WHERE u < rate) GROUP BY stratum""",
