@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import conversations, neardup, packing, sampling, tokenizer
+from threadloom.llm import conversations, neardup, overlap, packing, reading, sampling, tokenizer
 from threadloom.session import table
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlaps(table(spark, sf_dir, "decision_record"), table(spark, sf_dir, "exemplar")).select("message_id", "evidence_id")
+
+
+def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, exemplars = table(spark, sf_dir, "decision_record"), table(spark, sf_dir, "exemplar")
+    return overlap.overlap_counts(overlap.overlaps(records, exemplars), records, exemplars)
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversations.rebuild(table(spark, sf_dir, "twcs"))
     return turns.select(F.col("conversation_id").cast("string").alias("conversation_id"), "turn_no", F.col("tweet_id").cast("string").alias("tweet_id"), "speaker")
@@ -60,6 +69,14 @@ def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill(p9_containers(spark, sf_dir), table(spark, sf_dir, "pack_capacity"))
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels")).select("doc_id", "band").distinct()
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reading.profile(reading.reading_levels(table(spark, sf_dir, "documents"), table(spark, sf_dir, "reading_labels")))
+
+
 _ID = r"try_cast(regexp_extract({0}, '^\s*(\d{{1,19}})(\.\d*)?\s*$', 1) AS BIGINT)"
 _MADE = r"""coalesce(try_cast(CASE WHEN regexp_matches(created_at, '^\s*\d{4}-\d\d-\d\d') THEN created_at END AS TIMESTAMPTZ), try_strptime(substr(trim(created_at), 5), '%b %d %H:%M:%S %z %Y'))"""
 _SEEN = r"[^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -96,6 +113,8 @@ WHERE len(a.w) >= 6 AND len(b.w) >= 6 AND 10 * len(list_intersect(a.w, b.w)) >=
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_counts": p3_counts,
     "p4_found": p4_found,
     "p4_outcomes": p4_outcomes,
     "p5_sample": p5_sample,
@@ -105,8 +124,22 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_containers": p9_containers,
     "p9_fill": p9_fill,
+    "p10_found": p10_found,
+    "p10_profile": p10_profile,
 }
+_OVERLAP = (
+    f"""WITH e AS (SELECT DISTINCT message_id, {_ID.format("conversation_id")} AS conv, {_WORDS.format("input_text_redacted")} AS w, stratum FROM decision_record WHERE message_id IS NOT NULL AND regexp_matches(stratum, '\\S')),
+x AS (SELECT DISTINCT evidence_id, {_ID.format("conversation_id")} AS conv, {_WORDS.format("customer_text")} AS w FROM exemplar WHERE evidence_id IS NOT NULL),
+p AS (SELECT message_id, evidence_id FROM e JOIN x ON e.conv = x.conv
+UNION SELECT message_id, evidence_id FROM e JOIN x ON len(e.w) >= 6 AND len(x.w) >= 6 AND 10 * len(list_intersect(e.w, x.w)) >= 7 * (len(e.w) + len(x.w) - len(list_intersect(e.w, x.w))))
+"""
+)
 ORACLES: dict[str, str] = {
+    "p3_found": _OVERLAP + "SELECT message_id, evidence_id FROM p",
+    "p3_counts": _OVERLAP
+    + r"""SELECT stratum, brand, count(*) AS pairs, count(DISTINCT message_id) AS records, count(DISTINCT evidence_id) AS exemplars FROM p
+JOIN (SELECT DISTINCT message_id, regexp_replace(lower(trim(stratum)), '[\s\-_]+', '_', 'g') AS stratum FROM e) USING (message_id)
+JOIN (SELECT DISTINCT evidence_id, CASE WHEN regexp_matches(brand, '\S') THEN brand END AS brand FROM exemplar) USING (evidence_id) GROUP BY ALL""",
     "p4_found": _TURNS + "SELECT CAST(conv AS VARCHAR) AS conversation_id, CAST(turn_no AS INT) AS turn_no, CAST(id AS VARCHAR) AS tweet_id, who AS speaker FROM n WHERE conv IN (SELECT conv FROM g) AND conv IN (SELECT conv FROM k)",
     "p5_sample": _SAMPLE + f"SELECT stratum, conversation AS conversation_id, message_id FROM u WHERE u < {sampling.RATE}",
     "p7_found": "WITH "
