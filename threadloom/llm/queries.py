@@ -5,10 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import conversations, neardup, overlap, packing, reading, sampling, tokenizer
+from threadloom.functions.keys import id_number
+from threadloom.llm import conversations, neardup, overlap, packing, pii, reading, sampling, tokenizer
 from threadloom.session import table
 
 
+def private_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of messages, redacted inputs and drafts in long form."""
+    tweets, records = table(spark, sf_dir, "twcs"), table(spark, sf_dir, "decision_record")
+    key = F.coalesce(id_number(F.col("tweet_id")).cast("string"), F.trim("tweet_id"))
+    return (
+        tweets.select(F.lit("twcs.text").alias("field_name"), key.alias("record_id"), "text")
+        .unionByName(records.select(F.lit("decision_record.input_text_redacted").alias("field_name"), F.col("message_id").alias("record_id"), F.col("input_text_redacted").alias("text")))
+        .unionByName(records.select(F.lit("decision_record.decision.reply_draft").alias("field_name"), F.col("message_id").alias("record_id"), F.col("decision.reply_draft").alias("text")))
+    )
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(private_texts(spark, sf_dir))
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact_texts(private_texts(spark, sf_dir)).distinct()
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlaps(table(spark, sf_dir, "decision_record"), table(spark, sf_dir, "exemplar")).select("message_id", "evidence_id")
 
@@ -113,6 +133,8 @@ WHERE len(a.w) >= 6 AND len(b.w) >= 6 AND 10 * len(list_intersect(a.w, b.w)) >=
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_redacted": p1_redacted,
     "p3_found": p3_found,
     "p3_counts": p3_counts,
     "p4_found": p4_found,
