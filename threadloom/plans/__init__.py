@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with its SQL where SQL can say it."""
 
-from threadloom.plans import general
+from threadloom.plans import general, texts
 
-QUERIES = {**general.QUERIES}
-ORACLES = {**general.ORACLES}
+QUERIES = {**general.QUERIES, **texts.QUERIES}
+ORACLES = {**general.ORACLES, **texts.ORACLES}
