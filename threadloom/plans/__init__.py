@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with its SQL where SQL can say it."""
 
-from threadloom.plans import general, texts
+from threadloom.plans import evaluation, general, texts
 
-QUERIES = {**general.QUERIES, **texts.QUERIES}
-ORACLES = {**general.ORACLES, **texts.ORACLES}
+QUERIES = {**general.QUERIES, **texts.QUERIES, **evaluation.QUERIES}
+ORACLES = {**general.ORACLES, **texts.ORACLES, **evaluation.ORACLES}
