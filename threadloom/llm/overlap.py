@@ -41,47 +41,51 @@ def _classes(rows: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
     return hashed.select("id", rep).distinct(), named.select(rep, "r.text", "r.words")
 
 
-@lru_cache(maxsize=64)
-def _upper(p1: int, p2: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions i < j of word pairs, the first within p1 words, the second within p2."""
-    i, j = np.triu_indices(p2, 1)
-    keep = i < p1
-    return i[keep].astype(np.int32), j[keep].astype(np.int32)
+@lru_cache(maxsize=256)
+def _upper(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
 
 
 class Shard:
-    """Automaton and pair index of some evaluation classes. Columns: rep, words (rare first), cut (prefix length less one word)."""
+    """Automaton and pair index of some evaluation classes.
+
+    Columns: rep, words (all), pos and word (rare-first prefix words that some training
+    text has too, with their positions), limit (positions below it may come first).
+    """
 
     def __init__(self, table: pa.Table):
         import ahocorasick
 
         self.rep = table.column("rep").to_pylist()
         self.words = table.column("words").combine_chunks()
-        cut = table.column("cut").to_numpy()
-        offsets = self.words.offsets.to_numpy()
-        flat = self.words.values.slice(offsets[0], offsets[-1] - offsets[0])
-        offsets = offsets - offsets[0]
-        self.n = np.diff(offsets).astype(np.int64)
-        take = np.minimum(cut + 1, self.n)
-        at = np.concatenate([np.arange(o, o + k) for o, k in zip(offsets[:-1], take, strict=True)]) if len(take) else np.zeros(0, np.int64)
-        coded = flat.take(pa.array(at)).dictionary_encode()
+        self.n = np.diff(self.words.offsets.to_numpy()).astype(np.int64)
+        word, pos = table.column("word").combine_chunks(), table.column("pos").combine_chunks()
+        offsets = word.offsets.to_numpy()
+        starts = offsets - offsets[0]
+        coded = word.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
         ids = coded.indices.to_numpy().astype(np.int64)
+        at = pos.values.slice(pos.offsets[0].as_py(), len(ids)).to_numpy().astype(np.int32)
+        limit = table.column("limit").to_numpy()
         self.automaton = ahocorasick.Automaton()
-        for k, word in enumerate(coded.dictionary.to_pylist()):
-            self.automaton.add_word(f" {word} ", (k, len(word) + 1))
+        for k, w in enumerate(coded.dictionary.to_pylist()):
+            self.automaton.add_word(f" {w} ", (k, len(w) + 1))
         if len(self.automaton):
             self.automaton.make_automaton()
-        starts = np.concatenate([[0], np.cumsum(take)])
+        # word pairs of all records that have equally many words at once
         keys, recs, lasts = [], [], []
-        for r in range(len(take)):
-            i, j = _upper(int(min(cut[r], self.n[r])), int(take[r]))
-            own = ids[starts[r] : starts[r + 1]]
-            keys.append(_pair(own[i], own[j]))
-            recs.append(np.full(len(i), r, np.int32))
-            lasts.append(j)
-        key = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+        size = np.diff(starts)
+        for m in np.unique(size[size > 1]).tolist():
+            own = np.flatnonzero(size == m)
+            i, j = np.triu_indices(m, 1)
+            first, second = starts[own][:, None] + i, starts[own][:, None] + j
+            ok = (at[first] < limit[own][:, None]).ravel()
+            keys.append(_pair(ids[first], ids[second]).ravel()[ok])
+            recs.append(np.repeat(own.astype(np.int32), len(i))[ok])
+            lasts.append(at[second].ravel()[ok])
+        none = np.zeros(0, np.int64)
+        key = np.concatenate(keys or [none])
         order = np.argsort(key, kind="stable")
-        self.key, self.rec, self.last = key[order], np.concatenate(recs or [np.zeros(0, np.int32)])[order], np.concatenate(lasts or [np.zeros(0, np.int32)])[order]
+        self.key, self.rec, self.last = key[order], np.concatenate(recs or [none])[order], np.concatenate(lasts or [none])[order]
 
     def record(self, r: int) -> list[str]:
         return self.words[r].as_py()
@@ -105,7 +109,7 @@ def scan(shard: Shard, texts: list[str], prefixes: list[list[str]], cuts: list[i
         if len(known) < 2:
             continue
         pos, ids = np.array([p for p, _ in known]), np.array([k for _, k in known], np.int64)
-        i, j = _upper(len(known), len(known))
+        i, j = _upper(len(known))
         keep = pos[i] < cuts[t]
         i, j = i[keep], j[keep]
         key = _pair(ids[i], ids[j])
@@ -139,17 +143,31 @@ def _verify(shard: Shard, r: int, t: int, text: str, num: int, den: int) -> Iter
     yield t, r, common, covered / max(1, len(text))
 
 
-def _read(uri: str) -> pa.Table:
-    fs, path = pafs.FileSystem.from_uri(uri)
-    return pq.read_table(path, filesystem=fs, columns=["rep", "words", "cut"], partitioning=None)
+_HELD: dict[str, Shard] = {}
+
+
+def _shard(uri: str) -> Shard | None:
+    """The shard of a folder in shared storage; a worker keeps the last one it used."""
+    if uri not in _HELD:
+        _HELD.clear()
+        fs, path = pafs.FileSystem.from_uri(uri)
+        try:
+            _HELD[uri] = Shard(pq.read_table(path, filesystem=fs, columns=["rep", "words", "pos", "word", "limit"], partitioning=None))
+        except FileNotFoundError:  # no record fell into it
+            return None
+    return _HELD[uri]
 
 
 def near_texts(evaluation: DataFrame, training: DataFrame, share: float = SHARE, shard_size: int = SHARD) -> DataFrame:
     """``(rep_e, rep_t, common, coverage)`` of near-same classes; both inputs ``(rep, text, words)``."""
-    every = rare_first(evaluation.select("rep", "words").unionByName(training.select("rep", "words")))
     n = F.size("words")
-    ordered = checkpoint(every.withColumn("cut", n - needed(n, share) + 1))
-    own = ordered.where("rep like 'e%'")
+    both = evaluation.select("rep", F.lit("").alias("text"), "words").unionByName(training.select("rep", "text", "words"))
+    ordered = checkpoint(rare_first(both).withColumn("limit", n - needed(n, share) + 1))
+    prefix = ordered.select("rep", "limit", F.posexplode(F.slice("words", 1, F.col("limit") + 1)).alias("pos", "word"))
+    known = prefix.where("rep like 't%'").select("word").distinct()
+    # only words that some training text has in its own prefix can match
+    kept = prefix.where("rep like 'e%'").join(known, "word", "left_semi").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("p")).where(F.size("p") > 1)
+    own = checkpoint(ordered.join(kept, "rep").select("rep", "words", "limit", F.col("p.pos").alias("pos"), F.col("p.word").alias("word")))
     shards = max(1, -(-own.count() // shard_size))
     folder = f"{own.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/shards-{uuid.uuid4().hex}"
     own.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(folder)
@@ -159,22 +177,16 @@ def near_texts(evaluation: DataFrame, training: DataFrame, share: float = SHARE,
         kept = [b for b in batches if b.num_rows]
         if not kept:
             return
-        reps = [x for b in kept for x in b.column(0).to_pylist()]
-        texts = [x for b in kept for x in b.column(1).to_pylist()]
-        prefixes = [x for b in kept for x in b.column(2).to_pylist()]
-        cuts = [x for b in kept for x in b.column(3).to_pylist()]
-        sizes = [x for b in kept for x in b.column(4).to_pylist()]
+        reps, texts, prefixes, cuts, sizes = ([x for b in kept for x in b.column(c).to_pylist()] for c in range(5))
         for uri in uris:
-            try:
-                shard = Shard(_read(uri))
-            except FileNotFoundError:  # no record fell into it
+            shard = _shard(uri)
+            if shard is None:
                 continue
             rows = [(shard.rep[r], reps[t], c, v) for t, r, c, v in scan(shard, texts, prefixes, cuts, sizes, share)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["rep_e", "rep_t", "common", "coverage"])
 
-    theirs = ordered.where("rep like 't%'").join(training.select("rep", "text"), "rep")
-    source = theirs.select("rep", "text", F.slice("words", 1, F.col("cut") + 1).alias("prefix"), "cut", F.size("words").alias("n"))
+    source = ordered.where("rep like 't%'").select("rep", "text", F.slice("words", 1, F.col("limit") + 1).alias("prefix"), "limit", F.size("words").alias("n"))
     return spread(source).mapInArrow(run, "rep_e string, rep_t string, common bigint, coverage double")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,13 +47,35 @@ def near(common: Column, n_a: Column, n_b: Column, share: float = SHARE) -> Colu
     return common * den >= (n_a + n_b - common) * num
 
 
+#: Words in at least one of so many sets are frequent.
+FREQUENT = 1000
+
+
+def frequent_words(sets: DataFrame) -> dict[str, int]:
+    """How many sets hold each frequent word, counted over every row.
+
+    At most ``FREQUENT`` times the mean set size words can be frequent, whatever the
+    number of sets, so that they fit the driver and every task.
+    """
+    n = sets.count()
+    often = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")).where((F.col("df") * FREQUENT >= n) & (F.col("df") > 1))
+    return {r["word"]: r["df"] for r in often.collect()}
+
+
 def rare_first(sets: DataFrame, key: str = "rep") -> DataFrame:
-    """``(key, words)`` with the words by rising frequency over all of ``sets``; ties by the word.
+    """``sets`` with the words rare first: those that aren't frequent, by name, then the frequent ones by rising frequency.
 
-    Frequencies are counted over every row. The join on words is salted by nothing but its
-    own size: a word of every text is as frequent as there are rows, and AQE splits it.
+    Any order that is the same for all sets keeps the filters complete; this one needs no
+    join of words, and so no shuffle.
     """
-    each = sets.select(key, F.explode("words").alias("word"))
-    often = each.groupBy("word").agg(F.count("*").alias("df"))
-    joined = each.join(often, "word").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
-    return joined.select(key, F.col("o.word").alias("words"))
+    shared = sets.sparkSession.sparkContext.broadcast(frequent_words(sets))  # bounded, see above
+    rest = [c for c in sets.columns if c != "words"]
+
+    def run(batches):
+        df = shared.value
+        for b in batches:
+            words = [sorted(w, key=lambda x: (df.get(x, 0), x)) for w in b.column(len(rest)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(words, pa.list_(pa.string()))], [*rest, "words"])
+
+    kinds = dict(sets.dtypes)
+    return sets.select(*rest, "words").mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in rest), "words array<string>"]))
