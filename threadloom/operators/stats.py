@@ -14,7 +14,7 @@ def ratio(a: Column, b: Column) -> Column:
 
 
 def wilson(k: Column, n: Column) -> tuple[Column, Column]:
-    """The score interval of k of n, within [0, 1]; null for n = 0."""
+    """The score interval of k of n, within [0, 1]; all of it for n = 0."""
     n_ = F.when(n > 0, n.cast("double"))
     p = k / n_
     mid, half = p + Z * Z / (2 * n_), Z * F.sqrt(p * (1 - p) / n_ + Z * Z / (4 * n_ * n_))
