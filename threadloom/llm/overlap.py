@@ -57,8 +57,13 @@ class Shard:
         import ahocorasick
 
         self.rep = table.column("rep").to_pylist()
-        self.words = table.column("words").combine_chunks()
-        self.n = np.diff(self.words.offsets.to_numpy()).astype(np.int64)
+        words = table.column("words").combine_chunks()
+        ends = words.offsets.to_numpy().astype(np.int64)
+        self.n, self.start = np.diff(ends), ends[:-1] - ends[0]
+        whole = words.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        self.vocabulary, self.word_ids = whole.dictionary.to_pylist(), whole.indices.to_numpy()
+        self.id_of = {w: k for k, w in enumerate(self.vocabulary)}
+        self.mark = np.zeros(len(self.vocabulary) + 1, bool)
         word, pos = table.column("word").combine_chunks(), table.column("pos").combine_chunks()
         offsets = word.offsets.to_numpy()
         starts = offsets - offsets[0]
@@ -66,9 +71,10 @@ class Shard:
         ids = coded.indices.to_numpy().astype(np.int64)
         at = pos.values.slice(pos.offsets[0].as_py(), len(ids)).to_numpy().astype(np.int32)
         limit = table.column("limit").to_numpy()
+        self.passage = {w: k for k, w in enumerate(coded.dictionary.to_pylist())}
         self.automaton = ahocorasick.Automaton()
-        for k, w in enumerate(coded.dictionary.to_pylist()):
-            self.automaton.add_word(f" {w} ", (k, len(w) + 1))
+        for w, k in self.passage.items():
+            self.automaton.add_word(f" {w} ", k)
         if len(self.automaton):
             self.automaton.make_automaton()
         # word pairs of all records that have equally many words at once
@@ -87,8 +93,19 @@ class Shard:
         order = np.argsort(key, kind="stable")
         self.key, self.rec, self.last = key[order], np.concatenate(recs or [none])[order], np.concatenate(lasts or [none])[order]
 
-    def record(self, r: int) -> list[str]:
-        return self.words[r].as_py()
+    def common(self, rec: np.ndarray, words: set[str]) -> np.ndarray:
+        """How many of ``words`` each record has."""
+        own = [k for w in words if (k := self.id_of.get(w)) is not None]
+        self.mark[own] = True
+        n = self.n[rec]
+        first = np.cumsum(n) - n
+        at = np.repeat(self.start[rec] - first, n) + np.arange(n.sum())
+        out = np.add.reduceat(self.mark[self.word_ids[at]].astype(np.int64), first)
+        self.mark[own] = False
+        return out
+
+    def record(self, r: int) -> set[str]:
+        return {self.vocabulary[k] for k in self.word_ids[self.start[r] : self.start[r] + self.n[r]].tolist()}
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -102,10 +119,10 @@ def scan(shard: Shard, texts: list[str], prefixes: list[list[str]], cuts: list[i
         return
     for t, text in enumerate(texts):
         padded = f" {text} "
-        hits = {padded[end - size + 1 : end]: k for end, (k, size) in shard.automaton.iter(padded)}
+        hits = {k for _, k in shard.automaton.iter(padded)}
         if len(hits) < 2:
             continue
-        known = [(p, hits[w]) for p, w in enumerate(prefixes[t]) if w in hits]
+        known = [(p, k) for p, w in enumerate(prefixes[t]) if (k := shard.passage.get(w)) in hits]
         if len(known) < 2:
             continue
         pos, ids = np.array([p for p, _ in known]), np.array([k for _, k in known], np.int64)
@@ -124,23 +141,25 @@ def scan(shard: Shard, texts: list[str], prefixes: list[list[str]], cuts: list[i
         n_a, n_b = shard.n[rec], sizes[t]
         ahead = 2 + np.minimum(n_a - shard.last[at], n_b - np.repeat(last, count)) - 1
         ok = (np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num) & (ahead * den >= (n_a + n_b - ahead) * num)
-        for r in np.unique(rec[ok]).tolist():
-            yield from _verify(shard, r, t, text, num, den)
-
-
-def _verify(shard: Shard, r: int, t: int, text: str, num: int, den: int) -> Iterator[tuple[int, int, int, float]]:
-    theirs = set(shard.record(r))
-    words = text.split(" ")
-    common = len(theirs & set(words))
-    if common * den < (len(theirs) + len(set(words)) - common) * num:
-        return
-    covered, at, open_ = 0, 0, -1  # matched words next to each other are one interval with the blank between them
-    for w in words:
+        if not ok.any():
+            continue
+        rec = np.unique(rec[ok])
+        words = set(text.split(" "))
+        common = shard.common(rec, words)
+        near = common * den >= (shard.n[rec] + len(words) - common) * num
+        for r, c in zip(rec[near].tolist(), common[near].tolist(), strict=True):
+            yield t, r, c, _coverage(text, shard.record(r))
+
+
+def _coverage(text: str, theirs: set[str]) -> float:
+    """Share of a text in merged intervals of matched words; neighbours are one interval with the blank between them."""
+    covered, at, end = 0, 0, -1
+    for w in text.split(" "):
         if w in theirs:
-            covered += len(w) + (open_ == at)
-            open_ = at + len(w) + 1
+            covered += len(w) + (end == at)
+            end = at + len(w) + 1
         at += len(w) + 1
-    yield t, r, common, covered / max(1, len(text))
+    return covered / max(1, len(text))
 
 
 _HELD: dict[str, Shard] = {}
