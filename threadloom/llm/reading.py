@@ -134,7 +134,7 @@ def document_features(docs: DataFrame) -> DataFrame:
             x = pa.array([features(t) for t in b.column(3).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], x], ["doc_id", "lang", "source", "x"])
 
-    long = F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)\s+", " ")), " ")) >= LEAST_WORDS
+    long = F.size(F.split(F.trim(F.regexp_replace("text", r"(?U)[\s\x1C-\x1F]+", " ")), " ")) >= LEAST_WORDS
     source = docs.select("doc_id", "lang", "source", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.lower(F.trim("lang")) == "en"))
     return spread(source.where(long)).mapInArrow(run, "doc_id bigint, lang string, source string, x array<double>")
 
