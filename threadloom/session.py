@@ -30,13 +30,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
-
-    The folder is that of the session. Only where the session has none and the
-    master is local is a temporary one set; a cluster without a shared folder is
-    an error, since a machine-local folder would not survive a lost executor.
-    """
+def _set_folder(df: DataFrame) -> None:
+    """Name the checkpoint folder where the session hasn't: that of ``spark.checkpoint.dir``, or a temporary one if the master is local."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
@@ -45,4 +40,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             shared = os.path.join(tempfile.gettempdir(), f"threadloom-{uuid.uuid4().hex}")
         sc.setCheckpointDir(shared)
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint in the folder of ``spark.checkpoint.dir``.
+
+    Only where the session has none and the master is local is a temporary one set; a
+    cluster without a shared folder is an error, since a machine-local folder would not
+    survive a lost executor.
+    """
+    _set_folder(df)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(df: DataFrame, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    _set_folder(df)
+    return f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
