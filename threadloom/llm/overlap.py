@@ -11,7 +11,6 @@ and keeps those whose whole word sets are near-same.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.keys import id_number, tidy_label
 from threadloom.llm.spread import spread
 from threadloom.llm.wordsets import LEAST_WORDS, SHARE, _ratio, needed, normal_text, rare_first
-from threadloom.session import checkpoint
+from threadloom.session import checkpoint, shared_folder
 
 #: Evaluation classes per shard, on average: bounds a task's automaton.
 SHARD = 65_536
@@ -162,6 +161,13 @@ def _coverage(text: str, theirs: set[str]) -> float:
     return covered / max(1, len(text))
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """Lineage cut by a table in the shared folder: long texts take a fraction of a checkpoint's room."""
+    folder = shared_folder(df, "rows")
+    df.write.parquet(folder)
+    return df.sparkSession.read.parquet(folder)
+
+
 _HELD: dict[str, Shard] = {}
 
 
@@ -181,14 +187,14 @@ def near_texts(evaluation: DataFrame, training: DataFrame, share: float = SHARE,
     """``(rep_e, rep_t, common, coverage)`` of near-same classes; both inputs ``(rep, text, words)``."""
     n = F.size("words")
     both = evaluation.select("rep", F.lit("").alias("text"), "words").unionByName(training.select("rep", "text", "words"))
-    ordered = checkpoint(rare_first(both).withColumn("limit", n - needed(n, share) + 1))
+    ordered = _stored(rare_first(both).withColumn("limit", n - needed(n, share) + 1))
     prefix = ordered.select("rep", "limit", F.posexplode(F.slice("words", 1, F.col("limit") + 1)).alias("pos", "word"))
     known = prefix.where("rep like 't%'").select("word").distinct()
     # only words that some training text has in its own prefix can match
     kept = prefix.where("rep like 'e%'").join(known, "word", "left_semi").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("p")).where(F.size("p") > 1)
-    own = checkpoint(ordered.join(kept, "rep").select("rep", "words", "limit", F.col("p.pos").alias("pos"), F.col("p.word").alias("word")))
-    shards = max(1, -(-own.count() // shard_size))
-    folder = f"{own.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/shards-{uuid.uuid4().hex}"
+    own = ordered.join(kept, "rep").select("rep", "words", "limit", F.col("p.pos").alias("pos"), F.col("p.word").alias("word"))
+    shards = max(1, -(-ordered.where("rep like 'e%'").count() // shard_size))
+    folder = shared_folder(own, "shards")
     own.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(folder)
     uris = [f"{folder}/shard={k}" for k in range(shards)]
 
@@ -223,7 +229,7 @@ def overlaps(records: DataFrame, exemplars: DataFrame, share: float = SHARE) ->
     talk = held.where("conv is not null").select("message_id", "conv").distinct().join(given.where("conv is not null").select("evidence_id", "conv").distinct(), "conv")
     members_e, classes_e = _classes(held.select(F.col("message_id").alias("id"), "text"), "e")
     members_t, classes_t = _classes(given.select(F.col("evidence_id").alias("id"), "text"), "t")
-    links = checkpoint(near_texts(classes_e, checkpoint(classes_t), share))
+    links = checkpoint(near_texts(classes_e, classes_t, share))
     near = (
         links.join(members_e.select(F.col("id").alias("message_id"), F.col("rep").alias("rep_e")), "rep_e")
         .join(members_t.select(F.col("id").alias("evidence_id"), F.col("rep").alias("rep_t")), "rep_t")
