@@ -290,6 +290,11 @@ def test_find_and_redact_tables(spark, field):
     assert pii.find(df.limit(0)).count() == 0
 
 
+def test_given_names_come_from_all_texts(spark):
+    df = spark.createDataFrame([(f"hello, my name is {g} {f}.",) for g in GIVEN for f in FAMILY], "text string")
+    assert pii.learn(df, 5, 5).given == {g.lower() for g in GIVEN}
+
+
 def test_every_span_passes_the_prefilter(spark):
     texts = ["a b 07700\xa0900703", "the old mill, plum lane, orton", "esmer todd here", "ms orton", "hi mara tenfield, thanks", "Tenfield, Mara here", "12 Oak Close", "x at y dot com", "a@b.co", "Calle Mayor 7"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")

@@ -36,8 +36,8 @@ BUCKETS = 1 << 17
 FIT_TEXTS = 4000
 #: Rows among which these are looked for.
 FIT_ROWS = 40_000
-#: Given names kept from the fit, to start lower-case spans without a phrase before them.
-GIVEN_NAMES = 2000
+#: Given names kept from the clear names of all texts at most; a name rarer than one in as many is left out.
+GIVEN_NAMES = 200_000
 
 #: Street words; those that are also everyday words only with a capital.
 _STREET = r"(?:(?i:street|road|rd|avenue|ave|lane|ln|boulevard|blvd|terrace|crescent|drive|mews)|(?:St|Dr|Close|Court|Ct|Place|Pl|Square|Sq|Way|Row|Hill|Gardens|Grove|CLOSE|COURT|PLACE|SQUARE|WAY|ROW|HILL|GARDENS|GROVE))"
@@ -170,11 +170,37 @@ def _h(x: str) -> int:
     return crc32(x.encode()) % BUCKETS
 
 
-def _given_form(given: frozenset[str]) -> re.Pattern | None:
-    return None if not given else re.compile(rf"(?i)(?<![\w@#/.+-])(?:{'|'.join(map(re.escape, sorted(given)))})\s(?:[a-z]\.?\s)?{_VAN}{_NAME}|(?<![\w@#/.+-]){_NAME},\s(?:{'|'.join(map(re.escape, sorted(given)))})\b")
+class _Given:
+    """Given names before or after another word, in any case; a text takes the same time however many names there are."""
 
+    _PAIR = re.compile(rf"(?i)(?<![\w@#/.+-])(?:(?P<first>{_NAME})\s(?:[a-z]\.?\s)?{_VAN}{_NAME}|{_NAME},\s(?P<last>{_NAME})\b)")
 
-def spans_of(text: str, given_form: re.Pattern | None = None) -> list[tuple[int, int, int, str]]:
+    def __init__(self, given: frozenset[str]):
+        self.given = given
+
+    def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        at = 0
+        while m := self._PAIR.search(text, at):
+            end = m.end() if m["first"] and m["first"].lower() in self.given else self._last(m) if m["last"] else None
+            if end is None:
+                at = m.start() + 1
+            else:
+                yield m.start(), end
+                at = end
+
+    def _last(self, m: re.Match) -> int | None:
+        """End of the given name after the comma: the word, or its first parts."""
+        for part in re.finditer(r"[^\W\d_]+", m["last"]):
+            if m["last"][: part.end()].lower() in self.given:
+                return m.start("last") + part.end()
+        return None
+
+
+def _given_form(given: frozenset[str]) -> _Given | None:
+    return _Given(given) if given else None
+
+
+def spans_of(text: str, given_form: _Given | None = None) -> list[tuple[int, int, int, str]]:
     """``(start, end, type, kind)`` of everything that could be personal data."""
     out, mails = [], []
     open_ = {k: rx.search(text) is not None for k, rx in _GATES.items()}
@@ -196,8 +222,7 @@ def spans_of(text: str, given_form: re.Pattern | None = None) -> list[tuple[int,
                 e = s + last.start()
             out.append((s, e, t, kind))
     if given_form is not None:
-        for m in given_form.finditer(text):
-            s, e = m.span()
+        for s, e in given_form.spans(text):
             if not any(s < y and x < e for x, y in mails) and not _never_name(text[s:e], "given"):
                 out.append((s, e, 5, "given"))
     return out
@@ -210,7 +235,7 @@ def _never_name(span: str, kind: str) -> bool:
     return any(w in _PLAIN for w in words)
 
 
-def lattice(text: str, given: frozenset[str] = frozenset(), given_form: re.Pattern | None = None) -> Lattice | None:
+def lattice(text: str, given: frozenset[str] = frozenset(), given_form: _Given | None = None) -> Lattice | None:
     spans = spans_of(text, given_form)
     if not spans:
         return None
@@ -309,17 +334,43 @@ def rule(text: str, s: int, e: int, t: int, kind: str, given: frozenset[str]) ->
     return 0
 
 
+#: In Java's syntax; a text without it has no clear name.
+_NAMED_SIGN = r"(?iu)my name is|name of|name:|ask for|booking under|account holder|card says|signed for by|spoke to|spoke with|regards|sincerely|\bcc"
+
+
+def clear_given(text: str) -> set[str]:
+    """Words that stand first in the clear names of mixed case."""
+    out = set()
+    for s, e, t, kind in spans_of(text):
+        if t == 5 and kind in ("pair", "told", "reversed", "here") and _NAMED.search(text[max(0, s - 40) : s]) and not _PRODUCT.search(text[e : e + 30]):
+            words = re.findall(rf"{_CAP}", text[s:e])
+            if len(words) >= 2 and not text[s:e].isupper():
+                out.add((words[-1] if "," in text[s:e] else words[0]).lower())
+    return {w for w in out if w not in _PLAIN and not re.fullmatch(r"(?:mr|mrs|ms|miss|dr|prof|sir|herr|frau)", w)}
+
+
+def _common(counts: list[tuple[str, int]]) -> frozenset[str]:
+    least = max(2, sum(n for _, n in counts) / GIVEN_NAMES)
+    return frozenset(w for w, n in counts if n >= least)
+
+
 def given_names(texts: list[str]) -> frozenset[str]:
-    """Words that stand first in clear names of mixed case at least twice."""
-    seen: Counter[str] = Counter()
-    for text in texts:
-        for s, e, t, kind in spans_of(text):
-            if t == 5 and kind in ("pair", "told", "reversed", "here") and _NAMED.search(text[max(0, s - 40) : s]) and not _PRODUCT.search(text[e : e + 30]):
-                words = re.findall(rf"{_CAP}", text[s:e])
-                if len(words) >= 2 and not text[s:e].isupper():
-                    w = words[-1] if "," in text[s:e] else words[0]
-                    seen[w.lower()] += 1
-    return frozenset(w for w, c in seen.most_common(GIVEN_NAMES) if c >= 2 and w not in _PLAIN and not re.fullmatch(r"(?:mr|mrs|ms|miss|dr|prof|sir|herr|frau)", w))
+    """The given names of clear names of at least two distinct texts."""
+    return _common(Counter(w for text in dict.fromkeys(texts) for w in clear_given(text)).most_common(GIVEN_NAMES))
+
+
+def all_given_names(texts: DataFrame) -> frozenset[str]:
+    """``given_names`` of every distinct text of ``texts(text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(w, h) for h, text in zip(*(c.to_pylist() for c in b.columns), strict=True) for w in clear_given(text)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64()), strict=True)], ["name", "h"])
+
+    cued = texts.where(F.col("text").rlike(_NAMED_SIGN)).select(F.xxhash64("text").alias("h"), "text")
+    counts = cued.mapInArrow(run, "name string, h bigint").distinct().groupBy("name").agg(F.count("*").alias("n"))
+    return _common([tuple(r) for r in counts.where("n > 1").orderBy(F.desc("n"), "name").limit(GIVEN_NAMES).collect()])
 
 
 # -- the field ---------------------------------------------------------------------------------------------------
@@ -426,9 +477,12 @@ def beliefs(f: Field, b: Batch, allowed: np.ndarray, rounds: int = 3) -> tuple[n
     return node, pair, both
 
 
-def fit(texts: list[str], epochs: int = 8, rate: float = 0.15, ridge: float = 1e-4, chunk: int = 400) -> Field:
-    """Weights that make the labels of the rules likely; silent spans are summed out. Adagrad on the texts in their order."""
-    given = given_names(texts)
+def fit(texts: list[str], epochs: int = 8, rate: float = 0.15, ridge: float = 1e-4, chunk: int = 400, given: frozenset[str] | None = None) -> Field:
+    """Weights that make the labels of the rules likely; silent spans are summed out. Adagrad on the texts in their order.
+
+    ``given`` are the given names of the corpus; without them, those of ``texts``.
+    """
+    given = given_names(texts) if given is None else given
     form = _given_form(given)
     items, marks = [], []
     for text in texts:
@@ -537,8 +591,12 @@ _FIELDS: dict[tuple, Field] = {}
 
 
 def learn(texts: DataFrame, fit_rows: int = FIT_ROWS, fit_texts: int = FIT_TEXTS) -> Field:
-    """The field fitted to at most ``fit_rows`` rows of ``texts(text)``, those with the least hash of the text (all, where there are fewer)."""
+    """The field fitted to at most ``fit_rows`` rows of ``texts(text)``, those with the least hash of the text (all, where there are fewer).
+
+    Only its weights rest on these; the given names are those of all texts.
+    """
     texts = texts.select("text").where("text is not null")
+    given = all_given_names(texts)
     # only about as many rows as are wanted leave their partitions; the least hashes are among them
     share = min(1.0, 2 * fit_rows / max(1, texts.count()))
     h = F.xxhash64("text")
@@ -548,10 +606,10 @@ def learn(texts: DataFrame, fit_rows: int = FIT_ROWS, fit_texts: int = FIT_TEXTS
     for r in rows:
         if len(held) < fit_texts and spans_of(r["text"]):
             held.append(r["text"])
-    key = (len(held), crc32("\n".join(held).encode()))
+    key = (len(held), crc32("\n".join(held).encode()), crc32("\n".join(sorted(given)).encode()))
     if key not in _FIELDS:
         _FIELDS.clear()
-        _FIELDS[key] = fit(held)
+        _FIELDS[key] = fit(held, given=given)
     return _FIELDS[key]
 
 
