@@ -48,17 +48,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024, slice_: int = 8192) -> DataFrame:
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024, slice_: int = 8192, within: str | None = None) -> DataFrame:
     """``(q, id, score, rank)``: the k nearest of all ``vectors(id, v)`` to each of ``queries(q, v)`` by dot product, not itself.
 
     A stated query set against all rows in blocks: queries lie in blocks of about
     ``block``, rows in slices of about ``slice_``; a task multiplies one block with one
-    slice and keeps k per query, so no task holds more than one of each.
+    slice and keeps k per query, so no task holds more than one of each. With ``within``,
+    a column of both, a query meets only rows of its own value, all of them; null has none.
     """
-    n, m = vectors.count(), queries.count()
+    by = [] if within is None else [within]
+    for c in by:
+        vectors, queries = vectors.where(F.col(c).isNotNull()), queries.where(F.col(c).isNotNull())
+    # the largest group of a column sets the number of slices of each
+    n, m = (x.groupBy(*by).count().agg(F.max("count")).first()[0] or 0 for x in (vectors, queries))
     slices, blocks = max(1, -(-n // slice_)), max(1, -(-m // block))
-    rows = vectors.select("id", "v").withColumn("s", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    asks = queries.select("q", "v").withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")))
+    rows = vectors.select("id", "v", *by).withColumn("s", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    asks = queries.select("q", "v", *by).withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")))
 
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
         empty = pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
@@ -72,7 +77,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024
         keep = np.isfinite(s)
         return pa.table({"q": q[keep], "id": i[keep], "score": s[keep]})
 
-    best = rows.groupBy("s", "b").cogroup(asks.groupBy("s", "b")).applyInArrow(multiply, "q bigint, id bigint, score double")
+    best = rows.groupBy("s", "b", *by).cogroup(asks.groupBy("s", "b", *by)).applyInArrow(multiply, "q bigint, id bigint, score double")
     return top(best, "q", "score", F.col("id"), k)
 
 

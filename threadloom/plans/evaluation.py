@@ -175,6 +175,14 @@ def hybrid_fusion(spark, sf_dir):
     return R.reciprocal_ranks(near.select("q", "id", "rank").unionByName(own.select("q", "id", "rank")), "q", "id").where("fused_rank <= 10").select("q", "id", "score", "fused_rank")
 
 
+def class_fusion(spark, sf_dir):
+    """Dense ranks fused with those among all rows of the query's own class, each list 50 long."""
+    v = _vectors(spark, sf_dir)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("q"), "v", "label")
+    near, own = R.dense_topk(v, q, 50), R.dense_topk(v, q, 50, within="label")
+    return R.reciprocal_ranks(near.select("q", "id", "rank").unionByName(own.select("q", "id", "rank")), "q", "id").where("fused_rank <= 10").select("q", "id", "score", "fused_rank")
+
+
 def mmr(spark, sf_dir):
     v = _vectors(spark, sf_dir)
     near = R.dense_topk(v, v.where("id % 50 = 0").select(F.col("id").alias("q"), "v"), 10)
@@ -327,7 +335,7 @@ def action_confusion(spark, sf_dir):
 
 _NAMES = (
     "sample_md5 salted_order_topn stratified_buckets dedupe_normalised content_hash cache_latest cache_miss heldout_antijoin rejoin_coverage invariants leak_scan run_report layer_counts evidence_support error_groups "
-    "paired_ids bm25_topk dense_topk hybrid_fusion mmr ir_metrics one_nn nearest_centroid wilson grounding_failures per_class_f1 macro_f1 confusion_top majority mcnemar holm kappa risk_coverage calibration brier "
+    "paired_ids bm25_topk dense_topk hybrid_fusion class_fusion mmr ir_metrics one_nn nearest_centroid wilson grounding_failures per_class_f1 macro_f1 confusion_top majority mcnemar holm kappa risk_coverage calibration brier "
     "bootstrap_ci tau_sweep tau_choice class_thresholds prior_draw rules_fit rules_predict index_stats action_confusion"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -422,6 +430,9 @@ SELECT q, evidence_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY sc
     "dense_topk": f"WITH {_VEC} SELECT q, id, score, CAST(rank AS INT) AS rank FROM near WHERE rank <= 10",
     "hybrid_fusion": f"""WITH {_VEC}, n50 AS (SELECT near.*, a.label = b.label AS own FROM near JOIN v a ON a.id = near.id JOIN v b ON b.id = q WHERE rank <= 50), o AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY rank) AS rank FROM n50 WHERE own),
 f AS (SELECT q, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT q, id, rank FROM n50 UNION ALL SELECT * FROM o) GROUP BY ALL)
+SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, CAST(id AS VARCHAR)) AS INT) AS fused_rank FROM f QUALIFY fused_rank <= 10""",
+    "class_fusion": f"""WITH {_VEC}, o AS (SELECT near.q, near.id, row_number() OVER (PARTITION BY near.q ORDER BY near.score DESC, near.id) AS rank FROM near JOIN v a ON a.id = near.id JOIN v b ON b.id = near.q WHERE a.label = b.label),
+f AS (SELECT q, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT q, id, rank FROM near UNION ALL SELECT * FROM o) WHERE rank <= 50 GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, CAST(id AS VARCHAR)) AS INT) AS fused_rank FROM f QUALIFY fused_rank <= 10""",
     "ir_metrics": f"""WITH {_VEC}, rel AS (SELECT a.id AS q, b.id FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id WHERE a.id % 50 = 0), c AS (SELECT q, count(*) AS r FROM rel GROUP BY q),
 h AS (SELECT near.q, rank, rel.id IS NOT NULL AS hit FROM near LEFT JOIN rel ON rel.q = near.q AND rel.id = near.id WHERE rank <= 10)
