@@ -295,6 +295,16 @@ def test_given_names_come_from_all_texts(spark):
     assert pii.learn(df, 5, 5).given == {g.lower() for g in GIVEN}
 
 
+def test_copies_of_a_text_are_one_in_the_sample(spark, monkeypatch):
+    texts = [f"ring +44 7700 900{i} please" for i in range(100, 140)]
+    df = spark.createDataFrame([(t,) for t in texts for _ in range(50)], "text string")
+    held = []
+    monkeypatch.setattr(pii, "fit", lambda x, given: held.extend(x))
+    monkeypatch.setattr(pii, "_FIELDS", {})
+    pii.learn(df, 30, 20)
+    assert len(held) == len(set(held)) == 20
+
+
 def test_every_span_passes_the_prefilter(spark):
     texts = ["a b 07700\xa0900703", "the old mill, plum lane, orton", "esmer todd here", "ms orton", "hi mara tenfield, thanks", "Tenfield, Mara here", "12 Oak Close", "x at y dot com", "a@b.co", "Calle Mayor 7"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")

@@ -34,7 +34,7 @@ LABELS = 1 + len(TYPES)
 BUCKETS = 1 << 17
 #: Texts with a possible span that the field is fitted to at most: those with the least hash.
 FIT_TEXTS = 4000
-#: Rows among which these are looked for.
+#: Distinct texts among which these are looked for.
 FIT_ROWS = 40_000
 #: Given names kept from the clear names of all texts at most; a name rarer than one in as many is left out.
 GIVEN_NAMES = 200_000
@@ -591,16 +591,16 @@ _FIELDS: dict[tuple, Field] = {}
 
 
 def learn(texts: DataFrame, fit_rows: int = FIT_ROWS, fit_texts: int = FIT_TEXTS) -> Field:
-    """The field fitted to at most ``fit_rows`` rows of ``texts(text)``, those with the least hash of the text (all, where there are fewer).
+    """The field fitted to at most ``fit_rows`` distinct texts of ``texts(text)``, those with the least hash (all, where there are fewer).
 
     Only its weights rest on these; the given names are those of all texts.
     """
     texts = texts.select("text").where("text is not null")
     given = all_given_names(texts)
-    # only about as many rows as are wanted leave their partitions; the least hashes are among them
-    share = min(1.0, 2 * fit_rows / max(1, texts.count()))
+    # only about as many texts as are wanted leave their partitions, copies of one as one; the least hashes are among them
     h = F.xxhash64("text")
-    near = texts.where(F.pmod(h, F.lit(1 << 20)) <= int(share * (1 << 20)))
+    share = min(1.0, 2 * fit_rows / max(1, texts.agg(F.approx_count_distinct(h, 0.02)).first()[0]))
+    near = texts.where(F.pmod(h, F.lit(1 << 20)) <= int(share * (1 << 20))).distinct()
     rows = near.orderBy(F.pmod(h, F.lit(1 << 20)), h, "text").limit(fit_rows).where(possible(F.col("text"))).collect()
     held = []
     for r in rows:
