@@ -312,6 +312,21 @@ def test_every_span_passes_the_prefilter(spark):
     assert all(t in passed for t in texts if pii.spans_of(t))
 
 
+def test_spans_of_known_names_and_mixed_numbers_pass_the_prefilter(spark):
+    given = frozenset({"anna", "jean-luc"})
+    form = pii._given_form(given)
+    texts = ["parcel for anna smith", "smith, anna has it", "to jean-luc vari", "for J. van Dyke today", "id C01X00T47 ok", "id AB1C2D3E4-5 ok", "anna-lena orton came"]
+    df = spark.createDataFrame([(t,) for t in [*texts, "parcel for annabel smith"]], "t string")
+    passed = {r.t for r in df.where(pii.possible(df.t, given)).collect()}
+    assert [t for t in texts if pii.spans_of(t, form)] == texts[:-1] and passed >= set(texts[:-1])
+    assert "parcel for annabel smith" not in passed
+
+
+def test_lower_case_name_without_a_phrase_is_found(spark, field):
+    df = spark.createDataFrame([("f", "1", "parcel for runa marwick")], "field_name string, record_id string, text string")
+    assert [r.pii_type for r in pii.find(df, field).collect()] == [k for _, k in found(field, "parcel for runa marwick")] == ["person_name"]
+
+
 # -- reading level -----------------------------------------------------------------------------------------------
 
 LEVELS = {

@@ -101,6 +101,7 @@ _GATES = {
     "here": re.compile(r"\shere\b"),
     2: re.compile(r"\d(?:[\s./()–-]{0,2}\d){6}"),
     3: re.compile(r"\d(?:[\s.-]?\d){4}"),
+    "mixed": re.compile(r"\d(?:[A-Z-]*\d){4}"),
     4: re.compile(rf"\b{_STREET}\b|\b(?:close|court|place|way)\b"),
     "one_case": re.compile(rf"\d[A-Za-z]?\s+[^\W\d_]+(?:\s[^\W\d_]+)?\s(?i:{_STREET})"),
 }
@@ -110,9 +111,10 @@ _UP, _LET = r"[A-ZÀ-Þ]", r"[A-Za-zÀ-ɏ]"
 #: Cheap tests in Java's syntax; a text with a possible span passes one of them.
 _SIGNS = (
     rf"\b{_UP}{_LET}+(?:[-'’]{_LET}+)*{_WS}(?:{_UP}\.?{_WS})?(?:(?:van|von|de|der|den|di|da|la|le|bin|al|VAN|VON|DE){_WS})*{_UP}{_LET}",
-    rf"\b{_UP}\.{_WS}?{_UP}",
+    rf"\b{_UP}\.{_WS}?(?:(?:van|von|de|der|den|di|da|la|le|bin|al|VAN|VON|DE){_WS})*{_UP}",
     rf"(?<!, )(?<!and )\b{_UP}{_LET}+(?:[-'’]{_LET}+)*,[ ]{_UP}{_LET}+(?:[-'’]{_LET}+)*(?:{_WS}{_UP}\.)?(?![\w'’-]*[\w,]|{_WS}(?:and|or|plus|but|in{_WS}{_UP}|stay|remain|run|\d))",
     rf"\d(?:(?:{_WS}|[./()–-]){{0,2}}\d){{6}}|[A-Z]{{2}}[ -]?\d\d|[A-Z]\d{{5}}|[A-Z9]{{5}}\d{{6}}",
+    r"(?<![\w#@/-])(?=[A-Z0-9-]{7})(?=[0-9-]*[A-Z])(?:[A-Z-]*\d){5}",
 )
 _NUMBERED = r"(?:street|road|rd|avenue|ave|lane|ln|boulevard|blvd|terrace|crescent|drive|mews|close|court|place|way|st|dr|ct|pl|square|sq|row|hill|gardens|grove)"
 _SIGNS += tuple(
@@ -129,11 +131,18 @@ _SIGNS += tuple(
 )
 
 
-def possible(text: Column) -> Column:
-    """Whether a text may hold a span: searches in the JVM, so that most texts never reach Python."""
+def possible(text: Column, given: frozenset[str] = frozenset()) -> Column:
+    """Whether a text may hold a span: searches in the JVM, so that most texts never reach Python.
+
+    A text may also hold one of the ``given`` names without a phrase or capitals; its words are looked up in a set.
+    """
     test = text.rlike(_SIGNS[0])
     for sign in _SIGNS[1:]:
         test = test | text.rlike(sign)
+    firsts = sorted(_firsts(given))
+    if firsts:
+        words = F.split(F.lower(text), r"[^\p{L}\p{Nl}\p{No}]+")
+        test = test | F.exists(words, lambda w: w.isin(firsts))
     return F.coalesce(test, F.lit(False))
 
 
@@ -170,15 +179,25 @@ def _h(x: str) -> int:
     return crc32(x.encode()) % BUCKETS
 
 
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def _firsts(given: frozenset[str]) -> set[str]:
+    """The first parts of names like jean-luc."""
+    return {_LETTERS.search(w).group() for w in given}
+
+
 class _Given:
     """Given names before or after another word, in any case; a text takes the same time however many names there are."""
 
     _PAIR = re.compile(rf"(?i)(?<![\w@#/.+-])(?:(?P<first>{_NAME})\s(?:[a-z]\.?\s)?{_VAN}{_NAME}|{_NAME},\s(?P<last>{_NAME})\b)")
 
     def __init__(self, given: frozenset[str]):
-        self.given = given
+        self.given, self.firsts = given, _firsts(given)
 
     def spans(self, text: str) -> Iterator[tuple[int, int]]:
+        if self.firsts.isdisjoint(_LETTERS.findall(text.lower())):
+            return
         at = 0
         while m := self._PAIR.search(text, at):
             end = m.end() if m["first"] and m["first"].lower() in self.given else self._last(m) if m["last"] else None
@@ -190,7 +209,7 @@ class _Given:
 
     def _last(self, m: re.Match) -> int | None:
         """End of the given name after the comma: the word, or its first parts."""
-        for part in re.finditer(r"[^\W\d_]+", m["last"]):
+        for part in _LETTERS.finditer(m["last"]):
             if m["last"][: part.end()].lower() in self.given:
                 return m.start("last") + part.end()
         return None
@@ -334,8 +353,8 @@ def rule(text: str, s: int, e: int, t: int, kind: str, given: frozenset[str]) ->
     return 0
 
 
-#: In Java's syntax; a text without it has no clear name.
-_NAMED_SIGN = r"(?iu)my name is|name of|name:|ask for|booking under|account holder|card says|signed for by|spoke to|spoke with|regards|sincerely|\bcc"
+#: A text with neither one of these nor a word that begins with cc has no clear name.
+_NAMED_SIGNS = ("my name is", "name of", "name:", "ask for", "booking under", "account holder", "card says", "signed for by", "spoke to", "spoke with", "regards", "sincerely")
 
 
 def clear_given(text: str) -> set[str]:
@@ -368,7 +387,14 @@ def all_given_names(texts: DataFrame) -> frozenset[str]:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), (pa.string(), pa.int64()), strict=True)], ["name", "h"])
 
-    cued = texts.where(F.col("text").rlike(_NAMED_SIGN)).select(F.xxhash64("text").alias("h"), "text")
+    def cue(low: Column) -> Column:
+        test = low.contains("cc") & low.rlike(r"(?<![a-z0-9_])cc")
+        for sign in _NAMED_SIGNS:
+            test = test | low.contains(sign)
+        return test
+
+    cued = texts.where(F.exists(F.array(F.lower("text")), cue))  # a filter would lower the text for each sign
+    cued = cued.select(F.xxhash64("text").alias("h"), "text")
     counts = cued.mapInArrow(run, "name string, h bigint").distinct().groupBy("name").agg(F.count("*").alias("n"))
     return _common([tuple(r) for r in counts.where("n > 1").orderBy(F.desc("n"), "name").limit(GIVEN_NAMES).collect()])
 
@@ -601,10 +627,10 @@ def learn(texts: DataFrame, fit_rows: int = FIT_ROWS, fit_texts: int = FIT_TEXTS
     h = F.xxhash64("text")
     share = min(1.0, 2 * fit_rows / max(1, texts.agg(F.approx_count_distinct(h, 0.02)).first()[0]))
     near = texts.where(F.pmod(h, F.lit(1 << 20)) <= int(share * (1 << 20))).distinct()
-    rows = near.orderBy(F.pmod(h, F.lit(1 << 20)), h, "text").limit(fit_rows).where(possible(F.col("text"))).collect()
-    held = []
+    rows = near.orderBy(F.pmod(h, F.lit(1 << 20)), h, "text").limit(fit_rows).where(possible(F.col("text"), given)).collect()
+    held, form = [], _given_form(given)
     for r in rows:
-        if len(held) < fit_texts and spans_of(r["text"]):
+        if len(held) < fit_texts and spans_of(r["text"], form):
             held.append(r["text"])
     key = (len(held), crc32("\n".join(held).encode()), crc32("\n".join(sorted(given)).encode()))
     if key not in _FIELDS:
@@ -640,7 +666,7 @@ def find(texts: DataFrame, model: Field | None = None) -> DataFrame:
     out, since they can't be named; repeated rows count once; no rows, no result.
     """
     model = model or learn(texts)
-    held = texts.select("field_name", "record_id", "text").where(F.col("record_id").isNotNull() & possible(F.col("text")))
+    held = texts.select("field_name", "record_id", "text").where(F.col("record_id").isNotNull() & possible(F.col("text"), model.given))
     return _tag(spread(held), model, False).distinct()
 
 
@@ -648,5 +674,5 @@ def redact_texts(texts: DataFrame, model: Field | None = None) -> DataFrame:
     """Every row of ``texts`` with its personal data replaced by placeholders; all else is unchanged."""
     model = model or learn(texts)
     rows = texts.select("field_name", "record_id", "text")
-    test = possible(F.col("text"))
+    test = possible(F.col("text"), model.given)
     return _tag(spread(rows.where(test)), model, True).unionByName(rows.where(~test))
