@@ -108,3 +108,13 @@ def test_class_fusion_ranks_the_whole_class(spark, tmp_path):
     got = [r.id for r in class_fusion(spark, str(tmp_path)).where("q = 0").orderBy("fused_rank").collect()]
     # the class lies beyond the nearest 50, and its rank n counts as much as rank n of all; ties by the id as text
     assert got == [1, 101, 102, 2, 103, 3, 104, 4, 105, 5]
+
+
+def test_cluster_stability_takes_the_best_mean(spark):
+    from threadloom.operators.models import cluster_stability
+
+    rnd = random.Random(4)
+    rows = [(i, [100.0 * (i % 2) + rnd.random(), rnd.random()]) for i in range(60)]
+    got = cluster_stability(spark.createDataFrame(rows, "id bigint, v array<double>"), (5, 2, 70), 2).collect()
+    assert [r.k for r in got] == [5, 2, 70] and [r.best for r in got] == [False, True, False]
+    assert 0 < got[0].ari < got[1].ari == 1.0 and got[2].ari == 0.0
