@@ -217,6 +217,64 @@ def test_overlap_equals_brute_force(spark):
     assert overlap.overlaps(e.limit(0), x).count() == 0 and overlap.overlaps(e, x.limit(0)).count() == 0
 
 
+def passages(s):
+    w = sorted(s)
+    return set(zip(w, w[1:], strict=False))
+
+
+def test_near_texts_share_enough_passages():
+    rnd = random.Random(4)
+    for _ in range(4000):
+        u = rnd.randrange(6, 60)
+        c = rnd.randrange(-(-7 * u // 10), u + 1)
+        both = rnd.sample([f"w{i}" for i in range(90)], u)
+        mine = rnd.randrange(u - c + 1)
+        a, b = set(both[:c] + both[c : c + mine]), set(both[:c] + both[c + mine :])
+        if min(len(a), len(b)) < 6:
+            continue
+        shared = passages(a) & passages(b)
+        assert len(shared) >= max(overlap.least_shared(len(a)), overlap.least_shared(len(b)), 2 * c - u - 1)
+        assert len({w for p in shared for w in p}) >= 2 * c - u
+    with pytest.raises(ValueError):
+        overlap.least_shared(20, 0.4)
+
+
+def normalised(t):
+    return " ".join(sorted(words(t)))
+
+
+def test_scan_equals_brute_force_and_rests_on_the_automaton():
+    texts = sorted({normalised(t) for t in corpus(5, 900) if len(words(t)) >= 6})
+    held, given = texts[::2], texts[1::2]
+    shard = overlap.Shard([f"r{i}" for i in range(len(held))], held)
+    got = {(t, r): (c, v) for t, r, c, v in overlap.scan(shard, given)}
+    want = {(t, r) for t, a in enumerate(given) for r, b in enumerate(held) if near(a, b)}
+    assert set(got) == want and len(want) > 100
+    for (t, r), (c, v) in got.items():
+        a, b = words(given[t]), words(held[r])
+        met = {w for p in passages(a) & passages(b) for w in p}
+        assert c == len(a & b) and v == len(met) / len(b)
+    # without the automaton's matches nothing is found; with only half of its passages pairs are lost
+    half = type(shard.automaton)()
+    for k, (p, v) in enumerate(list(shard.automaton.items())):
+        if k % 2:
+            half.add_word(p, v)
+    half.make_automaton()
+    shard.automaton = half
+    assert len({(t, r) for t, r, _, _ in overlap.scan(shard, given)}) < len(want) / 2
+
+
+def test_overlap_shards_and_classes(spark, monkeypatch):
+    t = "one two three four five six seven eight nine ten"
+    e = spark.createDataFrame([("m1", "5", "x", t), ("m2", None, "x", t), ("m3", "7.0", "x", t + " eleven"), ("m4", None, "x", None), ("m5", "5", None, t)], "message_id string, conversation_id string, stratum string, input_text_redacted string")
+    x = spark.createDataFrame([("t1", " 5", t, "b"), ("t2", None, t, "b"), ("t3", "7", "ten nine eight seven six five four three two twelve", "b"), ("t4", "7", "", "b")], "evidence_id string, conversation_id string, customer_text string, brand string")
+    monkeypatch.setattr(overlap.near_texts, "__defaults__", (wordsets.SHARE, 1))
+    got = {r.message_id: (r.class_id, r.near_classes, r.near_exemplars, r.same_conversation) for r in overlap.overlap_classes(e, x).collect()}
+    assert got == {"m1": ("m1", 2, 3, 1), "m2": ("m1", 2, 3, 0), "m3": ("m3", 2, 3, 2), "m4": ("m4", 0, 0, 0)}
+    pairs = {(r.message_id, r.evidence_id) for r in overlap.overlaps(e, x).collect()}
+    assert pairs == {(m, v) for m in ("m1", "m2", "m3") for v in ("t1", "t2", "t3")} | {("m3", "t4")}
+
+
 # -- personal data -----------------------------------------------------------------------------------------------
 
 GIVEN, FAMILY = "Mara Iven Tola Brisa Odo Keld Runa Pax".split(), "Hollbeck Marwick Tenfield Orlhurst Vannbury".split()

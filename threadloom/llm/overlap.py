@@ -1,12 +1,19 @@
 """Evaluation records that also occur, exactly or almost, in the training exemplars.
 
-Texts are normalised to words; equal word sets are one class per side. The rare-first
-prefix words of the evaluation classes are the passages: any two near-same texts share
-their first two common words within their prefixes. The evaluation classes are dealt into
-shards of a bounded number of records, written to the shared folder; every task scans its
-training texts with each shard's Aho-Corasick automaton, looks the matched word pairs up
-among the shard's, merges the matched intervals of the records left into a coverage,
-and keeps those whose whole word sets are near-same.
+A normalised text is its distinct words in alphabetical order; equal texts are one class
+per side. The passages of a text are its pairs of neighbouring words. Let a near-same
+pair of texts have c common words and d = u - c others among the u words of either. The
+others cut the common words into at most d + 1 runs, each of which is contiguous in both
+texts. With the threshold above one half, c > d + 1: at least 2c - u - 1 passages are
+common, and the merged intervals of the common passages cover at least 2c - u words of
+either text (see ``least_shared``). So nothing is lost by asking for that coverage.
+
+The evaluation classes are dealt into shards of a bounded number of records. Every task
+takes one shard and some slices of the training texts, builds the shard's Aho-Corasick
+automaton over all passages of its records once, and scans every text with it. Records
+that share enough of their rarest passages with a text are its candidates; the matched
+intervals of a candidate are merged into its coverage, and those that are covered far
+enough are compared on their whole word sets.
 """
 
 from __future__ import annotations
@@ -22,214 +29,194 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.keys import id_number, tidy_label
-from threadloom.llm.spread import spread
-from threadloom.llm.wordsets import LEAST_WORDS, SHARE, _ratio, needed, normal_text, rare_first
-from threadloom.session import checkpoint, shared_folder
+from threadloom.llm.tables import dropped, files_of, stored
+from threadloom.llm.wordsets import LEAST_WORDS, SHARE, _ratio, normal_text
+from threadloom.session import checkpoint
 
 #: Evaluation classes per shard, on average: bounds a task's automaton.
-SHARD = 65_536
+SHARD = 16_384
+#: Common passages among the rarest that make a candidate (fewer where a text has fewer to share).
+SHARED = 4
+#: Slices (files of the training table) that one task scans at most.
+SLICES = 8
 
 
-def _classes(rows: DataFrame, side: str) -> tuple[DataFrame, DataFrame]:
-    """Members ``(id, rep)`` and classes ``(rep, text, words)`` of ``rows(id, text)``."""
-    words = F.array_sort(F.array_distinct(F.split("text", " ")))
-    sets = rows.select("id", normal_text(F.col("text")).alias("text")).where("text != ''").withColumn("words", words).where(F.size("words") >= LEAST_WORDS)
-    hashed = sets.select("id", "text", "words", F.xxhash64("words").alias("h1"), F.hash("words").alias("h2"))
-    named = hashed.groupBy("h1", "h2").agg(F.min(F.struct("text", "words")).alias("r"))
-    rep = F.concat(F.lit(side), F.hex("h1"), F.lit("-"), F.hex("h2")).alias("rep")
-    return hashed.select("id", rep).distinct(), named.select(rep, "r.text", "r.words")
-
-
-@lru_cache(maxsize=256)
-def _upper(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.triu_indices(n, 1)
+@lru_cache(maxsize=65_536)
+def least_shared(n: int, share: float = SHARE) -> int:
+    """Passages that a text of n distinct words shares with any near-same one, at least."""
+    num, den = _ratio(share)
+    # u words in either of the two, c in both; the value rises with u but for the rounding of c
+    least = min(2 * -(-u * num // den) - u - 1 for u in range(n, min(n * den // num, n + den) + 1))
+    if least < 1:
+        raise ValueError(f"texts of {n} words may be near-same at {share} without a common passage")
+    return least
 
 
 class Shard:
-    """Automaton and pair index of some evaluation classes.
+    """Automaton over the passages of some evaluation classes, and who has which.
 
-    Columns: rep, words (all), pos and word (rare-first prefix words that some training
-    text has too, with their positions), limit (positions below it may come first).
+    Passages are numbered by how many records have them, the rarest first.
     """
 
-    def __init__(self, table: pa.Table):
+    def __init__(self, reps: list[str], texts: list[str], share: float = SHARE):
         import ahocorasick
 
-        self.rep = table.column("rep").to_pylist()
-        words = table.column("words").combine_chunks()
-        ends = words.offsets.to_numpy().astype(np.int64)
-        self.n, self.start = np.diff(ends), ends[:-1] - ends[0]
-        whole = words.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
-        self.vocabulary, self.word_ids = whole.dictionary.to_pylist(), whole.indices.to_numpy()
-        self.id_of = {w: k for k, w in enumerate(self.vocabulary)}
-        self.mark = np.zeros(len(self.vocabulary) + 1, bool)
-        word, pos = table.column("word").combine_chunks(), table.column("pos").combine_chunks()
-        offsets = word.offsets.to_numpy()
-        starts = offsets - offsets[0]
-        coded = word.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        ids = coded.indices.to_numpy().astype(np.int64)
-        at = pos.values.slice(pos.offsets[0].as_py(), len(ids)).to_numpy().astype(np.int32)
-        limit = table.column("limit").to_numpy()
-        self.passage = {w: k for k, w in enumerate(coded.dictionary.to_pylist())}
+        self.rep, self.text = reps, texts
+        number: dict[str, int] = {}
+        rows = []
+        for text in texts:
+            words = text.split(" ")
+            rows.append([number.setdefault(f" {a} {b} ", len(number)) for a, b in zip(words, words[1:], strict=False)])
+        size = np.array([len(r) for r in rows], np.int64)
+        flat = np.fromiter((x for r in rows for x in r), np.int64, int(size.sum()))
+        order = np.argsort(np.bincount(flat, minlength=len(number)), kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
         self.automaton = ahocorasick.Automaton()
-        for w, k in self.passage.items():
-            self.automaton.add_word(f" {w} ", k)
-        if len(self.automaton):
+        for passage, k in number.items():
+            self.automaton.add_word(passage, int(rank[k]))
+        if number:
             self.automaton.make_automaton()
-        # word pairs of all records that have equally many words at once
-        keys, recs, lasts = [], [], []
-        size = np.diff(starts)
-        for m in np.unique(size[size > 1]).tolist():
-            own = np.flatnonzero(size == m)
-            i, j = np.triu_indices(m, 1)
-            first, second = starts[own][:, None] + i, starts[own][:, None] + j
-            ok = (at[first] < limit[own][:, None]).ravel()
-            keys.append(_pair(ids[first], ids[second]).ravel()[ok])
-            recs.append(np.repeat(own.astype(np.int32), len(i))[ok])
-            lasts.append(at[second].ravel()[ok])
-        none = np.zeros(0, np.int64)
-        key = np.concatenate(keys or [none])
-        order = np.argsort(key, kind="stable")
-        self.key, self.rec, self.last = key[order], np.concatenate(recs or [none])[order], np.concatenate(lasts or [none])[order]
-
-    def common(self, rec: np.ndarray, words: set[str]) -> np.ndarray:
-        """How many of ``words`` each record has."""
-        own = [k for w in words if (k := self.id_of.get(w)) is not None]
-        self.mark[own] = True
-        n = self.n[rec]
-        first = np.cumsum(n) - n
-        at = np.repeat(self.start[rec] - first, n) + np.arange(n.sum())
-        out = np.add.reduceat(self.mark[self.word_ids[at]].astype(np.int64), first)
-        self.mark[own] = False
-        return out
-
-    def record(self, r: int) -> set[str]:
-        return {self.vocabulary[k] for k in self.word_ids[self.start[r] : self.start[r] + self.n[r]].tolist()}
-
-
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (np.minimum(a, b) << 31) | np.maximum(a, b)
-
-
-def scan(shard: Shard, texts: list[str], prefixes: list[list[str]], cuts: list[int], sizes: list[int], share: float = SHARE) -> Iterator[tuple[int, int, int, float]]:
-    """``(text, record, common words, coverage)`` of the near-same ones."""
+        self.n, self.start, self.passages = size + 1, np.cumsum(size) - size, rank[flat] if len(flat) else flat
+        least = np.array([least_shared(int(n), share) for n in self.n], np.int64)
+        self.enough = np.minimum(SHARED, least)
+        # postings of the rarest passages only: with `least` to share, `enough` of these are always among them
+        rec = np.repeat(np.arange(len(size)), size)
+        by = np.lexsort((self.passages, rec))
+        place = np.arange(len(flat)) - np.repeat(self.start, size)
+        kept = by[place < np.repeat(size - least + self.enough, size)]
+        kept = kept[np.argsort(self.passages[kept], kind="stable")]
+        self.posted = rec[kept].astype(np.int32)
+        self.at = np.searchsorted(self.passages[kept], np.arange(len(number) + 1))
+
+    def covered(self, r: int, hits: np.ndarray) -> int:
+        """Words of record r in the merged intervals of its matched passages; ``hits`` is sorted."""
+        own = self.passages[self.start[r] : self.start[r] + self.n[r] - 1]
+        found = hits[np.minimum(np.searchsorted(hits, own), len(hits) - 1)] == own
+        return int(found[0]) + int((found[1:] | found[:-1]).sum()) + int(found[-1])
+
+
+def scan(shard: Shard, texts: list[str], share: float = SHARE) -> Iterator[tuple[int, int, int, float]]:
+    """``(text, record, common words, coverage of the record)`` of the near-same ones."""
     num, den = _ratio(share)
     if not len(shard.automaton):
         return
     for t, text in enumerate(texts):
-        padded = f" {text} "
-        hits = {k for _, k in shard.automaton.iter(padded)}
-        if len(hits) < 2:
-            continue
-        known = [(p, k) for p, w in enumerate(prefixes[t]) if (k := shard.passage.get(w)) in hits]
-        if len(known) < 2:
+        hits = np.sort(np.array([k for _, k in shard.automaton.iter(f" {text} ")], np.int64))
+        n = text.count(" ") + 1
+        least = least_shared(n, share)
+        if len(hits) < least:
             continue
-        pos, ids = np.array([p for p, _ in known]), np.array([k for _, k in known], np.int64)
-        i, j = _upper(len(known))
-        keep = pos[i] < cuts[t]
-        i, j = i[keep], j[keep]
-        key = _pair(ids[i], ids[j])
-        lo, hi = np.searchsorted(shard.key, key, "left"), np.searchsorted(shard.key, key, "right")
-        found = hi > lo
-        if not found.any():
+        enough = min(SHARED, least)
+        rare = hits[: len(hits) - least + enough]
+        lo, count = shard.at[rare], shard.at[rare + 1] - shard.at[rare]
+        total = int(count.sum())
+        if not total:
             continue
-        lo, hi, last = lo[found], hi[found], pos[j][found]
-        count = hi - lo
-        at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        rec = shard.rec[at]
-        n_a, n_b = shard.n[rec], sizes[t]
-        ahead = 2 + np.minimum(n_a - shard.last[at], n_b - np.repeat(last, count)) - 1
-        ok = (np.minimum(n_a, n_b) * den >= np.maximum(n_a, n_b) * num) & (ahead * den >= (n_a + n_b - ahead) * num)
-        if not ok.any():
-            continue
-        rec = np.unique(rec[ok])
-        words = set(text.split(" "))
-        common = shard.common(rec, words)
-        near = common * den >= (shard.n[rec] + len(words) - common) * num
-        for r, c in zip(rec[near].tolist(), common[near].tolist(), strict=True):
-            yield t, r, c, _coverage(text, shard.record(r))
-
-
-def _coverage(text: str, theirs: set[str]) -> float:
-    """Share of a text in merged intervals of matched words; neighbours are one interval with the blank between them."""
-    covered, at, end = 0, 0, -1
-    for w in text.split(" "):
-        if w in theirs:
-            covered += len(w) + (end == at)
-            end = at + len(w) + 1
-        at += len(w) + 1
-    return covered / max(1, len(text))
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    """Lineage cut by a table in the shared folder: long texts take a fraction of a checkpoint's room."""
-    folder = shared_folder(df, "rows")
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+        at = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(total)
+        rec, met = np.unique(shard.posted[at], return_counts=True)
+        n_r = shard.n[rec]
+        rec = rec[(met >= np.minimum(enough, shard.enough[rec])) & (np.minimum(n_r, n) * den >= np.maximum(n_r, n) * num)]
+        words: set[str] | None = None
+        for r in rec.tolist():
+            m = int(shard.n[r])
+            need = -(-(m + n) * num // (num + den))  # common words of a near-same pair of these sizes
+            covered = shard.covered(r, hits)
+            if covered < 3 * need - m - n:
+                continue
+            words = set(text.split(" ")) if words is None else words
+            common = len(words.intersection(shard.text[r].split(" ")))
+            if common * den >= (m + n - common) * num:
+                yield t, r, common, covered / m
 
 
-_HELD: dict[str, Shard] = {}
+_HELD: dict[str, Shard | None] = {}
 
 
-def _shard(uri: str) -> Shard | None:
+def _shard(uri: str, share: float) -> Shard | None:
     """The shard of a folder in shared storage; a worker keeps the last one it used."""
     if uri not in _HELD:
         _HELD.clear()
         fs, path = pafs.FileSystem.from_uri(uri)
         try:
-            _HELD[uri] = Shard(pq.read_table(path, filesystem=fs, columns=["rep", "words", "pos", "word", "limit"], partitioning=None))
+            rows = pq.read_table(path, filesystem=fs, columns=["rep", "text"], partitioning=None)
+            _HELD[uri] = Shard(rows.column("rep").to_pylist(), rows.column("text").to_pylist(), share)
         except FileNotFoundError:  # no record fell into it
-            return None
+            _HELD[uri] = None
     return _HELD[uri]
 
 
 def near_texts(evaluation: DataFrame, training: DataFrame, share: float = SHARE, shard_size: int = SHARD) -> DataFrame:
-    """``(rep_e, rep_t, common, coverage)`` of near-same classes; both inputs ``(rep, text, words)``."""
-    n = F.size("words")
-    both = evaluation.select("rep", F.lit("").alias("text"), "words").unionByName(training.select("rep", "text", "words"))
-    ordered = _stored(rare_first(both).withColumn("limit", n - needed(n, share) + 1))
-    prefix = ordered.select("rep", "limit", F.posexplode(F.slice("words", 1, F.col("limit") + 1)).alias("pos", "word"))
-    known = prefix.where("rep like 't%'").select("word").distinct()
-    # only words that some training text has in its own prefix can match
-    kept = prefix.where("rep like 'e%'").join(known, "word", "left_semi").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("p")).where(F.size("p") > 1)
-    own = ordered.join(kept, "rep").select("rep", "words", "limit", F.col("p.pos").alias("pos"), F.col("p.word").alias("word"))
-    shards = max(1, -(-ordered.where("rep like 'e%'").count() // shard_size))
-    folder = shared_folder(own, "shards")
-    own.withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(folder)
-    uris = [f"{folder}/shard={k}" for k in range(shards)]
+    """``(rep_e, rep_t, common, coverage)`` of near-same classes; both inputs ``(rep, text)`` with normalised texts. Checkpointed."""
+    spark = evaluation.sparkSession
+    whole = stored(evaluation.select("rep", "text"), "evaluation")
+    shards = max(1, -(-spark.read.parquet(whole).count() // shard_size))
+    dealt = spark.read.parquet(whole).withColumn("shard", F.pmod(F.xxhash64("rep"), F.lit(shards)).cast("int"))
+    folder = stored(dealt.repartition(shards, "shard"), "shards", "shard")
+    train = stored(training.select("rep", "text"), "training")
+    slices = files_of(train)
+    groups = max(1, -(-len(slices) // SLICES), min(len(slices), -(-2 * spark.sparkContext.defaultParallelism // shards)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [b for b in batches if b.num_rows]
-        if not kept:
-            return
-        reps, texts, prefixes, cuts, sizes = ([x for b in kept for x in b.column(c).to_pylist()] for c in range(5))
-        for uri in uris:
-            shard = _shard(uri)
+        for task in (x for b in batches for x in b.column(0).to_pylist()):
+            shard = _shard(f"{folder}/shard={task // groups}", share)
             if shard is None:
                 continue
-            rows = [(shard.rep[r], reps[t], c, v) for t, r, c, v in scan(shard, texts, prefixes, cuts, sizes, share)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["rep_e", "rep_t", "common", "coverage"])
-
-    source = ordered.where("rep like 't%'").select("rep", "text", F.slice("words", 1, F.col("limit") + 1).alias("prefix"), "limit", F.size("words").alias("n"))
-    return spread(source).mapInArrow(run, "rep_e string, rep_t string, common bigint, coverage double")
+            for uri in slices[task % groups :: groups]:
+                fs, path = pafs.FileSystem.from_uri(uri)
+                with fs.open_input_file(path) as f:
+                    for b in pq.ParquetFile(f).iter_batches(4096, columns=["rep", "text"]):
+                        reps = b.column(0).to_pylist()
+                        rows = [(shard.rep[r], reps[t], c, v) for t, r, c, v in scan(shard, b.column(1).to_pylist(), share)]
+                        if rows:
+                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["rep_e", "rep_t", "common", "coverage"])
+
+    # neighbouring tasks have the same shard, so that a worker builds it once
+    tasks = spark.range(0, shards * groups, 1, shards * groups)
+    links = checkpoint(tasks.mapInArrow(run, "rep_e string, rep_t string, common bigint, coverage double"))
+    dropped(spark, whole, folder, train)
+    return links
+
+
+def _classes(rows: DataFrame, side: str) -> tuple[DataFrame, DataFrame, str]:
+    """Members ``(id, rep)`` and classes ``(rep, text)`` of ``rows(id, text)``, and the table they are read from."""
+    words = F.array_distinct(F.split(normal_text(F.col("text")), " "))
+    sets = rows.where("text is not null").select("id", words.alias("words")).where(F.size("words") >= LEAST_WORDS)
+    named = sets.select("id", F.array_join(F.sort_array("words"), " ").alias("text")).select("id", F.concat(F.lit(side), F.hex(F.xxhash64("text")), F.lit("-"), F.hex(F.hash("text"))).alias("rep"), "text")
+    folder = stored(named, "texts")
+    held = rows.sparkSession.read.parquet(folder)
+    return held.select("id", "rep").distinct(), held.groupBy("rep").agg(F.first("text").alias("text")), folder
+
+
+def _sides(records: DataFrame, exemplars: DataFrame) -> tuple[DataFrame, DataFrame]:
+    held = records.where(F.col("message_id").isNotNull() & tidy_label(F.col("stratum")).isNotNull()).select(F.col("message_id").alias("id"), id_number(F.col("conversation_id")).alias("conv"), F.col("input_text_redacted").alias("text"))
+    given = exemplars.where(F.col("evidence_id").isNotNull()).select(F.col("evidence_id").alias("id"), id_number(F.col("conversation_id")).alias("conv"), F.col("customer_text").alias("text"))
+    return held, given
+
+
+def _near(held: DataFrame, given: DataFrame, share: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Members of both sides and the links of their classes, all checkpointed; the tables behind them are gone."""
+    members_e, classes_e, table_e = _classes(held.select("id", "text"), "e")
+    members_t, classes_t, table_t = _classes(given.select("id", "text"), "t")
+    links = near_texts(classes_e, classes_t, share)
+    members_e, members_t = checkpoint(members_e), checkpoint(members_t)
+    dropped(held.sparkSession, table_e, table_t)
+    return members_e, members_t, links
 
 
 def overlaps(records: DataFrame, exemplars: DataFrame, share: float = SHARE) -> DataFrame:
     """``message_id, evidence_id, same_conversation, coverage`` of every evaluation record and exemplar that overlap.
 
     An overlap is the same conversation by number or near-same texts (coverage: share of
-    the exemplar's text in matched intervals; null where only the conversation is the
-    same). Records without stratum aren't evaluation records; rows with null ids are
-    left out; null, empty and short texts are near nothing; repeated rows count once.
+    the record's words in merged intervals of matched passages; null where only the
+    conversation is the same). Records without stratum aren't evaluation records; rows
+    with null ids are left out; null, empty and short texts are near nothing; repeated
+    rows count once.
     """
-    held = records.where(F.col("message_id").isNotNull() & tidy_label(F.col("stratum")).isNotNull()).select("message_id", id_number(F.col("conversation_id")).alias("conv"), F.col("input_text_redacted").alias("text"))
-    given = exemplars.where(F.col("evidence_id").isNotNull()).select("evidence_id", id_number(F.col("conversation_id")).alias("conv"), F.col("customer_text").alias("text"))
+    held, given = _sides(records, exemplars)
     none = F.lit(None).cast("double").alias("coverage")
-    talk = held.where("conv is not null").select("message_id", "conv").distinct().join(given.where("conv is not null").select("evidence_id", "conv").distinct(), "conv")
-    members_e, classes_e = _classes(held.select(F.col("message_id").alias("id"), "text"), "e")
-    members_t, classes_t = _classes(given.select(F.col("evidence_id").alias("id"), "text"), "t")
-    links = checkpoint(near_texts(classes_e, classes_t, share))
+    talk = held.where("conv is not null").select(F.col("id").alias("message_id"), "conv").distinct().join(given.where("conv is not null").select(F.col("id").alias("evidence_id"), "conv").distinct(), "conv")
+    members_e, members_t, links = _near(held, given, share)
     near = (
         links.join(members_e.select(F.col("id").alias("message_id"), F.col("rep").alias("rep_e")), "rep_e")
         .join(members_t.select(F.col("id").alias("evidence_id"), F.col("rep").alias("rep_t")), "rep_t")
@@ -243,6 +230,27 @@ def overlaps(records: DataFrame, exemplars: DataFrame, share: float = SHARE) ->
     )
 
 
+def overlap_classes(records: DataFrame, exemplars: DataFrame, share: float = SHARE) -> DataFrame:
+    """One row per evaluation record: ``message_id, class_id, near_classes, near_exemplars, same_conversation``.
+
+    The bounded form of ``overlaps``: records of one word set are one class, named by its
+    least record, and exemplars are counted per class and per conversation, never listed.
+    A record with several texts counts each of them under its greatest class; one whose
+    text is too short is its own class.
+    """
+    held, given = _sides(records, exemplars)
+    members_e, members_t, links = _near(held, given, share)
+    sizes = members_t.groupBy(F.col("rep").alias("rep_t")).agg(F.count("*").alias("copies"))
+    per = links.join(sizes, "rep_t").groupBy(F.col("rep_e").alias("rep")).agg(F.count("*").alias("near_classes"), F.sum("copies").alias("near_exemplars"))
+    names = members_e.groupBy("rep").agg(F.min("id").alias("class_id"))
+    own = members_e.groupBy("id").agg(F.max("rep").alias("rep")).join(names, "rep").join(per, "rep", "left")
+    talks = given.where("conv is not null").select("id", "conv").distinct().groupBy("conv").agg(F.count("*").alias("c"))
+    talk = held.select("id", "conv").distinct().join(talks, "conv", "left").groupBy("id").agg(F.sum(F.coalesce("c", F.lit(0))).alias("same_conversation"))
+    return talk.join(own, "id", "left").select(
+        F.col("id").alias("message_id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("near_classes", F.lit(0)).alias("near_classes"), F.coalesce("near_exemplars", F.lit(0)).alias("near_exemplars"), "same_conversation"
+    )
+
+
 def overlap_counts(found: DataFrame, records: DataFrame, exemplars: DataFrame) -> DataFrame:
     """Per stratum and brand: overlapping pairs, evaluation records and exemplars."""
     strata = records.select("message_id", tidy_label(F.col("stratum")).alias("stratum")).where("stratum is not null").distinct()

@@ -38,6 +38,10 @@ def p3_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.overlap_counts(overlap.overlaps(records, exemplars), records, exemplars)
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.overlap_classes(table(spark, sf_dir, "decision_record"), table(spark, sf_dir, "exemplar")).select("message_id", "near_exemplars", "same_conversation", "near_classes")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversations.rebuild(table(spark, sf_dir, "twcs"))
     return turns.select(F.col("conversation_id").cast("string").alias("conversation_id"), "turn_no", F.col("tweet_id").cast("string").alias("tweet_id"), "speaker")
@@ -137,6 +141,7 @@ QUERIES = {
     "p1_redacted": p1_redacted,
     "p3_found": p3_found,
     "p3_counts": p3_counts,
+    "p3_classes": p3_classes,
     "p4_found": p4_found,
     "p4_outcomes": p4_outcomes,
     "p5_sample": p5_sample,
@@ -162,6 +167,11 @@ ORACLES: dict[str, str] = {
     + r"""SELECT stratum, brand, count(*) AS pairs, count(DISTINCT message_id) AS records, count(DISTINCT evidence_id) AS exemplars FROM p
 JOIN (SELECT DISTINCT message_id, regexp_replace(lower(trim(stratum)), '[\s\-_]+', '_', 'g') AS stratum FROM e) USING (message_id)
 JOIN (SELECT DISTINCT evidence_id, CASE WHEN regexp_matches(brand, '\S') THEN brand END AS brand FROM exemplar) USING (evidence_id) GROUP BY ALL""",
+    "p3_classes": _OVERLAP
+    + """, k AS (SELECT DISTINCT message_id, evidence_id, list_sort(x.w) AS xw FROM e JOIN x ON len(e.w) >= 6 AND len(x.w) >= 6 AND 10 * len(list_intersect(e.w, x.w)) >= 7 * (len(e.w) + len(x.w) - len(list_intersect(e.w, x.w)))),
+n AS (SELECT message_id, CAST(count(*) AS BIGINT) AS near_exemplars, count(DISTINCT xw) AS near_classes FROM k GROUP BY message_id),
+s AS (SELECT message_id, count(*) AS same_conversation FROM (SELECT DISTINCT e.message_id, e.conv, x.evidence_id FROM e JOIN x ON e.conv = x.conv) GROUP BY message_id)
+SELECT i.message_id, coalesce(near_exemplars, 0) AS near_exemplars, coalesce(same_conversation, 0) AS same_conversation, coalesce(near_classes, 0) AS near_classes FROM (SELECT DISTINCT message_id FROM e) i LEFT JOIN n USING (message_id) LEFT JOIN s USING (message_id)""",
     "p4_found": _TURNS + "SELECT CAST(conv AS VARCHAR) AS conversation_id, CAST(turn_no AS INT) AS turn_no, CAST(id AS VARCHAR) AS tweet_id, who AS speaker FROM n WHERE conv IN (SELECT conv FROM g) AND conv IN (SELECT conv FROM k)",
     "p5_sample": _SAMPLE + f"SELECT stratum, conversation AS conversation_id, message_id FROM u WHERE u < {sampling.RATE}",
     "p7_found": "WITH "
