@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
-import pyarrow as pa
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +26,8 @@ def normal_text(text: Column) -> Column:
 def word_set(text: Column) -> Column:
     """Sorted distinct words; null and wordless texts have none."""
     t = normal_text(text)
-    return F.when(F.coalesce(t, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.array_distinct(F.split(t, " "))))
-
-
-def needed(n: Column, share: float = SHARE) -> Column:
-    """Words that a set of n must have in common with any near-same set."""
-    num, den = _ratio(share)
-    return F.floor((n * num + den - 1) / den).cast("int")
+    # sort_array: its order is built in, that of array_sort is an interpreted lambda
+    return F.when(F.coalesce(t, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.sort_array(F.array_distinct(F.split(t, " "))))
 
 
 def _ratio(share: float) -> tuple[int, int]:
@@ -47,35 +43,46 @@ def near(common: Column, n_a: Column, n_b: Column, share: float = SHARE) -> Colu
     return common * den >= (n_a + n_b - common) * num
 
 
-#: Words in at least one of so many sets are frequent.
-FREQUENT = 1000
+#: Counters that words are counted in by hash: a table of fixed size, whatever the vocabulary.
+COUNTERS = 1 << 20
+#: Parts that the order is cut into for the suffix filter.
+PARTS = 8
 
 
-def frequent_words(sets: DataFrame) -> dict[str, int]:
-    """How many sets hold each frequent word, counted over every row.
-
-    At most ``FREQUENT`` times the mean set size words can be frequent, whatever the
-    number of sets, so that they fit the driver and every task.
-    """
-    n = sets.count()
-    often = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df")).where((F.col("df") * FREQUENT >= n) & (F.col("df") > 1))
-    return {r["word"]: r["df"] for r in often.collect()}
+def level(count: np.ndarray) -> np.ndarray:
+    """Four steps per doubling; 0 is a word of one set only."""
+    return np.minimum(127, np.floor(4 * np.log2(np.maximum(count, 1)))).astype(np.int64)
 
 
-def rare_first(sets: DataFrame, key: str = "rep") -> DataFrame:
-    """``sets`` with the words rare first: those that aren't frequent, by name, then the frequent ones by rising frequency.
+@dataclass
+class Order:
+    """A rare-first order of words by counts over all sets.
 
-    Any order that is the same for all sets keeps the filters complete; this one needs no
-    join of words, and so no shuffle.
+    A word's place is a number: its level above 56 bits of its hash. Words that share a
+    counter look more frequent than they are, which costs some speed and no result: any
+    order that is the same for all sets keeps the filters complete. A word of level 0
+    has its counter alone and stands in one set only.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(frequent_words(sets))  # bounded, see above
-    rest = [c for c in sets.columns if c != "words"]
-
-    def run(batches):
-        df = shared.value
-        for b in batches:
-            words = [sorted(w, key=lambda x: (df.get(x, 0), x)) for w in b.column(len(rest)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(words, pa.list_(pa.string()))], [*rest, "words"])
 
-    kinds = dict(sets.dtypes)
-    return sets.select(*rest, "words").mapInArrow(run, ", ".join([*(f"{c} {kinds[c]}" for c in rest), "words array<string>"]))
+    levels: np.ndarray  # per counter
+    pivots: np.ndarray  # places that cut the words of more than one set into parts of about the same number of rows
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        return self.levels[hashes & (len(self.levels) - 1)] << 56 | (hashes.view(np.uint64) >> np.uint64(8)).view(np.int64)
+
+
+def rare_first(sets: DataFrame, hashes: str = "hashes") -> Order:
+    """The order by the counts of every word of ``sets``; at most ``COUNTERS`` numbers reach the driver."""
+    counter = F.pmod(F.col("h"), F.lit(COUNTERS)).cast("int").alias("counter")
+    counts = sets.select(F.explode(hashes).alias("h")).groupBy(counter).agg(F.count("*").alias("n")).where("n > 1").toArrow()
+    levels, n = np.zeros(COUNTERS, np.int64), counts.column("n").to_numpy()
+    levels[counts.column("counter").to_numpy()] = level(n)
+    mass = np.bincount(level(n), weights=n, minlength=128)
+    upto = np.cumsum(mass)
+    pivots = []
+    for k in range(1, PARTS):
+        want = upto[-1] * k / PARTS
+        at = min(int(np.searchsorted(upto, want)), 127)
+        inside = (want - (upto[at] - mass[at])) / mass[at] if mass[at] else 0.0
+        pivots.append(at << 56 | min(int(inside * (1 << 56)), (1 << 56) - 1))
+    return Order(levels, np.array(pivots, np.int64))
