@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.session import checkpoint
+
 #: Tokens that a bin holds on average.
 BIN_TOKENS = 1 << 20
 
@@ -119,7 +121,7 @@ def pack_containers(sizes: DataFrame, capacities: DataFrame, key: str = "doc_id"
     rest that is packed like any other item. Items without tokens take no room and lie in
     some container of their bin. Capacities that are null or below 1 hold nothing.
     """
-    items = sizes.groupBy(key, "same").agg(F.max("n_tokens").alias("n"))
+    items = checkpoint(sizes.groupBy(key, "same").agg(F.max("n_tokens").alias("n")))  # sizes are dear: counted once
     total = items.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-total // bin_tokens))
     spread = items.withColumn("bin", F.pmod(F.xxhash64(key, "same"), F.lit(bins)))
