@@ -54,11 +54,11 @@ def features(text: str) -> list[float]:
             continue
         units += 1
         seen.update(words)
-        for at in range(0, len(words), WINDOW):
-            w = words[at : at + WINDOW]
-            if len(w) < 4 and at:  # a stub of a long unit tells too little
-                continue
-            k = len(w)
+        cuts = [*range(0, len(words), WINDOW), len(words)]
+        if len(cuts) > 2 and cuts[-1] - cuts[-2] < 4:
+            del cuts[-2]  # a stub of a long unit tells too little by itself: it joins the window before
+        for at, to in zip(cuts, cuts[1:], strict=False):
+            w, k = words[at:to], to - at
             sizes = [len(x) for x in w]
             rows.append((k, sum(sizes) / k, max(k, len(_VOWELS.findall(" ".join(w)))) / k, sum(x <= 4 for x in sizes) / k, sum(x >= 9 for x in sizes) / k))
             joins += sum(x in _JOINS for x in w)
