@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.keys import id_number, tidy_label
 from threadloom.llm.tables import dropped, files_of, stored
-from threadloom.llm.wordsets import LEAST_WORDS, SHARE, _ratio, normal_text
+from threadloom.llm.wordsets import SHARE, _ratio, with_words
 from threadloom.session import checkpoint
 
 #: Evaluation classes per shard, on average: bounds a task's automaton.
@@ -180,9 +180,7 @@ def near_texts(evaluation: DataFrame, training: DataFrame, share: float = SHARE,
 
 def _classes(rows: DataFrame, side: str) -> tuple[DataFrame, DataFrame, str]:
     """Members ``(id, rep)`` and classes ``(rep, text)`` of ``rows(id, text)``, and the table they are read from."""
-    words = F.array_distinct(F.split(normal_text(F.col("text")), " "))
-    sets = rows.where("text is not null").select("id", words.alias("words")).where(F.size("words") >= LEAST_WORDS)
-    named = sets.select("id", F.array_join(F.sort_array("words"), " ").alias("text")).select("id", F.concat(F.lit(side), F.hex(F.xxhash64("text")), F.lit("-"), F.hex(F.hash("text"))).alias("rep"), "text")
+    named = with_words(rows, "text", "id").select("id", F.array_join("words", " ").alias("text")).select("id", F.concat(F.lit(side), F.hex(F.xxhash64("text")), F.lit("-"), F.hex(F.hash("text"))).alias("rep"), "text")
     folder = stored(named, "texts")
     held = rows.sparkSession.read.parquet(folder)
     return held.select("id", "rep").distinct(), held.groupBy("rep").agg(F.first("text").alias("text")), folder

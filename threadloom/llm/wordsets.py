@@ -17,17 +17,22 @@ LEAST_WORDS = 6
 
 def normal_text(text: Column) -> Column:
     """Lower-case words joined by single blanks: links, @handles and an agent signature at the end are left out."""
-    bare = F.regexp_replace(text, r"https?://\S+|www\.\S+", " ")
-    bare = F.regexp_replace(bare, r"(?U)@\w+", " ")
-    bare = F.regexp_replace(bare, r"[\s.!?]*[\^~*/][A-Z]{1,3}\s*$", " ")
+    # most texts lack what the costlier patterns look for
+    bare = F.when(text.contains("http") | text.contains("www."), F.regexp_replace(text, r"https?://\S+|www\.\S+", " ")).otherwise(text)
+    bare = F.when(text.contains("@"), F.regexp_replace(bare, r"(?U)@\w+", " ")).otherwise(bare)
+    signed = text.contains("^") | text.contains("~") | text.contains("*") | text.contains("/")
+    bare = F.when(signed, F.regexp_replace(bare, r"[\s.!?]*[\^~*/][A-Z]{1,3}\s*$", " ")).otherwise(bare)
     return F.trim(F.regexp_replace(F.lower(bare), r"[^\p{L}\p{N}]+", " "))
 
 
-def word_set(text: Column) -> Column:
-    """Sorted distinct words; null and wordless texts have none."""
-    t = normal_text(text)
+def with_words(rows: DataFrame, text: str, *kept: str) -> DataFrame:
+    """``kept`` and ``words``, the sorted distinct words, of the rows with enough of them; null texts have none.
+
+    The words are the output of a generator, so that what follows doesn't work them out again.
+    """
     # sort_array: its order is built in, that of array_sort is an interpreted lambda
-    return F.when(F.coalesce(t, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.sort_array(F.array_distinct(F.split(t, " "))))
+    words = F.sort_array(F.array_distinct(F.split(normal_text(F.col(text)), " ")))
+    return rows.where(F.col(text).isNotNull()).select(*kept, F.explode(F.array(words)).alias("words")).where(F.size("words") >= LEAST_WORDS)
 
 
 def _ratio(share: float) -> tuple[int, int]:
