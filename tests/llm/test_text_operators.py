@@ -275,6 +275,11 @@ def test_overlap_shards_and_classes(spark, monkeypatch):
     assert pairs == {(m, v) for m in ("m1", "m2", "m3") for v in ("t1", "t2", "t3")} | {("m3", "t4")}
 
 
+def test_no_word_is_left_out():
+    x = dict(zip(reading.NAMES, reading.features(" ".join(["word"] * 17)), strict=True))
+    assert x["unit_words"] == np.log1p(17) and x["distinct"] == 1 / 17
+
+
 # -- personal data -----------------------------------------------------------------------------------------------
 
 GIVEN, FAMILY = "Mara Iven Tola Brisa Odo Keld Runa Pax".split(), "Hollbeck Marwick Tenfield Orlhurst Vannbury".split()
@@ -284,7 +289,11 @@ GIVEN, FAMILY = "Mara Iven Tola Brisa Odo Keld Runa Pax".split(), "Hollbeck Marw
 def field():
     rnd = random.Random(2)
     name = lambda: f"{rnd.choice(GIVEN)} {rnd.choice(FAMILY)}"
+    odd = lambda: "".join(rnd.choice(["bri", "xal", "tor", "nat", "quel", "low", "star", "tin", "vel", "har"]) for _ in range(3)).title()
     makers = [
+        lambda: f"when {odd()} {odd()} was on it stopped",
+        lambda: f"i told them {odd()} {odd()} skips at the end",
+        lambda: f"please cancel {odd()} {odd()} today",
         lambda: f"my name is {name()}. please help",
         lambda: f"booking under {name()}, thanks",
         lambda: f"ask for {name()}.",
@@ -321,9 +330,63 @@ def test_redaction_keeps_the_rest(field):
     assert pii.redact(t, pii.Tagger(field)([t])[0]) == "hi, my name is [NAME]\nand call me on [PHONE]!"
 
 
-def test_mentions_are_linked(field):
-    lat = pii.lattice("ask for Runa Zelquist. later Runa Zelquist left", field.given, pii._given_form(field.given))
-    assert len(pii.Batch([lat]).edges) >= 2
+def without_skip(field):
+    return pii.Field(field.weights, field.step, np.zeros_like(field.skip), field.given)
+
+
+def test_every_mention_has_nodes_and_edges(field):
+    lat = pii.lattice("ask for Runa Zelquist. later zelquist left, then runa zelquists came", field.given)
+    assert [k for *_, k, _, _ in lat.spans].count("bare") == 1 and [k for *_, k, _, _ in lat.spans].count("again") == 1
+    edges = pii.Batch([lat]).edges
+    assert len(edges) >= 3 and set(edges[:, 4].tolist()) == {0, 1}
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["my name is Zorla Quenfield. the driver saw zorla quenfield outside", "my name is Zorla Quenfield. zorla quenfeild is on the slip", "ask for Orsa Hallwin. the door says orsa hallwin now"],
+)
+def test_skip_edges_decide_repeated_mentions(field, text):
+    names = [x for x, k in found(field, text) if k == "person_name"]
+    assert len(names) == 2 and len(found(without_skip(field), text)) == 1
+
+
+def test_a_repeat_of_what_is_no_name_is_none(field):
+    for t in ("the Velvet Harbor playlist by The Marwick Lanterns, they said velvet harbor is gone", "i told zorla quenfield about it. zorla quenfield said no"):
+        assert found(field, t) == []
+
+
+def test_unclear_spans_are_kept_and_refused():
+    """The field against the makers of held-out texts, on spans for which the rules say nothing."""
+    rnd = random.Random(6)
+    made = []
+    for k in range(1600):
+        g, f = rnd.choice(GIVEN), rnd.choice(FAMILY)
+        kind = k % 4
+        clear = [f"my name is {g} {f}.", f"the {f} {g} playlist stops.", f"passport {rnd.randrange(10**9):09d} ok", f"ticket {rnd.randrange(10**9):09d} ok"][kind]
+        silent = [f"{g} {f} at the counter said so.", f"ordered with {f} {g} on shuffle.", f"the form wants {rnd.randrange(10**9):09d} today", f"parcel slip {rnd.randrange(10**9):09d} came"][kind]
+        made.append((clear if rnd.random() < 0.7 else f"{clear} {silent}", silent, kind in (0, 2)))
+    f = pii.fit([t for t, *_ in made[:1200]])
+    kept = refused = right = n = 0
+    for _, t, true in made[1200:]:
+        for s, e, ty, kind in pii.spans_of(t, pii._given_form(f.given)):
+            if pii.rule(t, s, e, ty, kind, f.given) is not None:
+                continue
+            said = any(a < e and s < b for a, b, _ in pii.Tagger(f)([t])[0])
+            n, kept, refused, right = n + 1, kept + said, refused + (not said), right + (said == true)
+    assert n > 100 and kept > 20 and refused > 20, (n, kept, refused)
+
+
+def test_messages_settle(field):
+    lat = pii.lattice("my name is Zorla Quenfield. zorla quenfield, quenfield zorla, zorla and quenfield, zorla quenfields", field.given)
+    b = pii.Batch([lat])
+    assert np.abs(np.exp(pii.beliefs(field, b, b.allowed)[0]) - np.exp(pii.beliefs(field, b, b.allowed, 200)[0])).max() < 0.01
+
+
+def test_a_saved_field_labels_alike(spark, field, tmp_path):
+    pii.save(field, spark, str(tmp_path / "field"))
+    back = pii.load(spark, str(tmp_path / "field"))
+    texts = ["hello, my name is Runa Marwick.", "ring +44 7700 900123", "parcel for runa marwick", "the Velvet Street playlist"]
+    assert pii.Tagger(back)(texts) == pii.Tagger(field)(texts) and back.given == field.given
 
 
 def test_chain_marginals_equal_enumeration():
@@ -385,6 +448,23 @@ def test_lower_case_name_without_a_phrase_is_found(spark, field):
     assert [r.pii_type for r in pii.find(df, field).collect()] == [k for _, k in found(field, "parcel for runa marwick")] == ["person_name"]
 
 
+FRAGMENTS = """mara Mara MARA tenfield Tenfield TENFIELD O'Brien o'brien Smith-Jones jean-luc Jean-Luc van de Von der St Street street STREET road Rd. Lane lane close Close Court place way Drive Square
+hauptstraße Hauptstr. Musterweg calle Calle rue via Garcia 12 12b 12B 1200 flat Flat 4 apt. unit 07700 900123 +44 +1 (555) 555 123 4567 123-45-6789 123456789 AB123456C AB 34 56 C A12345678 AB1234567 AB-1234-5678-X
+SMITH901015JJ9AB 85.07.30-033.28 C01X00T47 X7-99-1234-A mr Mr. mrs Dr. prof Herr J. J.K. J K. hi hello dear this is it was name of ask for booking under account holder: regards, cheers, cc attn: contact: thanks, here we by the
+who a.b@c.de a (at) b (dot) com x at y dot &#64; ＠ info＠x.org order #12345678 and or in Rome stay , . ! ? … @acme ünal Ümit Émile Żak Иван Иванов Nguyễn Đặng x² 😀 0 1 2 3 5 6 7 8 9 0049 2024-01-01 shop playlist Paris""".split()
+
+
+def test_the_prefilter_is_a_superset_on_random_texts(spark):
+    rnd, given = random.Random(21), frozenset({"mara", "jean-luc"})
+    seps = [" "] * 12 + ["", ", ", ". ", "\n", "  ", "-", "'", "\t", "\xa0", "/", "(", ")", ": "]
+    texts = sorted({"".join(rnd.choice(FRAGMENTS) + rnd.choice(seps) for _ in range(rnd.randrange(1, 9))) for _ in range(15000)})
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    passed = {r.t for r in df.where(pii.possible(df.t, given)).collect()}
+    form = pii._given_form(given)
+    held = [t for t in texts if pii.spans_of(t, form)]
+    assert len(held) > 3000 and [t for t in held if t not in passed] == []
+
+
 # -- reading level -----------------------------------------------------------------------------------------------
 
 LEVELS = {

@@ -3,14 +3,17 @@
 Spans that could be personal data at all (a lattice of patterns, far wider than what is
 kept) are the only places where a token may carry a label other than O. A linear chain
 over the tokens of such spans scores labels from words, shapes, endings, span kinds and
-the words around the span; skip edges join the same or a similar token elsewhere in the
-document, so that an unclear mention follows a clear one. Loopy message passing
-alternates exact passes along the chains with messages over the skip edges.
+the words around the span. Every other mention of a word of a possible name has nodes
+too, also a bare one; skip edges join equal and similar words all over the document, so
+that an unclear mention follows a clear one. Loopy message passing alternates exact
+passes along the chains with messages over the skip edges until these settle.
 
 The weights are fitted once per driver process to a bounded sample of the rows. Its
 labels come from labelling rules (phrases around a span, the forms of numbers); spans on
 which the rules are silent stay hidden variables, so the field learns words and endings
-from clear cases and applies them to unclear ones.
+from clear cases and applies them to unclear ones. What a skip edge is worth is learned
+from documents made of two texts of the sample in which the second mentions the name (or
+what only looks like one) of the first, the words and surroundings of one mention hidden.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.llm.spread import spread
@@ -36,6 +39,10 @@ BUCKETS = 1 << 17
 FIT_TEXTS = 4000
 #: Distinct texts among which these are looked for.
 FIT_ROWS = 40_000
+#: Documents of two texts that the skip edges are fitted to at most, for names and for what isn't one.
+FIT_TWINS = 300
+#: Rounds of messages over skip edges at most; they end when no message moves by more than ``SETTLED``.
+ROUNDS, SETTLED = 30, 1e-3
 #: Given names kept from the clear names of all texts at most; a name rarer than one in as many is left out.
 GIVEN_NAMES = 200_000
 
@@ -107,12 +114,14 @@ _GATES = {
 }
 #: White space of Java that Python's \s has too.
 _WS = r"[\s  -   　]"
-_UP, _LET = r"[A-ZÀ-Þ]", r"[A-Za-zÀ-ɏ]"
+_UP, _LET = r"[A-ZÀ-Þ]", r"[A-Za-zÀ-ɏ\p{L}\p{Nl}\p{No}]"
+#: That the letter before begins a word; tested after the letter, which few positions have. Versions of Java differ on what \b is beside other letters than a to z.
+_FIRST = r"(?<![\p{L}\p{N}_].)"
 #: Cheap tests in Java's syntax; a text with a possible span passes one of them.
 _SIGNS = (
-    rf"\b{_UP}{_LET}+(?:[-'’]{_LET}+)*{_WS}(?:{_UP}\.?{_WS})?(?:(?:van|von|de|der|den|di|da|la|le|bin|al|VAN|VON|DE){_WS})*{_UP}{_LET}",
+    rf"{_UP}{_FIRST}{_LET}+(?:[-'’]{_LET}+)*{_WS}(?:{_UP}\.?{_WS})?(?:(?:van|von|de|der|den|di|da|la|le|bin|al|VAN|VON|DE){_WS})*{_UP}{_LET}",
     rf"\b{_UP}\.{_WS}?(?:(?:van|von|de|der|den|di|da|la|le|bin|al|VAN|VON|DE){_WS})*{_UP}",
-    rf"(?<!, )(?<!and )\b{_UP}{_LET}+(?:[-'’]{_LET}+)*,[ ]{_UP}{_LET}+(?:[-'’]{_LET}+)*(?:{_WS}{_UP}\.)?(?![\w'’-]*[\w,]|{_WS}(?:and|or|plus|but|in{_WS}{_UP}|stay|remain|run|\d))",
+    rf"{_UP}{_FIRST}(?<!, .)(?<!and .){_LET}+(?:[-'’]{_LET}+)*,[ ]{_UP}{_LET}+(?:[-'’]{_LET}+)*(?:{_WS}{_UP}\.)?(?![\w\p{{L}}\p{{N}}]|,|{_WS}(?:and|or|plus|but|in{_WS}{_UP}|stay|remain|run|\d))",
     rf"\d(?:(?:{_WS}|[./()–-]){{0,2}}\d){{6}}|[A-Z]{{2}}[ -]?\d\d|[A-Z]\d{{5}}|[A-Z9]{{5}}\d{{6}}",
     r"(?<![\w#@/-])(?=[A-Z0-9-]{7})(?=[0-9-]*[A-Z])(?:[A-Z-]*\d){5}",
 )
@@ -254,10 +263,44 @@ def _never_name(span: str, kind: str) -> bool:
     return any(w in _PLAIN for w in words)
 
 
+def _stem(word: str) -> str:
+    """Words with the same stem are equal or similar."""
+    return word[:5]
+
+
+def _telling(word: str) -> bool:
+    return len(word) > 3 and not word.isdigit() and word not in _PLAIN
+
+
+def mentions(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """Where words of possible names stand outside of these: two in a row (``again``), or one (``bare``)."""
+    names = sorted((s, e) for s, e, t, _ in spans if t == 5)
+    if not names:
+        return []
+    stems = {_stem(w) for s, e in names for m in _LETTERS.finditer(text, s, e) if _telling(w := m.group().lower())}
+    if not stems:
+        return []
+    taken = sorted((s, e) for s, e, t, _ in spans if t in (1, 5))
+    out: list[tuple[int, int, int, str]] = []
+    k = 0
+    for m in _LETTERS.finditer(text):
+        s, e = m.span()
+        while k < len(taken) and taken[k][1] <= s:
+            k += 1
+        if any(x < e and s < y for x, y in taken[k : k + 2]) or not _telling(w := m.group().lower()) or _stem(w) not in stems:
+            continue
+        if out and out[-1][3] == "bare" and text[out[-1][1] : s] in (" ", ", "):
+            out[-1] = (out[-1][0], e, 5, "again")
+        else:
+            out.append((s, e, 5, "bare"))
+    return out
+
+
 def lattice(text: str, given: frozenset[str] = frozenset(), given_form: _Given | None = None) -> Lattice | None:
     spans = spans_of(text, given_form)
     if not spans:
         return None
+    spans += mentions(text, spans)
     spans.sort()
     out = Lattice()
     # spans that overlap or touch are one chain
@@ -317,6 +360,8 @@ _CALLED = re.compile(r"(?i)\b(?:call|ring|text|mobile|tel|phone|reach\w*|sms|num
 
 def rule(text: str, s: int, e: int, t: int, kind: str, given: frozenset[str]) -> int | None:
     """1 personal, 0 not, None: the rules are silent."""
+    if kind in ("again", "bare"):
+        return None
     left, right = text[max(0, s - 40) : s], text[e : e + 30]
     if t == 1:
         return 1
@@ -406,7 +451,7 @@ def all_given_names(texts: DataFrame) -> frozenset[str]:
 class Field:
     weights: np.ndarray  # buckets x labels
     step: np.ndarray  # label to label along a chain
-    skip: np.ndarray  # agreement over a skip edge, by label
+    skip: np.ndarray  # agreement over a skip edge, by kind (equal or similar words) and label
     given: frozenset[str]
 
 
@@ -425,8 +470,8 @@ class Batch:
         self.allowed = np.zeros((self.n, self.len, LABELS), bool)
         self.clamped = None if rules is None else np.zeros((self.n, self.len, LABELS), bool)
         bits = np.arange(LABELS)
-        edges: list[tuple[int, int, int, int]] = []
-        where: dict[tuple[int, str], list[tuple[int, int]]] = defaultdict(list)
+        edges: list[tuple[int, int, int, int, int]] = []
+        where: dict[tuple[int, str], list[tuple[int, int, str]]] = defaultdict(list)
         for r, (x, a, b) in enumerate(rows):
             lat = items[x]
             self.mask[r, : b - a] = True
@@ -438,11 +483,11 @@ class Batch:
                 self.clamped[r, : b - a] = (np.array(rules[x][a:b])[:, None] >> bits & 1).astype(bool)
             for i in range(a, b):
                 w = lat.word[i]
-                if len(w) > 3 and not w.isdigit() and w not in _PLAIN:
-                    where[x, w[:5]].append((r, i - a))  # the same or a similar word
+                if _telling(w):
+                    where[x, _stem(w)].append((r, i - a, w))
         for same in where.values():
-            edges += [(*p, *q) for p, q in zip(same, same[1:], strict=False) if p[0] != q[0]]  # neighbours only: a chain of mentions
-        self.edges = np.array(edges, np.int64).reshape(-1, 4)
+            edges += [(*p[:2], *q[:2], int(p[2] != q[2])) for p, q in zip(same, same[1:], strict=False) if p[0] != q[0]]  # neighbours only: a chain of mentions
+        self.edges = np.array(edges, np.int64).reshape(-1, 5)
         last = np.maximum(self.mask.sum(1) - 1, 0)
         self.last = last
 
@@ -474,35 +519,78 @@ def _chains(u: np.ndarray, step: np.ndarray, mask: np.ndarray) -> tuple[np.ndarr
     return node, pair
 
 
-def beliefs(f: Field, b: Batch, allowed: np.ndarray, rounds: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Node, pair and skip-edge marginals by loopy message passing."""
+def beliefs(f: Field, b: Batch, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Node, pair and skip-edge marginals by loopy message passing; messages are damped once they are slow to settle."""
     u = f.weights[b.feats].sum(2)
     u = np.where(allowed, u, -1e4)
-    extra = np.zeros_like(u)
     e = b.edges
     there, back = np.zeros((len(e), LABELS)), np.zeros((len(e), LABELS))
-    agree = np.zeros((LABELS, LABELS))
-    np.fill_diagonal(agree, f.skip)
+    agree = np.zeros((len(f.skip), LABELS, LABELS))
+    agree[:, range(LABELS), range(LABELS)] = f.skip
+    agree = agree[e[:, 4]]
     node, pair = _chains(u, f.step, b.mask)
     both = np.zeros((len(e), LABELS, LABELS))
     if len(e):
         touched = np.unique(np.concatenate([e[:, 0], e[:, 2]]))
         slot = np.full(b.n, -1)
         slot[touched] = np.arange(len(touched))
-        for _ in range(rounds):
+        for k in range(rounds):
             p = node[e[:, 0], e[:, 1]] - back
             q = node[e[:, 2], e[:, 3]] - there
-            there = _norm(np.logaddexp.reduce(p[:, :, None] + agree, axis=1))
-            back = _norm(np.logaddexp.reduce(q[:, :, None] + agree, axis=1))
+            keep = 0.0 if k < 5 else 0.5
+            new = [(1 - keep) * _norm(np.logaddexp.reduce(m[:, :, None] + agree, axis=1)) + keep * old for m, old in ((p, there), (q, back))]
+            moved = max(np.abs(new[0] - there).max(), np.abs(new[1] - back).max())
+            there, back = new
             extra = np.zeros((len(touched), *u.shape[1:]))
             np.add.at(extra, (slot[e[:, 2]], e[:, 3]), there)
             np.add.at(extra, (slot[e[:, 0]], e[:, 1]), back)
             node[touched], pair[touched] = _chains(u[touched] + extra, f.step, b.mask[touched])
+            if moved < SETTLED:
+                break
         p, q = node[e[:, 0], e[:, 1]] - back, node[e[:, 2], e[:, 3]] - there
         both = _norm((p[:, :, None] + q[:, None, :] + agree).reshape(len(e), -1)).reshape(len(e), LABELS, LABELS)
     return node, pair, both
 
 
+def _marked(text: str, lat: Lattice, given: frozenset[str]) -> list[int]:
+    """Bit set of the labels that the rules leave to each token."""
+    yes, no, any_ = [0] * len(lat.at), [0] * len(lat.at), [0] * len(lat.at)
+    for s, e, t, kind, a, z in lat.spans:
+        said = rule(text, s, e, t, kind, given)
+        for i in range(a, z + 1):
+            (any_ if said is None else yes if said else no)[i] |= 1 << t
+    # a clear type wins; unclear types stay open beside O; what the rules deny is O
+    return [y if y else (1 | o) for y, o in zip(yes, any_, strict=True)]
+
+
+def twins(texts: list[str], given: frozenset[str], form: _Given | None = None, most: int = FIT_TWINS) -> list[tuple[Lattice, list[int]]]:
+    """Documents of two texts, the second with the name (or denied pair of words) of the first in the place of its own.
+
+    Of one mention, in turn the first and the second, only the kind of span is left as evidence.
+    """
+    clear: dict[int, list[tuple[str, int, int]]] = {0: [], 1: []}
+    for text in texts:
+        for s, e, t, kind in spans_of(text, form):
+            if t == 5 and kind in ("pair", "told", "here", "given") and len(text) < 600 and (said := rule(text, s, e, t, kind, given)) is not None and len(clear[said]) <= most:
+                clear[said].append((text, s, e))
+                break
+    out = []
+    for said, cases in clear.items():
+        for k, ((a, s, e), (b, x, y)) in enumerate(zip(cases, cases[1:], strict=False)):
+            name = a[s:e]
+            text = f"{a}\n{b[:x]}{name}{b[y:]}"
+            lat = lattice(text, given, form)
+            marks = _marked(text, lat, given)
+            own = [[i for i, (p, _) in enumerate(lat.at) if at <= p < at + len(name)] for at in (s, len(a) + 1 + x)]
+            wanted = 1 << 5 if said else 1
+            if not all(o and all(marks[i] == wanted for i in o) for o in own):
+                continue
+            for i in own[k % 2]:
+                lat.feats[i] = [_h("hidden")]
+            out.append((lat, marks))
+    return out
+
+
 def fit(texts: list[str], epochs: int = 8, rate: float = 0.15, ridge: float = 1e-4, chunk: int = 400, given: frozenset[str] | None = None) -> Field:
     """Weights that make the labels of the rules likely; silent spans are summed out. Adagrad on the texts in their order.
 
@@ -510,21 +598,10 @@ def fit(texts: list[str], epochs: int = 8, rate: float = 0.15, ridge: float = 1e
     """
     given = given_names(texts) if given is None else given
     form = _given_form(given)
-    items, marks = [], []
-    for text in texts:
-        lat = lattice(text, given, form)
-        if lat is None:
-            continue
-        yes, no, any_ = [0] * len(lat.at), [0] * len(lat.at), [0] * len(lat.at)
-        for s, e, t, kind, a, z in lat.spans:
-            said = rule(text, s, e, t, kind, given)
-            for i in range(a, z + 1):
-                (any_ if said is None else yes if said else no)[i] |= 1 << t
-        # a clear type wins; unclear types stay open beside O; what the rules deny is O
-        bits = [y if y else (1 | o) for y, o in zip(yes, any_, strict=True)]
-        items.append(lat)
-        marks.append(bits)
-    f = Field(np.zeros((BUCKETS + 1, LABELS), np.float32), np.zeros((LABELS, LABELS)), np.full(LABELS, 0.5), given)
+    pairs = [(lat, _marked(text, lat, given)) for text in texts if (lat := lattice(text, given, form)) is not None]
+    pairs += twins(texts, given, form)
+    items, marks = [x for x, _ in pairs], [y for _, y in pairs]
+    f = Field(np.zeros((BUCKETS + 1, LABELS), np.float32), np.zeros((LABELS, LABELS)), np.array([[0.0, *[0.5] * len(TYPES)]] * 2), given)
     f.step += np.eye(LABELS) * 0.5
     batches = [Batch(items[i : i + chunk], marks[i : i + chunk]) for i in range(0, len(items), chunk)]
     sums = [np.full_like(x, 1e-8) for x in (f.weights, f.step, f.skip)]
@@ -541,12 +618,14 @@ def fit(texts: list[str], epochs: int = 8, rate: float = 0.15, ridge: float = 1e
             np.add.at(g, flat[live].ravel(), np.repeat(rows[live], flat.shape[1], axis=0))
             inside = b.mask[:, 1:, None, None]
             gs = ((np.exp(held[1]) - np.exp(free[1])) * inside).sum((0, 1))
-            gk = np.einsum("ekk->k", np.exp(held[2]) - np.exp(free[2])) if len(b.edges) else np.zeros(LABELS)
+            gk = np.zeros_like(f.skip)
+            np.add.at(gk, b.edges[:, 4], np.einsum("ekk->ek", np.exp(held[2]) - np.exp(free[2])))
             for x, gx, sx in zip((f.weights, f.step, f.skip), (g, gs, gk), sums, strict=True):
                 gx = gx / b.n - ridge * x
                 sx += gx * gx
                 x += rate * gx / np.sqrt(sx)
-            f.skip[:] = np.clip(f.skip, 0, 2)
+            f.skip[:] = np.clip(f.skip, 0, 3)
+            f.skip[:, 0] = 0  # an unclear mention follows a clear one, but takes nothing from it
             f.weights[BUCKETS] = 0  # padding
     return f
 
@@ -639,6 +718,19 @@ def learn(texts: DataFrame, fit_rows: int = FIT_ROWS, fit_texts: int = FIT_TEXTS
     return _FIELDS[key]
 
 
+def save(model: Field, spark: SparkSession, path: str) -> None:
+    """Write a field as one row, so that later runs label alike whatever rows were added."""
+    rows = [(model.weights.tobytes(), model.step.tobytes(), model.skip.tobytes(), sorted(model.given))]
+    spark.createDataFrame(rows, "weights binary, step binary, skip binary, given array<string>").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> Field:
+    """A field that ``save`` wrote."""
+    r = spark.read.parquet(path).first()
+    weights, step, skip = (np.frombuffer(bytes(x), t) for x, t in ((r["weights"], np.float32), (r["step"], np.float64), (r["skip"], np.float64)))
+    return Field(weights.reshape(BUCKETS + 1, LABELS).copy(), step.reshape(LABELS, LABELS).copy(), skip.reshape(-1, LABELS).copy(), frozenset(r["given"]))
+
+
 def _tag(source: DataFrame, model: Field, redacted: bool) -> DataFrame:
     shared = source.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets x labels, and a bounded list of names
 
