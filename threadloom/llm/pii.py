@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 from zlib import crc32
 
 import numpy as np
@@ -98,7 +99,8 @@ _FORMS: list[tuple[int, str, str]] = [
     (5, "told", rf"(?i)(?<!\w){_WEAK}\s+(?P<span>{_NAME},?\s(?:[a-z]\.?\s)?{_VAN}{_NAME})(?={_CONFIRM})"),
     (5, "here", rf"{_OPEN}(?P<span>{_NAME},?\s(?:\w\.?\s)?{_VAN}{_NAME})(?=\shere\b)"),
 ]
-_COMPILED = [(t, k, re.compile(p)) for t, k, p in _FORMS]
+#: With the gate of each form: its kind, but that names after weak phrases have their own.
+_COMPILED = [(t, k, "told_weakly" if _WEAK in p else k, re.compile(p)) for t, k, p in _FORMS]
 #: What a text must hold at least for the forms of a type (or one form) to be tried.
 _GATES = {
     "mail": re.compile(r"[@＠]\)?\]?\s?\w[\w-]*(?:\.\w|\s?[(\[{]dot)|[(\[{]at[)\]}]|&#64;"),
@@ -112,32 +114,63 @@ _GATES = {
     4: re.compile(rf"\b{_STREET}\b|\b(?:close|court|place|way)\b"),
     "one_case": re.compile(rf"\d[A-Za-z]?\s+[^\W\d_]+(?:\s[^\W\d_]+)?\s(?i:{_STREET})"),
 }
+#: Common words that begin sentences, never a name by themselves.
+_PLAIN = frozenset(
+    """a about after again all already also an and any anyone are as ask at be because been before between but by call can cancel check could did do does don't each even every for from
+    get give go good great had half happy has have hello her here hey hi his how i if in is it its just keep last let like look lol love me meanwhile more most my need no not now of off oh ok on
+    once one only or our out over pick please put reset same say see seriously set she should since so some someone somewhere steps still stop such take tell thank thanks that the their them then
+    there these they this three to tried try two type under until up us use very was we well went were what when where which while who why will with would yes you your
+    regards cheers sincerely dear attn much many lot bit way other another new old second third time times something nothing anything store chat team page plan mode note number account""".split()
+)
+
 #: White space of Java that Python's \s has too.
 _WS = r"[\s  -   　]"
 _UP, _LET = r"[A-ZÀ-Þ]", r"[A-Za-zÀ-ɏ\p{L}\p{Nl}\p{No}]"
 #: That the letter before begins a word; tested after the letter, which few positions have. Versions of Java differ on what \b is beside other letters than a to z.
 _FIRST = r"(?<![\p{L}\p{N}_].)"
+#: That no common word begins here; a pair of words with one is never a name.
+_NO_PLAIN = rf"(?!(?i:{'|'.join(sorted(_PLAIN))})(?!{_LET}|['’]{_LET}))"
+#: The same for the word that began one letter ago.
+_PLAIN_BEFORE = "(?!" + "|".join(f"(?<=[{c.upper()}{c}])(?:{'|'.join(sorted(w[1:] for w in _PLAIN if w[0] == c and len(w) > 1))})(?!{_LET}|['’]{_LET})" for c in sorted({w[0] for w in _PLAIN if len(w) > 1})) + ")"
 #: Cheap tests in Java's syntax; a text with a possible span passes one of them.
 _SIGNS = (
-    rf"{_UP}{_FIRST}{_LET}+(?:[-'’]{_LET}+)*{_WS}(?:{_UP}\.?{_WS})?(?:(?:van|von|de|der|den|di|da|la|le|bin|al|VAN|VON|DE){_WS})*{_UP}{_LET}",
+    rf"{_UP}{_FIRST}{_PLAIN_BEFORE}{_LET}+(?:[-'’]{_LET}+)*{_WS}(?:{_UP}\.?{_WS})?(?:(?:van|von|de|der|den|di|da|la|le|bin|al|VAN|VON|DE){_WS})*{_NO_PLAIN}{_UP}{_LET}",
     rf"\b{_UP}\.{_WS}?(?:(?:van|von|de|der|den|di|da|la|le|bin|al|VAN|VON|DE){_WS})*{_UP}",
     rf"{_UP}{_FIRST}(?<!, .)(?<!and .){_LET}+(?:[-'’]{_LET}+)*,[ ]{_UP}{_LET}+(?:[-'’]{_LET}+)*(?:{_WS}{_UP}\.)?(?![\w\p{{L}}\p{{N}}]|,|{_WS}(?:and|or|plus|but|in{_WS}{_UP}|stay|remain|run|\d))",
+)
+#: The same for texts that hold a digit.
+_DIGIT_SIGNS = (
     rf"\d(?:(?:{_WS}|[./()–-]){{0,2}}\d){{6}}|[A-Z]{{2}}[ -]?\d\d|[A-Z]\d{{5}}|[A-Z9]{{5}}\d{{6}}",
-    r"(?<![\w#@/-])(?=[A-Z0-9-]{7})(?=[0-9-]*[A-Z])(?:[A-Z-]*\d){5}",
+    r"(?=[A-Z0-9-])(?<![\w#@/-])(?=[A-Z0-9-]{7})(?=[0-9-]*[A-Z])(?:[A-Z-]*\d){5}",
 )
 _NUMBERED = r"(?:street|road|rd|avenue|ave|lane|ln|boulevard|blvd|terrace|crescent|drive|mews|close|court|place|way|st|dr|ct|pl|square|sq|row|hill|gardens|grove)"
+_DIGIT_SIGNS += tuple(
+    x.replace(r"\s", _WS)
+    for x in (
+        rf"\d\w?\s+(?:\S+\s+){{1,3}}(?i:{_NUMBERED})\b",
+        r"(?=[wsgapWSGAP])(?i:weg|stra(?:ß|ss)e|gasse|allee|platz|str\.)\s\d",
+        r"(?=[crvapCRVAP])\b(?i:calle|rue|via|rua|avenida|plaza|paseo|viale|corso)\s\S+(?:\s\S+)?\s\d",
+    )
+)
+# first the letters that a phrase may begin with, then whether a word begins there
 _SIGNS += tuple(
     x.replace(r"\s", _WS)
     for x in (
-        r"[@＠]\)?\]?\s?\w[\w-]*(?:\.\w|\s?[\(\[{]dot)|[\(\[{]at[\)\]}]|&#64;|(?i:\sat\s\S+\sdot\s)",
-        rf"\d\w?\s+(?:\S+\s+){{1,3}}(?i:{_NUMBERED})\b|,\s\S+\s(?i:{_NUMBERED})\b|(?i:weg|stra(?:ß|ss)e|gasse|allee|platz|str\.)\s\d",
-        r"\b(?i:calle|rue|via|rua|avenida|plaza|paseo|viale|corso)\s\S+(?:\s\S+)?\s\d",
-        rf"(?i:\b{_TITLE}\s?{_LET})",
-        rf"(?i:\b{_CUE}\s)",
-        rf"(?i:\b{_WEAK}\s\S+\s\S+(?:\s\S+){{0,3}}{_CONFIRM})",
-        rf"(?m){_OPEN}\S+\s\S+(?:\s\S+){{0,2}}\shere\b",
+        r"(?i:\sat\s\S+\sdot\s)",
+        rf",\s\S+\s(?i:{_NUMBERED})\b",
+        rf"(?=[mdpshfMDPSHF])(?i:\b{_TITLE}\s?{_LET})",
+        rf"(?=[nabcsrNABCSR])(?i:\b{_CUE}\s)",
+        rf"(?=[tihdcTIHDC])(?i:\b{_WEAK}\s\S+\s\S+(?:\s\S+){{0,3}}{_CONFIRM})",
     )
 )
+_HERE = rf"(?m){_OPEN}\S+\s\S+(?:\s\S+){{0,2}}\shere\b".replace(r"\s", _WS)
+_MAIL = r"[@＠]\)?\]?\s?\w[\w-]*(?:\.\w|\s?[\(\[{]dot)|[\(\[{]at[\)\]}]|&#64;".replace(r"\s", _WS)
+_MAIL_PARTS = ("@", "＠", "at)", "at]", "at}", "&#64;")
+_STREETS = ("Street", "Road", "Avenue", "Lane", "Drive", "Close", "Boulevard", "Court", "Square", "Terrace", "Crescent")
+
+
+def _any(tests: Iterable[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
 
 
 def possible(text: Column, given: frozenset[str] = frozenset()) -> Column:
@@ -145,9 +178,10 @@ def possible(text: Column, given: frozenset[str] = frozenset()) -> Column:
 
     A text may also hold one of the ``given`` names without a phrase or capitals; its words are looked up in a set.
     """
-    test = text.rlike(_SIGNS[0])
-    for sign in _SIGNS[1:]:
-        test = test | text.rlike(sign)
+    # cheap searches for a fixed part go before the patterns that need it
+    test = _any(text.rlike(x) for x in _SIGNS)
+    test = test | (_any(text.contains(x) for x in _MAIL_PARTS) & text.rlike(_MAIL)) | _any(text.contains(x) for x in _STREETS)
+    test = test | (text.rlike(rf"{_WS}here\b") & text.rlike(_HERE)) | (text.rlike("[0-9]") & _any(text.rlike(x) for x in _DIGIT_SIGNS))
     firsts = sorted(_firsts(given))
     if firsts:
         words = F.split(F.lower(text), r"[^\p{L}\p{Nl}\p{No}]+")
@@ -155,18 +189,16 @@ def possible(text: Column, given: frozenset[str] = frozenset()) -> Column:
     return F.coalesce(test, F.lit(False))
 
 
+_DIGIT = re.compile(r"\d")
+#: Gates that only a text with a digit can pass.
+_DIGIT_GATES = ("street_end", "street_first", 2, 3, "mixed", "one_case")
+#: Lower-case parts of the phrases before a name, one of which a text with such a phrase holds.
+_CUE_SIGNS = ("name is", "name of", "name:", "ask for", "asked for", "booking under", "account holder", "card says", "signed for by", "spoke to", "spoke with", "regards", "cheers", "sincerely", "cc", "attn")
+_CONFIRM_SIGNS = (" thanks", " we", " by the way", " who ", ", ")
+_TITLE_SIGNS = ("mr", "ms", "mx", "miss", "dr", "prof", "sir", "herr", "frau")
+
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _AROUND = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|\d+|[#:@/.,!?()\[\]\n-]")
-#: Common words that begin sentences, never a name by themselves.
-_PLAIN = frozenset(
-    """a about after again all already also an and any anyone are as ask at be because been before between but by call can cancel check could did do does don't each even every for from
-    get give go good great had half happy has have hello her here hey hi his how i if in is it its just keep last let like look lol love me meanwhile more most my need no not now of off oh ok on
-    once one only or our out over pick please put reset same say see seriously set she should since so some someone somewhere steps still stop such take tell thank thanks that the their them then
-    there these they this three to tried try two type under until up us use very was we well went were what when where which while who why will with would yes you your
-    regards cheers sincerely dear attn much many lot bit way other another new old second third time times something nothing anything store chat team page plan mode note number account""".split()
-)
-
-
 @dataclass
 class Lattice:
     """Possible spans of one text: tokens, allowed labels, feature buckets, chains."""
@@ -184,10 +216,21 @@ def _shape(w: str) -> str:
     return re.sub(r"(.)\1+", r"\1+", s)
 
 
+@lru_cache(maxsize=1 << 17)
 def _h(x: str) -> int:
     return crc32(x.encode()) % BUCKETS
 
 
+@lru_cache(maxsize=1 << 16)
+def _word_features(w: str, known: bool) -> list[int]:
+    """Features of a word by itself. The list is shared: copy it to change it."""
+    low, digits = w.lower(), w.isdigit()
+    base = ["w=" + (f"#{len(w)}" if digits else low), "s=" + _shape(w)]
+    if not digits and len(w) > 2:
+        base += ["x3=" + low[-3:], "x4=" + low[-4:], "x5=" + low[-5:], "p3=" + low[:3], "g=1" if known else "g=0"]
+    return [_h(x) for x in base]
+
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -231,9 +274,13 @@ def _given_form(given: frozenset[str]) -> _Given | None:
 def spans_of(text: str, given_form: _Given | None = None) -> list[tuple[int, int, int, str]]:
     """``(start, end, type, kind)`` of everything that could be personal data."""
     out, mails = [], []
-    open_ = {k: rx.search(text) is not None for k, rx in _GATES.items()}
-    for t, kind, rx in _COMPILED:
-        if not open_.get(kind, open_.get(t, True)):
+    digit, low = _DIGIT.search(text) is not None, text.lower().replace("ſ", "s")
+    open_ = {k: (digit or k not in _DIGIT_GATES) and rx.search(text) is not None for k, rx in _GATES.items()}
+    open_["title"] = any(x in low for x in _TITLE_SIGNS)
+    open_["told"] = any(x in low for x in _CUE_SIGNS)
+    open_["told_weakly"] = any(x in low for x in _CONFIRM_SIGNS)
+    for t, kind, gate, rx in _COMPILED:
+        if not open_.get(gate, open_.get(t, True)):
             continue
         for m in rx.finditer(text):
             s, e = m.span("span") if kind in ("told", "here") else m.span()
@@ -277,8 +324,13 @@ def mentions(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[in
     names = sorted((s, e) for s, e, t, _ in spans if t == 5)
     if not names:
         return []
-    stems = {_stem(w) for s, e in names for m in _LETTERS.finditer(text, s, e) if _telling(w := m.group().lower())}
-    if not stems:
+    stems: Counter = Counter()
+    end = 0
+    for s, e in names:  # overlapping names count once
+        stems.update(_stem(w) for m in _LETTERS.finditer(text, max(s, end), e) if _telling(w := m.group().lower()))
+        end = max(end, e)
+    low = text.lower()
+    if all(low.count(x) <= n for x, n in stems.items()):
         return []
     taken = sorted((s, e) for s, e, t, _ in spans if t in (1, 5))
     out: list[tuple[int, int, int, str]] = []
@@ -321,11 +373,7 @@ def lattice(text: str, given: frozenset[str] = frozenset(), given_form: _Given |
             out.at.append(m.span())
             out.word.append(low)
             out.allowed.append(1)
-            digits = w.isdigit()
-            base = ["w=" + (f"#{len(w)}" if digits else low), "s=" + _shape(w)]
-            if not digits and len(w) > 2:
-                base += ["x3=" + low[-3:], "x4=" + low[-4:], "x5=" + low[-5:], "p3=" + low[:3], "g=1" if low in given else "g=0"]
-            out.feats.append([_h(x) for x in base])
+            out.feats.append(_word_features(w, low in given))
         for s, e, t, kind in group:
             own = [i for i in range(first, len(out.at)) if s <= out.at[i][0] < e]
             if not own:
