@@ -15,12 +15,17 @@ TOKEN = r"[a-z0-9#]+"
 EMAIL = r"[\w.+-]+@[\w-]+\.[\w.]+"
 ORDER = r"\b\d{3}-\d{7}-\d{7}\b"
 CARD = r"\b(?:\d[ -]*?){13,16}\b"
-PHONE = r"\+?\d[\d\s().-]{7,}\d"
+PHONE = r"(?:\+?\d[\d\s().-]{7,}\d)"
 MONEY = r"[$£€]\s?\d[\d,]*(?:\.\d{2})?"
 DURATION = r"(?i)\b\d+\s*(?:business\s+)?(?:hour|day|week|month)s?\b"
 NUMBER = r"\b\d[\d,]*(?:\.\d+)?\b"
 DATE = r"(?i)\b(?:\d{1,2}[/-]\d{1,2}(?:[/-]\d{2,4})?|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\s+\d{1,2})\b"
-LINK = r"(?i)https?://[^\s)]+|\bwww\.[^\s)]+"
+LINK = r"(?i)https?://[^\s)]+|\b(?:www\.)[^\s)]+"
+REFUND = r"\brefund(?:ed|ing)?\b"
+NO_REFUND = r"\b(?:can(?:no|')t|cannot|unable to|no)\s+refund"
+WINDOW = r"\bwithin\s+(\d+)\s*(?:business\s+)?(day|week|month)s?\b"
+ENTITLED = r"(?i)\byou(?:'re| are)\s+entitled\s+to\s+([^.!?]{1,60})"
+PASSED_ON = r"(?i)\b(?:we(?:'ll| will)|I(?:'ll| will))\s+(?:escalate|pass this (?:on|to)|have (?:a|our) (?:specialist|manager|team)[^.!?]{0,40})"
 INJECTION = ["ignore previous instructions", "ignore all previous", "system prompt", "you are now", "disregard the above", "new instructions"]
 SELF_HARM = [
     "kill myself", "killing myself", "end my life", "ending my life", "want to die", "wanna die", "better off dead", "suicidal", "suicide", "self harm", "self-harm", "hurt myself",
@@ -108,16 +113,15 @@ def first(c: Column, pattern: str, group: int = 0) -> Column:
 #: Names and expressions of what a draft commits to.
 def commitments(c: Column) -> dict[str, Column]:
     low = F.lower(text(c))
-    window = r"\bwithin\s+(\d+)\s*(?:business\s+)?(day|week|month)s?\b"
-    unit = F.regexp_extract(low, window, 2)
-    days = F.regexp_extract(low, window, 1).try_cast("int") * F.when(unit == "day", 1).when(unit == "week", 7).when(unit == "month", 30)
+    unit = F.regexp_extract(low, WINDOW, 2)
+    days = F.regexp_extract(low, WINDOW, 1).try_cast("int") * F.when(unit == "day", 1).when(unit == "week", 7).when(unit == "month", 30)
     return {
-        "refund_offered": low.rlike(r"\brefund(?:ed|ing)?\b") & ~low.rlike(r"\b(?:can(?:no|')t|cannot|unable to|no)\s+refund"),
+        "refund_offered": low.rlike(REFUND) & ~low.rlike(NO_REFUND),
         "refund_window_days": days,
         "compensation_amount": F.get(amounts(c), F.lit(0)),
         "promised_timeline": first(c, DURATION),
-        "entitlement_claimed": first(c, r"(?i)\byou(?:'re| are)\s+entitled\s+to\s+([^.!?]{1,60})", 1),
-        "escalation_promise": first(c, r"(?i)\b(?:we(?:'ll| will)|I(?:'ll| will))\s+(?:escalate|pass this (?:on|to)|have (?:a|our) (?:specialist|manager|team)[^.!?]{0,40})"),
+        "entitlement_claimed": first(c, ENTITLED, 1),
+        "escalation_promise": first(c, PASSED_ON),
     }
 
 

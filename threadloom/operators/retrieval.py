@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import tokens
+from threadloom.functions.text import TOKEN, tokens
+from threadloom.session import checkpoint
 
 K1, B = 1.5, 0.75
+#: Classes whose mean vectors a row is compared with at most.
+CLASSES = 4096
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -48,39 +53,101 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 1024, slice_: int = 8192, within: str | None = None) -> DataFrame:
-    """``(q, id, score, rank)``: the k nearest of all ``vectors(id, v)`` to each of ``queries(q, v)`` by dot product, not itself.
+#: Scores that a task holds at once: a chunk of a query block by one slice.
+HELD = 1 << 24
 
-    A stated query set against all rows in blocks: queries lie in blocks of about
-    ``block``, rows in slices of about ``slice_``; a task multiplies one block with one
-    slice and keeps k per query, so no task holds more than one of each. With ``within``,
-    a column of both, a query meets only rows of its own value, all of them; null has none.
-    """
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k best per row, ties to the lower id; scores of minus infinity are none."""
+    if scores.shape[1] > k:
+        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k]
+        row, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+    else:
+        row, col = np.nonzero(np.isfinite(scores))
+    order = np.lexsort((ids[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[place < k], col[place < k]
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(column), -1)
+
+
+def _blocks(vectors: DataFrame, queries: DataFrame, block: int, slice_: int, within: str | None) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the numbers ``s`` and ``b`` of their slice and block, each slice once per block and the reverse."""
     by = [] if within is None else [within]
     for c in by:
         vectors, queries = vectors.where(F.col(c).isNotNull()), queries.where(F.col(c).isNotNull())
     # the largest group of a column sets the number of slices of each
     n, m = (x.groupBy(*by).count().agg(F.max("count")).first()[0] or 0 for x in (vectors, queries))
     slices, blocks = max(1, -(-n // slice_)), max(1, -(-m // block))
-    rows = vectors.select("id", "v", *by).withColumn("s", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    asks = queries.select("q", "v", *by).withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")))
+    rows = vectors.withColumn("s", F.pmod(F.xxhash64("id"), F.lit(slices))).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
+    asks = queries.withColumn("b", F.pmod(F.xxhash64("q"), F.lit(blocks))).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")))
+    return rows, asks, ["s", "b", *by]
+
+
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 8192, slice_: int = 32_768, within: str | None = None) -> DataFrame:
+    """``(q, id, score, rank)``: the k nearest of all ``vectors(id, v)`` to each of ``queries(q, v)`` by dot product, not itself.
+
+    A stated query set against all rows in blocks: queries lie in blocks of about
+    ``block``, rows in slices of about ``slice_``; a task multiplies one block with one
+    slice, some queries at a time, and keeps k per query. A row is copied once per block,
+    so blocks are as large as a task can hold. With ``within``, a column of both, a query
+    meets only rows of its own value, all of them; null has none.
+    """
+    rows, asks, by = _blocks(vectors.select("id", "v", *([within] if within else [])), queries.select("q", "v", *([within] if within else [])), block, slice_, within)
 
     def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"q": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        ids, qs = left.column("id").to_numpy(), right.column("q").to_numpy()
-        scores = np.round(np.stack(right.column("v").to_pylist()).astype(np.float64) @ np.stack(left.column("v").to_pylist()).astype(np.float64).T, 6)
-        scores[qs[:, None] == ids[None, :]] = -np.inf
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :k]
-        q, i, s = np.repeat(qs, order.shape[1]), ids[order].ravel(), np.take_along_axis(scores, order, 1).ravel()
-        keep = np.isfinite(s)
-        return pa.table({"q": q[keep], "id": i[keep], "score": s[keep]})
-
-    best = rows.groupBy("s", "b", *by).cogroup(asks.groupBy("s", "b", *by)).applyInArrow(multiply, "q bigint, id bigint, score double")
+        found: list[list[np.ndarray]] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            ids, qs = left.column("id").to_numpy(), right.column("q").to_numpy()
+            x, y = _matrix(left.column("v")), _matrix(right.column("v"))
+            step = max(1, HELD // len(ids))
+            for at in range(0, len(qs), step):
+                some = qs[at : at + step]
+                scores = np.round(y[at : at + step] @ x.T, 6)
+                scores[some[:, None] == ids[None, :]] = -np.inf
+                row, col = _best(scores, ids, k)
+                for to, part in zip(found, (some[row], ids[col], scores[row, col]), strict=True):
+                    to.append(part)
+        q, i, v = (np.concatenate(x) if x else np.zeros(0) for x in found)
+        return pa.table({"q": pa.array(q, pa.int64()), "id": pa.array(i, pa.int64()), "score": pa.array(v, pa.float64())})
+
+    best = rows.groupBy(*by).cogroup(asks.groupBy(*by)).applyInArrow(multiply, "q bigint, id bigint, score double")
     return top(best, "q", "score", F.col("id"), k)
 
 
+def best_per_label(vectors: DataFrame, queries: DataFrame, block: int = 8192, slice_: int = 32_768) -> DataFrame:
+    """``(q, label, score)``: the nearest of all ``vectors(id, v, label)`` of each label to each of ``queries(q, v)``, not itself."""
+    rows, asks, by = _blocks(vectors.select("id", "v", "label"), queries.select("q", "v"), block, slice_, None)
+
+    def multiply(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[list[np.ndarray]] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            label = left.column("label").to_numpy()
+            order = np.argsort(label, kind="stable")
+            label, ids, x = label[order], left.column("id").to_numpy()[order], _matrix(left.column("v"))[order]
+            qs, y = right.column("q").to_numpy(), _matrix(right.column("v"))
+            kinds, first = np.unique(label, return_index=True)
+            step = max(1, HELD // len(ids))
+            for at in range(0, len(qs), step):
+                some = qs[at : at + step]
+                scores = np.round(y[at : at + step] @ x.T, 6)
+                scores[some[:, None] == ids[None, :]] = -np.inf
+                best = np.maximum.reduceat(scores, first, axis=1)
+                row, col = np.nonzero(np.isfinite(best))
+                for to, part in zip(found, (some[row], kinds[col], best[row, col]), strict=True):
+                    to.append(part)
+        q, c, v = (np.concatenate(x) if x else np.zeros(0) for x in found)
+        return pa.table({"q": pa.array(q, pa.int64()), "label": pa.array(c, pa.int32()), "score": pa.array(v, pa.float64())})
+
+    each = rows.groupBy(*by).cogroup(asks.groupBy(*by)).applyInArrow(multiply, "q bigint, label int, score double")
+    return each.groupBy("q", "label").agg(F.max("score").alias("score"))
+
+
 def reciprocal_ranks(lists: DataFrame, by: str, item: str, k: int = 60) -> DataFrame:
     """Fusion of ranked lists ``(by, item, rank)``: the sum of 1 / (k + rank), best first, ties by the item as text."""
     fused = lists.groupBy(by, item).agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"))
@@ -105,22 +172,17 @@ def diversify(pool: DataFrame, by: str, item: str, relevance: str, vector: str,
     return picked
 
 
-def ranking_measures(ranked: DataFrame, relevant: DataFrame, by: str, item: str, k: int) -> DataFrame:
-    """Per group recall, reciprocal rank and gain at k; no relevant item: 0."""
-    hits = ranked.where(F.col("rank") <= k).join(relevant.select(by, item).withColumn("hit", F.lit(1)), [by, item], "left")
-    sizes = relevant.groupBy(by).agg(F.count("*").alias("relevant"))
+def ranking_measures(ranked: DataFrame, sizes: DataFrame, by: str, k: int) -> DataFrame:
+    """Per group recall, reciprocal rank and gain at k of ``ranked(by, rank, hit)``; ``sizes(by, relevant)`` says how many there are, none: 0."""
+    hit = F.col("hit") & (F.col("rank") <= k)
     ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("relevant"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1.0 / F.log2(i + 1.0))
-    g = hits.groupBy(by).agg(
-        F.sum(F.coalesce("hit", F.lit(0))).alias("found"),
-        F.max(F.when(F.col("hit") == 1, 1.0 / F.col("rank"))).alias("rr"),
-        F.sum(F.when(F.col("hit") == 1, 1.0 / F.log2(F.col("rank") + 1.0))).alias("gain"),
-    )
-    out = g.join(sizes, by, "left")
-    return out.select(
+    g = ranked.groupBy(by).agg(F.count_if(hit).alias("found"), F.max(F.when(hit, 1.0 / F.col("rank"))).alias("rr"), F.sum(F.when(hit, 1.0 / F.log2(F.col("rank") + 1.0))).alias("gain"))
+    some = F.col("relevant") > 0
+    return g.join(sizes, by, "left").select(
         by,
-        F.round(F.coalesce(F.col("found") / F.col("relevant"), F.lit(0.0)), 6).alias("recall"),
+        F.round(F.coalesce(F.when(some, F.col("found") / F.col("relevant")), F.lit(0.0)), 6).alias("recall"),
         F.round(F.coalesce("rr", F.lit(0.0)), 6).alias("mrr"),
-        F.round(F.coalesce(F.col("gain") / F.when(F.col("relevant") > 0, ideal), F.lit(0.0)), 6).alias("ndcg"),
+        F.round(F.coalesce(F.when(some, F.col("gain") / ideal), F.lit(0.0)), 6).alias("ndcg"),
     )
 
 
@@ -131,13 +193,16 @@ def nearest_centroid(vectors: DataFrame) -> DataFrame:
     """
     means = vectors.select("label", F.posexplode("v").alias("d", "x")).groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("m"))
     centers = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("c"))
+    # classes x dimensions are broadcast: checked
+    if vectors.select("label").distinct().limit(CLASSES + 1).count() > CLASSES:
+        raise ValueError(f"more than {CLASSES} classes")
     table = centers.agg(F.array_sort(F.collect_list(F.struct(F.col("label").alias("k"), "c"))).alias("centers"))  # one row: classes x dimensions
     far = lambda c, v: F.round(F.aggregate(F.zip_with(c, v, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x), 6)
     best = F.array_min(F.transform("centers", lambda s: F.struct(far(s["c"], F.col("v")).alias("far"), s["k"].alias("k"))))
     return vectors.crossJoin(F.broadcast(table)).select("id", "label", best["k"].alias("nearest"))
 
 
-def batches_of(df: DataFrame, fn, schema: str) -> DataFrame:
+def batches_of(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """Hook for an external model: ``fn`` maps Arrow batches; nothing is called over a network here."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,3 +210,99 @@ def batches_of(df: DataFrame, fn, schema: str) -> DataFrame:
             yield fn(b)
 
     return df.mapInArrow(run, schema)
+
+
+#: Numbers of a hashed vector.
+WIDTH = 64
+_HASHES: dict[str, int] = {}
+
+
+def hashed_vector(text: str | None) -> list[float]:
+    """A stand-in for an encoder: signed counts of tokens by the first 32 bits of their md5, of length 1; without tokens all 0."""
+    out = np.zeros(WIDTH)
+    for w in re.findall(TOKEN, (text or "").lower()):
+        h = _HASHES.get(w)
+        if h is None:
+            if len(_HASHES) > 200_000:
+                _HASHES.clear()
+            h = _HASHES[w] = int(md5(w.encode(), usedforsecurity=False).hexdigest()[:8], 16)
+        out[h % WIDTH] += 1 if h // WIDTH % 2 == 0 else -1
+    length = np.sqrt((out * out).sum())
+    return (out / length if length else out).tolist()
+
+
+def embedded(rows: DataFrame, key: str, text: str, encoder: Callable[[str | None], list[float]] = hashed_vector) -> DataFrame:
+    """``(id, v)`` of ``rows(key BIGINT, text)`` by an encoder; pass a model's to have its vectors."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array([encoder(t) for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["id", "v"])
+
+    return batches_of(rows.select(F.col(key).alias("id"), F.col(text).alias("text")), run, "id bigint, v array<double>")
+
+
+def pools(docs: DataFrame, tail: int = 5) -> DataFrame:
+    """``(pool, id)``: per brand and intent of ``docs(id, brand, intent)`` its rows and the brand's first ``tail`` others by id.
+
+    The first ``tail`` of each brand and intent hold the first of any "all but one intent".
+    """
+    named = docs.where("brand is not null and intent is not null").select("id", "brand", "intent", F.concat_ws("\x1f", "brand", "intent").alias("pool"))
+    heads = top(named.withColumn("one", F.lit(1)), "pool", "one", F.col("id"), tail).select("brand", "id", F.col("intent").alias("other"))
+    each = named.select("brand", "intent", "pool").distinct()
+    others = each.join(heads, "brand").where("other != intent").withColumn("k", F.row_number().over(Window.partitionBy("pool").orderBy("id"))).where(F.col("k") <= tail)
+    return named.select("pool", "id").unionByName(others.select("pool", "id"))
+
+
+def pooled_bm25(docs: DataFrame, pool: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """``(q, id, rank)``: the k best of a query's pool by BM25, ties and documents that share no term by id.
+
+    ``docs(id, text)`` give the statistics, ``pool(pool, id)`` the members, ``asked(q, pool,
+    text)`` the queries. Postings are joined by pool and term, so a query never meets a
+    document of another pool. A query isn't in its own list.
+    """
+    sized = docs.select("id", "text").withColumn("dl", F.size(tokens(F.col("text"))))
+    stats = sized.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
+    posts = postings(docs, "id", "text")
+    df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats)  # one row of statistics
+    idf = df.withColumn("idf", F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))).where("idf > 0").select("term", "idf", "avgdl")
+    terms = postings(asked, "q", "text").withColumnRenamed("tf", "qtf").join(asked.select("q", "pool"), "q").join(idf, "term")
+    tf = F.col("tf").cast("double")
+    part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    held = posts.join(pool, "id").join(sized.select("id", "dl"), "id")
+    scored = terms.join(held, ["pool", "term"]).where("q != id").groupBy("q", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    best = top(scored, "q", "score", F.col("id"), k).select("q", "id", "score")
+    # the rest of a list: the first of the pool that aren't scored; 2k + 1 of them hold k even if the query and k scored ones are among them
+    first = top(pool.withColumn("one", F.lit(1)), "pool", "one", F.col("id"), 2 * k + 1).select("pool", "id")
+    rest = asked.select("q", "pool").join(first, "pool").where("q != id").select("q", "id").join(best.select("q", "id"), ["q", "id"], "left_anti").withColumn("score", F.lit(0.0))
+    return top(best.unionByName(rest), "q", "score", F.col("id"), k).select("q", "id", "rank")
+
+
+def hybrid(docs: DataFrame, asked: DataFrame, candidates: int = 50, k: int = 3, tail: int = 5, encoder: Callable[[str | None], list[float]] = hashed_vector) -> DataFrame:
+    """``(q, id, pick, bm25_rank, dense_rank, rrf_score, dense_score)``: lexical and dense lists of a query's pool, fused, then diversified.
+
+    ``docs(id, brand, intent, text)`` and the ids of ``asked(q)`` among them. A rank is
+    null where only the other list has the item. Queries without brand or intent have no
+    pool and no rows.
+    """
+    pool = checkpoint(pools(docs, tail))
+    vectors = checkpoint(embedded(docs, "id", "text", encoder))
+    own = asked.join(docs.where("brand is not null and intent is not null").select(F.col("id").alias("q"), F.concat_ws("\x1f", "brand", "intent").alias("pool"), "text"), "q")
+    lexical = checkpoint(pooled_bm25(docs, pool, own, candidates))
+    of_query = own.select("q", "pool").join(vectors.select(F.col("id").alias("q"), "v"), "q")
+    dense = checkpoint(dense_topk(pool.join(vectors, "id"), of_query, candidates, within="pool"))
+    fused = reciprocal_ranks(lexical.select("q", "id", "rank").unionByName(dense.select("q", "id", "rank")), "q", "id").select("q", "id", F.col("score").alias("rrf_score"))
+    with_v = fused.join(vectors, "id").join(vectors.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q")
+    scored = checkpoint(with_v.withColumn("dense_score", F.round(dot(F.col("v"), F.col("qv")), 6)).drop("qv"))
+    picked = diversify(scored, "q", "id", "dense_score", "v", k)
+    ranks = lexical.select("q", "id", F.col("rank").alias("bm25_rank"))
+    return (
+        picked.select("q", "id", "pick")
+        .join(scored.select("q", "id", "rrf_score", "dense_score"), ["q", "id"])
+        .join(ranks, ["q", "id"], "left")
+        .join(dense.select("q", "id", F.col("rank").alias("dense_rank")), ["q", "id"], "left")
+        .select("q", "id", "pick", "bm25_rank", "dense_rank", "rrf_score", "dense_score")
+    )
+
+
+def top1_similarity(evidence: Column) -> Column:
+    """The highest dense score of an array of exemplars, the fused one where that is null; 0 without any."""
+    return F.coalesce(F.array_max(F.transform(evidence, lambda e: F.coalesce(e["dense_score"], e["rrf_score"]))), F.lit(0.0))

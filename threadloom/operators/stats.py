@@ -2,12 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 Z = 1.96
 
 
+def few(rows: DataFrame, most: int = 10_000) -> DataFrame:
+    """``rows``, for a broadcast: more than ``most`` are an error."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows to broadcast")
+    return rows
+
+
+def percentiles(rows: DataFrame, column: str, wanted: dict[str, float]) -> DataFrame:
+    """One row of exact percentiles, interpolated between neighbours and rounded to four decimals.
+
+    Values are counted, the counts summed over 10,000 equal parts of their range, and
+    windows run over the parts and over the values of one part.
+    """
+    value = F.col(column).cast("double").alias("v")
+    counts = rows.where(F.col(column).isNotNull()).groupBy(value).agg(F.count("*").alias("c"))
+    ends = counts.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("c").alias("n"))
+    part = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(9999), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 10_000))).otherwise(0)
+    each = counts.crossJoin(ends).withColumn("part", part.cast("int"))  # one row of ends
+    parts = each.groupBy("part").agg(F.sum("c").alias("c"))
+    before = parts.select("part", (F.sum("c").over(Window.orderBy("part")) - F.col("c")).alias("before"))
+    upto = each.withColumn("inside", F.sum("c").over(Window.partitionBy("part").orderBy("v"))).join(before, "part").withColumn("upto", F.col("before") + F.col("inside"))
+    aggs = []
+    for name, q in wanted.items():
+        at = F.lit(q) * (F.col("n") - 1)
+        aggs += [F.min(F.when(F.col("upto") > F.floor(at), F.col("v"))).alias(f"{name}_lo"), F.min(F.when(F.col("upto") > F.ceil(at), F.col("v"))).alias(f"{name}_hi")]
+    g = upto.agg(F.max("n").alias("n"), *aggs)
+    share = {k: F.lit(q) * (F.col("n") - 1) - F.floor(F.lit(q) * (F.col("n") - 1)) for k, q in wanted.items()}
+    return g.select(*(F.round(F.col(f"{k}_lo") + (F.col(f"{k}_hi") - F.col(f"{k}_lo")) * share[k], 4).alias(k) for k in wanted))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, 0 where b is 0."""
     return F.when(b == 0, F.lit(0.0)).otherwise(a.cast("double") / F.when(b != 0, b))
@@ -89,23 +123,200 @@ def agreement(rows: DataFrame, a: Column, b: Column, *by: str) -> DataFrame:
     return g.select(*by, "n", "yes", "no", *(F.round(x, 6).alias(k) for k, x in (("p0", p0), ("pe", pe), ("kappa", kappa), ("pabak", 2 * p0 - 1), ("ac1", (p0 - ge) / (1 - ge)))))
 
 
-def risk_coverage(rows: DataFrame) -> DataFrame:
-    """Coverage and risk at each confidence of four decimals, most confident first: at most 10,001 rows."""
-    g = rows.where("conf is not null").groupBy(F.round("conf", 4).alias("conf")).agg(F.count("*").alias("n"), F.count_if("wrong").alias("w"))
-    down = Window.orderBy(F.desc("conf"))
-    run = g.withColumn("kept", F.sum("n").over(down)).withColumn("bad", F.sum("w").over(down)).withColumn("all", F.sum("n").over(Window.partitionBy()))
-    return run.select("conf", "kept", "bad", F.round(F.col("kept") / F.col("all"), 6).alias("coverage"), F.round(F.col("bad") / F.col("kept"), 6).alias("risk"))
+#: Confidences are summed in whole units of this size, so that no sum depends on the order of its rows.
+UNIT = 1_000_000_000
+
+
+def units(c: Column) -> Column:
+    return F.round(c * UNIT).cast("bigint")
+
+
+def mean6(total: Column, n: Column) -> Column:
+    """Mean of a sum in units, rounded half up to six decimals in whole numbers."""
+    per = UNIT // 1_000_000
+    return _div(2 * total + n * per, 2 * n * per) / 1_000_000.0
+
+
+def _div(a: Column, b: Column) -> Column:
+    """Whole quotient of whole numbers."""
+    return F.call_function("div", a, b)
+
+
+def ranked(rows: DataFrame, key: Column) -> DataFrame:
+    """``rank, errors, conf`` of ``rows(conf, wrong)``, the most confident first, ties by the md5 of ``key``; ``errors`` counts the wrong ones so far.
+
+    Counts are summed over the confidences of four decimals (a window of at most 10,001
+    rows), then over the confidences and first two digits of the md5 within one of these;
+    the last window holds rows of one confidence and two digits only, so that a confidence
+    that a third of all rows have is split too.
+    """
+    each = rows.where("conf is not null").select("conf", "wrong", F.md5(key).alias("h"))
+    each = each.withColumn("part", F.floor(F.col("conf") * 10_000)).withColumn("two", F.substring("h", 1, 2))
+    small = each.groupBy("part", "conf", "two").agg(F.count("*").alias("n"), F.count_if("wrong").alias("w"))
+    large = small.groupBy("part").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+
+    def before(over: WindowSpec) -> list[Column]:
+        return [F.coalesce(F.sum(c).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"{c}0") for c in ("n", "w")]
+
+    above = large.select("part", *before(Window.orderBy(F.desc("part")))).select("part", F.col("n0").alias("n1"), F.col("w0").alias("w1"))
+    within = small.select("part", "conf", "two", *before(Window.partitionBy("part").orderBy(F.desc("conf"), "two"))).join(above, "part").select("conf", "two", (F.col("n0") + F.col("n1")).alias("n0"), (F.col("w0") + F.col("w1")).alias("w0"))
+    inside = Window.partitionBy("conf", "two").orderBy("h")
+    own = each.withColumn("k", F.row_number().over(inside)).withColumn("e", F.sum(F.col("wrong").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return own.join(within, ["conf", "two"]).select((F.col("n0") + F.col("k")).alias("rank"), (F.col("w0") + F.col("e")).alias("errors"), "conf")
+
+
+def risk_coverage(rows: DataFrame, key: Column) -> DataFrame:
+    """Coverage and risk after each row, most confident first."""
+    r = ranked(rows, key)
+    n = F.count("*").alias("n")
+    return r.crossJoin(r.agg(n)).select("rank", "errors", F.round(F.col("rank") / F.col("n"), 6).alias("coverage"), F.round(F.col("errors") / F.col("rank"), 6).alias("risk"))  # one row
+
 
+def risk_summary(rows: DataFrame, key: Column) -> DataFrame:
+    """Mean risk over all ranks, that of the best order, what the order costs, and accuracy at full coverage."""
+    r = ranked(rows, key)
+    total = rows.where("conf is not null").agg(F.count("*").alias("n"), F.count_if(~F.col("wrong")).alias("right"))
+    oracle = F.greatest(F.lit(0), F.col("rank") - F.col("right")) / F.col("rank")
+    means = r.crossJoin(total).agg(F.avg(F.col("errors") / F.col("rank")).alias("a"), F.avg(oracle).alias("o"), F.max("n").alias("n"), F.max("right").alias("right"))  # one row
+    return means.select("n", F.round("a", 6).alias("aurc"), F.round("o", 6).alias("aurc_oracle"), F.round(F.col("a") - F.col("o"), 6).alias("e_aurc"), F.round(F.col("right") / F.col("n"), 6).alias("accuracy"))
 
-def calibration(rows: DataFrame, bins: int = 10) -> DataFrame:
-    """Per bin of confidence: rows, mean confidence, accuracy; empty bins stay, the last is closed."""
-    edges = [i * 0.1 for i in range(bins + 1)] if bins == 10 else [i / bins for i in range(bins + 1)]
+
+#: Lower ends of the ten bins of confidence but the first; the products that a grid of tenths has.
+EDGES = [i * 0.1 for i in range(1, 10)]
+
+
+def bins_of(rows: DataFrame) -> DataFrame:
+    """``bin, n, total, right`` of the bins with rows; ``total`` is their confidence in units."""
     at = F.lit(0)
-    for e in edges[1:-1]:
+    for e in EDGES:
         at = at + F.when(F.col("conf") >= e, 1).otherwise(0)
-    g = rows.where("conf is not null").groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.avg("conf").alias("mean_conf"), F.avg((~F.col("wrong")).cast("double")).alias("accuracy"))
-    every = rows.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return every.join(g, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), F.round("mean_conf", 6).alias("mean_conf"), F.round("accuracy", 6).alias("accuracy"))
+    return rows.where("conf is not null").groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.sum(units(F.col("conf"))).alias("total"), F.count_if(~F.col("wrong")).alias("right"))
+
+
+def calibration(rows: DataFrame) -> DataFrame:
+    """Per tenth of confidence: rows, mean confidence, accuracy; empty bins stay, the last is closed."""
+    every = rows.sparkSession.range(10).select(F.col("id").cast("int").alias("bin"))
+    g = bins_of(rows).select("bin", "n", mean6(F.col("total"), F.col("n")).alias("mean_conf"), F.round(F.col("right") / F.col("n"), 6).alias("accuracy"))
+    return every.join(g, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "mean_conf", "accuracy")
+
+
+def calibration_summary(rows: DataFrame) -> DataFrame:
+    """Brier score, its reliability, resolution and uncertainty over ten bins, expected calibration error, mean rows per bin."""
+    y = (~F.col("wrong")).cast("int")
+    whole = rows.where("conf is not null").agg(F.count("*").alias("all"), F.sum(units((F.col("conf") - y) * (F.col("conf") - y))).alias("sq"), F.sum(y).alias("hits"))
+    b = bins_of(rows).crossJoin(whole)  # one row
+    mean, acc, base, share = F.col("total") / (F.col("n") * float(UNIT)), F.col("right") / F.col("n"), F.col("hits") / F.col("all"), F.col("n") / F.col("all")
+    g = b.agg(
+        F.max("all").alias("n"), F.max("sq").alias("sq"), F.max("hits").alias("hits"), F.sum(share * (mean - acc) * (mean - acc)).alias("rel"),
+        F.sum(share * (acc - base) * (acc - base)).alias("res"), F.sum(share * F.abs(mean - acc)).alias("ece"),
+    )
+    p = F.col("hits") / F.col("n")
+    return g.select("n", mean6(F.col("sq"), F.col("n")).alias("brier"), *(F.round(x, 6).alias(k) for k, x in (("reliability", F.col("rel")), ("resolution", F.col("res")), ("uncertainty", p * (1 - p)), ("ece", F.col("ece")), ("rows_per_bin", F.col("n") / 10))))
+
+
+def out_of_scope(counts: DataFrame, other: str, *by: str) -> DataFrame:
+    """Precision, recall, F1 and support of one label against all others, from ``counts(gold, pred, c)``; 0 where undefined."""
+    is_, said = F.col("gold") == other, F.col("pred") == other
+    g = counts.groupBy(*by).agg(*(F.coalesce(F.sum(F.when(x, F.col("c"))), F.lit(0)).alias(k) for k, x in (("tp", is_ & said), ("fp", ~is_ & said), ("fn", is_ & ~said))))
+    precision, recall = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("tp") + F.col("fn"))
+    return g.select(*by, (F.col("tp") + F.col("fn")).alias("support"), F.round(precision, 6).alias("precision"), F.round(recall, 6).alias("recall"), F.round(ratio(2 * precision * recall, precision + recall), 6).alias("f1"))
+
+
+#: Above this symmetry two labels are one problem of the taxonomy; fixed value.
+SYMMETRIC = 0.35
+
+
+def confusion(counts: DataFrame) -> DataFrame:
+    """Every cell with its share of the gold label; off the diagonal the reverse count, the symmetry and what that says."""
+    back = counts.select(F.col("gold").alias("pred"), F.col("pred").alias("gold"), F.col("c").alias("rev"))
+    size = counts.groupBy("gold").agg(F.sum("c").alias("n"))
+    rev = F.coalesce("rev", F.lit(0))
+    symmetry = F.least("c", rev) / (F.col("c") + rev)
+    off = F.col("gold") != F.col("pred")
+    return counts.join(size, "gold").join(back, ["gold", "pred"], "left").select(
+        "gold", "pred", "c", F.round(F.col("c") / F.col("n"), 6).alias("share"), F.when(off, rev).alias("reverse"), F.when(off, F.round(symmetry, 6)).alias("symmetry"),
+        F.when(off, F.when(symmetry > SYMMETRIC, "symmetric").otherwise("asymmetric")).alias("diagnosis"),
+    )
+
+
+#: Chi-square of one degree at 0.05; fixed value.
+CHI_05 = 3.841
+
+
+def mcnemar_report(pairs: DataFrame, *by: str) -> DataFrame:
+    """``pairs(a, b)``: discordant counts, the test, whether it is significant, and the least difference in points that could be."""
+    g = pairs.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(F.col("a") & ~F.col("b")).alias("only_a"), F.count_if(~F.col("a") & F.col("b")).alias("only_b"))
+    chi, p = mcnemar(F.col("only_a"), F.col("only_b"))
+    d = F.col("only_a") + F.col("only_b")
+    least = F.when(d > 0, 100.0 * (F.sqrt(CHI_05 * d) + 1) / F.col("n"))
+    return g.select(*by, "n", "only_a", "only_b", F.round(chi, 6).alias("chi2"), F.round(p, 4).alias("p"), (chi > CHI_05).alias("significant"), F.round(least, 6).alias("detectable_points"))
+
+
+def agreement_report(rows: DataFrame, a: Column, b: Column) -> DataFrame:
+    """``agreement`` with the interval of the raw agreement and the band of the chance-corrected one: from 0.8 reliable, from 0.667 tentative."""
+    g = agreement(rows, a, b)
+    lo, hi = wilson(F.col("yes") + F.col("no"), F.col("n"))
+    band = F.when(F.col("kappa") >= 0.8, "reliable").when(F.col("kappa") >= 0.667, "tentative").otherwise("discard")
+    return g.select("*", F.round(lo, 6).alias("low"), F.round(hi, 6).alias("high"), band.alias("band"))
+
+
+def sensitivity(rows: DataFrame, ratios: tuple[int, ...] = (5, 10, 20, 50), default: int = 20) -> DataFrame:
+    """Per cost ratio R the cut R / (R + 1): what is kept, its risk and interval (0 to 1 if nothing is), and the cost of a hundred rows.
+
+    A wrong row that is kept costs R, a right one that isn't costs 1.
+    """
+    d = rows.where("conf is not null").withColumn("ratio", F.explode(F.array(*map(F.lit, ratios))))  # a few ratios, reduced in the map
+    keep = F.col("conf") >= F.col("ratio") / (F.col("ratio") + 1.0)
+    g = d.groupBy("ratio").agg(F.count("*").alias("n"), F.count_if(keep).alias("kept"), F.count_if(keep & F.col("wrong")).alias("bad"), F.count_if(~keep & ~F.col("wrong")).alias("needless"))
+    lo, hi = wilson(F.col("bad"), F.col("kept"))
+    cost = 100.0 * (F.col("bad") * F.col("ratio") + F.col("needless")) / F.col("n")
+    return g.select(
+        "ratio", F.round(F.col("ratio") / (F.col("ratio") + 1.0), 6).alias("threshold"), "n", "kept", "bad", F.round(F.col("kept") / F.col("n"), 6).alias("coverage"), F.round(ratio(F.col("bad"), F.col("kept")), 6).alias("risk"),
+        F.round(F.coalesce(lo, F.lit(0.0)), 6).alias("low"), F.round(F.coalesce(hi, F.lit(1.0)), 6).alias("high"), F.round(cost, 4).alias("cost"), (F.col("ratio") == default).alias("is_default"),
+    )
+
+
+def bootstrap_cells(counts: DataFrame, metrics: str, reps: int = 10_000, seed: int = 42, chunk: int = 500) -> DataFrame:
+    """``metric, reps, low, median, high``: percentile intervals over ``reps`` resamples of all rows.
+
+    ``counts(gold, pred, c)`` is all that a resample needs: n draws with replacement from
+    the rows are one multinomial draw over the cells, so a replicate costs the number of
+    cells, not of rows. The cells of a few labels reach the driver. ``metrics``: "labels" gives
+    accuracy and macro-F1 with absent classes dropped or scored 0; "pairs" takes gold and
+    pred as whether two systems are right and gives their difference, and the share of
+    replicates in which the first leads by nothing.
+    """
+    cells = counts.where("c > 0").orderBy("gold", "pred").limit(100_001).collect()
+    if len(cells) > 100_000:
+        raise ValueError("more than 100,000 cells")
+    n = sum(r["c"] for r in cells)
+    if not n:
+        raise ValueError("cannot resample no rows")
+    share = np.array([r["c"] for r in cells], float) / n
+    labels = sorted({r["gold"] for r in cells} | {r["pred"] for r in cells})
+    at = {x: i for i, x in enumerate(labels)}
+    gold, pred = (np.array([at[r[k]] for r in cells]) for k in ("gold", "pred"))
+    values = np.array([int(r["gold"]) - int(r["pred"]) for r in cells]) if metrics == "pairs" else None
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for task in (x for b in batches for x in b.column(0).to_pylist()):
+            rng = np.random.default_rng([seed, task])
+            drawn = rng.multinomial(n, share, min(chunk, reps - task * chunk)).astype(float)
+            if values is not None:
+                out = {"difference": drawn @ values / n}
+            else:
+                hit = gold == pred
+                tp, fp, fn = (drawn @ np.stack([m & (k == i) for i in range(len(labels))], 1).astype(float) for m, k in ((hit, gold), (~hit, pred), (~hit, gold)))
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    f1 = np.where(tp + fp + fn > 0, 2 * tp / (2 * tp + fp + fn), np.nan)
+                out = {"accuracy": drawn @ hit / n, "macro_f1_drop_class": np.nanmean(f1, 1), "macro_f1_score_zero": np.nan_to_num(f1).mean(1)}
+            for k, v in out.items():
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(v)), pa.array(v)], ["metric", "value"])
+
+    tasks = counts.sparkSession.range(0, -(-reps // chunk))
+    drawn = tasks.mapInArrow(draw, "metric string, value double")
+    worse = [F.round(F.avg((F.col("value") <= 0).cast("double")), 6).alias("p")] if metrics == "pairs" else []
+    return drawn.groupBy("metric").agg(F.count("*").alias("reps"), *worse, *(F.round(F.percentile("value", F.lit(q)), 6).alias(k) for k, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))))
 
 
 def poisson_weight(u: Column) -> Column:

@@ -2,26 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
 from threadloom.functions.keys import id_number, tidy_label
 from threadloom.operators import retrieval as R
+from threadloom.operators import rules
 from threadloom.operators import sampling as H
 from threadloom.operators import stats as S
 from threadloom.plans.general import _ID
-from threadloom.session import table
-
-#: Seed patterns of intents.
-SEEDS = {
-    "account_access": [r"\bpassword\b", r"\blocked out\b", r"\bhack(?:ed|er)?\b"],
-    "billing_payment": [r"\brefund\b", r"\bcharg(?:ed|ing|es|e)\b", r"\bpayment\b"],
-    "account_settings_howto": [r"\bhow (?:do|can) i\b", r"\bturn on\b"],
-    "library_lost": [r"\b(?:gone|lost|deleted|absent)\b", r"\bdisappeared\b"],
-    "playback_technical": [r"\bcrash(?:es|ing|ed)?\b", r"\berror\b", r"\bfreezes\b"],
-    "complaint_escalation": [r"\bworst\b", r"\bunacceptable\b", r"\bapprove\b"],
-}
+from threadloom.session import checkpoint, table
+
+#: The reply of the degenerate control.
+CONSTANT_REPLY = "Please send us a DM with your details so that we can look into this."
 
 
 def _exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,10 +108,11 @@ def leak_scan(spark, sf_dir):
 
 def run_report(spark, sf_dir):
     d = table(spark, sf_dir, "decision_record")
-    return d.agg(
-        F.count("*").alias("n"), F.sum(F.col("tokens_in").cast("bigint")).alias("tokens_in"), F.sum(F.col("tokens_out").cast("bigint")).alias("tokens_out"), F.round(F.percentile("latency_ms", F.lit(0.5)), 4).alias("p50"),
-        F.round(F.percentile("latency_ms", F.lit(0.95)), 4).alias("p95"), F.round(F.avg(F.col("cache_hit").cast("double")), 6).alias("hit_rate"), F.round(F.avg((F.col("repair_attempts") > 0).cast("double")), 6).alias("repair_rate"),
+    whole = d.agg(
+        F.count("*").alias("n"), F.sum(F.col("tokens_in").cast("bigint")).alias("tokens_in"), F.sum(F.col("tokens_out").cast("bigint")).alias("tokens_out"),
+        F.round(F.avg(F.col("cache_hit").cast("double")), 6).alias("hit_rate"), F.round(F.avg((F.col("repair_attempts") > 0).cast("double")), 6).alias("repair_rate"),
     )
+    return whole.crossJoin(S.percentiles(d, "latency_ms", {"p50": 0.5, "p95": 0.95}))  # two single rows
 
 
 def layer_counts(spark, sf_dir):
@@ -166,16 +161,6 @@ def dense_topk(spark, sf_dir):
 
 
 def hybrid_fusion(spark, sf_dir):
-    """Dense ranks fused with those within the query's own class."""
-    v = _vectors(spark, sf_dir)
-    near = R.dense_topk(v, v.where("id % 50 = 0").select(F.col("id").alias("q"), "v"), 50)
-    lab = v.select("id", "label")
-    own = near.join(lab, "id").join(lab.select(F.col("id").alias("q"), F.col("label").alias("ql")), "q").where("label = ql")
-    own = own.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("rank")))
-    return R.reciprocal_ranks(near.select("q", "id", "rank").unionByName(own.select("q", "id", "rank")), "q", "id").where("fused_rank <= 10").select("q", "id", "score", "fused_rank")
-
-
-def class_fusion(spark, sf_dir):
     """Dense ranks fused with those among all rows of the query's own class, each list 50 long."""
     v = _vectors(spark, sf_dir)
     q = v.where("id % 50 = 0").select(F.col("id").alias("q"), "v", "label")
@@ -184,17 +169,19 @@ def class_fusion(spark, sf_dir):
 
 
 def mmr(spark, sf_dir):
+    """Three of the nearest 50, diversified."""
     v = _vectors(spark, sf_dir)
-    near = R.dense_topk(v, v.where("id % 50 = 0").select(F.col("id").alias("q"), "v"), 10)
-    return R.diversify(near.join(v.select("id", "v"), "id"), "q", "id", "score", "v").select("q", "id", "pick", "value")
+    near = R.dense_topk(v, v.where("id % 50 = 0").select(F.col("id").alias("q"), "v"), 50)
+    return R.diversify(checkpoint(near.join(v.select("id", "v"), "id")), "q", "id", "score", "v").select("q", "id", "pick", "value")
 
 
 def ir_metrics(spark, sf_dir):
+    """Rows of the query's class are relevant: hits by label, and a count per class instead of pairs."""
     v = _vectors(spark, sf_dir)
-    q = v.where("id % 50 = 0")
-    near = R.dense_topk(v, q.select(F.col("id").alias("q"), "v"), 10)
-    rel = q.select(F.col("id").alias("q"), "label").join(v.select("id", "label"), "label").where("q != id").select("q", "id")
-    return R.ranking_measures(near, rel, "q", "id", 10)
+    q = v.where("id % 50 = 0").select(F.col("id").alias("q"), "v", F.col("label").alias("ql"))
+    near = R.dense_topk(v, q, 10).join(v.select("id", "label"), "id").join(q.select("q", "ql"), "q").withColumn("hit", F.col("label") == F.col("ql"))
+    sizes = v.groupBy(F.col("label").alias("ql")).agg((F.count("*") - 1).alias("relevant"))
+    return R.ranking_measures(near, q.select("q", "ql").join(sizes, "ql").select("q", "relevant"), "q", 10)
 
 
 def one_nn(spark, sf_dir):
@@ -255,18 +242,58 @@ def kappa(spark, sf_dir):
     return S.agreement(table(spark, sf_dir, "decision_record"), F.col("grounding_passed"), F.col("decision.action") != "escalate")
 
 
+#: What breaks ties of confidence, by its md5.
+_TIE = ("message_id", "gold", "pred")
+
+
 def risk_coverage(spark, sf_dir):
-    return S.risk_coverage(_labelled(spark, sf_dir))
+    """The curve, one row per record; ranks in the order of confidence, ties by the md5 of the record."""
+    return S.risk_coverage(_labelled(spark, sf_dir), F.concat_ws("|", *_TIE))
+
+
+def risk_summary(spark, sf_dir):
+    return S.risk_summary(_labelled(spark, sf_dir), F.concat_ws("|", *_TIE))
 
 
 def calibration(spark, sf_dir):
     return S.calibration(_labelled(spark, sf_dir))
 
 
+def calibration_summary(spark, sf_dir):
+    return S.calibration_summary(_labelled(spark, sf_dir))
+
+
 def brier(spark, sf_dir):
-    d = _labelled(spark, sf_dir)
-    y = (~F.col("wrong")).cast("double")
-    return d.groupBy("stratum").agg(F.round(F.avg((F.col("conf") - y) * (F.col("conf") - y)), 6).alias("brier"), F.round(F.avg(y) * (1 - F.avg(y)), 6).alias("uncertainty"))
+    y = (~F.col("wrong")).cast("int")
+    g = _labelled(spark, sf_dir).groupBy("stratum").agg(F.count("*").alias("n"), F.sum(S.units((F.col("conf") - y) * (F.col("conf") - y))).alias("sq"), F.sum(y).alias("k"))
+    p = F.col("k") / F.col("n")
+    return g.select("stratum", S.mean6(F.col("sq"), F.col("n")).alias("brier"), F.round(p * (1 - p), 6).alias("uncertainty"))
+
+
+def oos_detection(spark, sf_dir):
+    return S.out_of_scope(S.cells(_labelled(spark, sf_dir), "stratum"), "other_unclear", "stratum")
+
+
+def confusion_matrix(spark, sf_dir):
+    return S.confusion(S.cells(_labelled(spark, sf_dir)))
+
+
+def mcnemar_report(spark, sf_dir):
+    return S.mcnemar_report(_votes(spark, sf_dir), "stratum")
+
+
+def agreement_report(spark, sf_dir):
+    return S.agreement_report(table(spark, sf_dir, "decision_record"), F.col("grounding_passed"), F.col("decision.action") != "escalate")
+
+
+def bootstrap_cells(spark, sf_dir):
+    """10,000 resamples: accuracy, and macro-F1 with classes that a resample lacks dropped or scored 0."""
+    return S.bootstrap_cells(S.cells(_labelled(spark, sf_dir)), "labels")
+
+
+def paired_bootstrap_cells(spark, sf_dir):
+    """10,000 resamples of the classifier's lead over its most common class, the same rows for both."""
+    return S.bootstrap_cells(_votes(spark, sf_dir).groupBy(F.col("a").alias("gold"), F.col("b").alias("pred")).agg(F.count("*").alias("c")), "pairs")
 
 
 def bootstrap_ci(spark, sf_dir):
@@ -280,9 +307,14 @@ def tau_sweep(spark, sf_dir):
     return g.withColumn("share", F.round(S.ratio(F.col("bad"), F.col("automated")), 6))
 
 
+#: What a wrong automated row costs against a needless hand-over; fixed value.
+COST_RATIO = 20
+
+
 def tau_choice(spark, sf_dir):
+    """Of the cuts whose wrong share is at most 1 / (1 + R) the one that automates most, ties to the higher; else the highest."""
     s = tau_sweep(spark, sf_dir)
-    ok = s.where("automated > 0 and share <= 0.5")
+    ok = s.where((F.col("automated") > 0) & (F.col("bad") * (COST_RATIO + 1) <= F.col("automated")))
     return ok.agg(F.coalesce(F.max_by("tau", F.struct("automated", "tau")), F.lit(0.95)).alias("tau"))
 
 
@@ -302,25 +334,90 @@ def prior_draw(spark, sf_dir):
     d = _labelled(spark, sf_dir)
     u = H.fraction(F.concat(F.col("message_id"), F.lit("|prior")))
     ids = d.select("message_id").distinct().withColumn("u", u)
-    return ids.join(F.broadcast(H.class_share(d, "message_id", "gold")), (F.col("u") >= F.col("above")) & (F.col("u") < F.col("upto"))).select("message_id", F.col("gold").alias("draw"))
+    return ids.join(F.broadcast(S.few(H.class_share(d, "message_id", "gold"))), (F.col("u") >= F.col("above")) & (F.col("u") < F.col("upto"))).select("message_id", F.col("gold").alias("draw"))
 
 
-def _rule_hits(spark, sf_dir):
-    e = _exemplars(spark, sf_dir).select("evidence_id", "intent", F.col("customer_text").alias("t")).where("intent is not null and t is not null")
-    rules = [(i, p) for i, ps in SEEDS.items() for p in ps]
-    fired = F.filter(F.array(*(F.when(F.col("t").rlike("(?i)" + p), F.struct(F.lit(i).alias("rule_intent"), F.lit(p).alias("pattern"))) for i, p in rules)), lambda x: x.isNotNull())
-    return e.withColumn("fired", fired)
+def _rows(spark, sf_dir):
+    return _exemplars(spark, sf_dir).select("evidence_id", F.col("intent").alias("label"), F.col("customer_text").alias("text")).where("label is not null and text is not null")
 
 
 def rules_fit(spark, sf_dir):
-    """Precision and support of each seed pattern over all precedents."""
-    h = _rule_hits(spark, sf_dir).select("intent", F.explode("fired").alias("r")).groupBy("r.rule_intent", "r.pattern")
-    return h.agg(F.count("*").alias("support"), F.round(F.avg((F.col("intent") == F.col("r.rule_intent")).cast("double")), 6).alias("precision"))
+    """The mined rules of all precedents: precision of at least one half, support of at least 2, the best 15."""
+    return rules.mine(_rows(spark, sf_dir))
 
 
 def rules_predict(spark, sf_dir):
-    h = _rule_hits(spark, sf_dir)
-    return h.select("evidence_id", F.coalesce(F.get("fired", F.lit(0))["rule_intent"], F.lit("other_unclear")).alias("predicted"))
+    rows = checkpoint(_rows(spark, sf_dir))
+    return rules.predict(rules.mine(rows), rules.majority(rows), rows, "evidence_id")
+
+
+def rules_coverage(spark, sf_dir):
+    """Share of the precedents that any rule matches, and accuracy on these and on all."""
+    rows = checkpoint(_rows(spark, sf_dir))
+    p = rules.predict(rules.mine(rows), rules.majority(rows), rows, "evidence_id", "label")
+    right = F.col("label") == F.col("predicted")
+    return p.agg(F.count("*").alias("n"), F.count_if("matched").alias("matched"), F.count_if(F.col("matched") & right).alias("right_matched"), F.count_if(right).alias("right")).withColumn("coverage", F.round(F.col("matched") / F.col("n"), 6))
+
+
+def _compared(spark, sf_dir):
+    """``stratum, gold, pred, text, key``: labelled records with their text."""
+    d = table(spark, sf_dir, "decision_record").where("input_text_redacted is not null").groupBy("message_id").agg(F.min("input_text_redacted").alias("text"))
+    return _labelled(spark, sf_dir).groupBy("message_id").agg(*(F.min(c).alias(c) for c in ("stratum", "gold", "pred"))).join(d, "message_id")
+
+
+def baseline_comparison(spark, sf_dir):
+    """Baselines fitted to all strata but ``random`` against the classifier on ``random``: accuracy with interval, macro-F1, and the paired test against the classifier."""
+    rows = checkpoint(_compared(spark, sf_dir))
+    train = rows.where("stratum is not null and stratum != 'random'").withColumn("label", F.col("gold"))
+    test = rows.where("stratum = 'random'")
+    fallback = rules.majority(train)
+    shares = H.class_share(train, "message_id", "gold").withColumnRenamed("gold", "draw")
+    u = H.fraction(F.concat("message_id", F.lit("|prior")))
+    drawn = test.select("message_id", u.alias("u")).join(F.broadcast(S.few(shares)), (F.col("u") >= F.col("above")) & (F.col("u") < F.col("upto")), "left").select("message_id", "draw")
+    ruled = rules.predict(rules.mine(train), fallback, test, "message_id", "gold", "pred")
+    wide = ruled.join(drawn, "message_id").crossJoin(fallback)  # one row
+    systems = {"classifier": "pred", "constant": "fallback", "prior": "draw", "rules": "predicted"}
+    each = wide.select("message_id", "gold", (F.col("gold") == F.col("pred")).alias("a"), F.explode(F.array(*(F.struct(F.lit(n).alias("system"), F.coalesce(c, F.lit("")).alias("pred")) for n, c in systems.items()))).alias("s")).select("message_id", "gold", "a", "s.*")
+    each = checkpoint(each.withColumn("b", F.col("gold") == F.col("pred")))
+    macro = S.per_class(S.cells(each, "system"), "system").groupBy("system").agg(F.round(F.avg("f1"), 6).alias("macro_f1"))
+    accuracy = S.proportions(each, ["system"], F.col("b")).drop("rule_of_three")
+    paired = S.mcnemar_report(each, "system").select("system", "only_a", "only_b", "chi2", "p")
+    return accuracy.join(macro, "system").join(paired, "system")
+
+
+def constant_reply(spark, sf_dir):
+    """The degenerate control: one reply for every record, and how it fares under the checks of a draft."""
+    d = table(spark, sf_dir, "decision_record").select("message_id").where("message_id is not null").distinct().withColumn("reply", F.lit(CONSTANT_REPLY))
+    return d.select("message_id", "reply", F.char_length("reply").alias("chars"), X.matches(F.col("reply"), X.DM).alias("asks_for_message"))
+
+
+def prediction_gold(spark, sf_dir):
+    """Predictions joined with gold labels, which are the intents of the first cited precedents; only records that both sides know."""
+    d = table(spark, sf_dir, "decision_record")
+    gold = d.select("message_id", F.get("evidence", F.lit(0))["evidence_id"].alias("evidence_id")).distinct().join(_exemplars(spark, sf_dir).select("evidence_id", F.col("intent").alias("gold_intent")), "evidence_id").where("gold_intent is not null").groupBy("message_id").agg(F.min("gold_intent").alias("gold_intent"))
+    pred = d.select("message_id", "predicted_intent", "intent_confidence").where("predicted_intent is not null").distinct().select("message_id", F.col("predicted_intent").alias("pred_intent"), F.col("intent_confidence").alias("pred_intent_confidence"))
+    return gold.join(pred, "message_id")
+
+
+def error_kinds(spark, sf_dir):
+    """Wrong calls of the random stratum by kind: intents against the first evidence, actions against whether the draft was supported."""
+    d = _labelled(spark, sf_dir).where("stratum = 'random'")
+    handled = F.when(F.col("action").isin("auto_send", "request_info"), "auto_handle").otherwise("escalate")
+    due = F.when(F.col("grounding_passed"), "auto_handle").when(~F.col("grounding_passed"), "escalate")
+    kinds = F.array(F.struct(F.lit("intent").alias("kind"), F.col("gold").alias("truth"), F.col("pred").alias("guess")), F.struct(F.lit("action").alias("kind"), due.alias("truth"), handled.alias("guess")))
+    return d.select(F.explode(kinds).alias("k")).select("k.*").where("truth != guess").groupBy("kind", "truth", "guess").agg(F.count("*").alias("n"))
+
+
+def action_rates(spark, sf_dir):
+    """Hand-over against need per stratum: the four cells, how far they agree, what handing everything over would score, and the automation rate."""
+    d = table(spark, sf_dir, "decision_record").where("grounding_passed is not null and decision.action is not null").select(tidy_label(F.col("stratum")).alias("stratum"), (~F.col("grounding_passed")).alias("due"), (~F.col("decision.action").isin("auto_send", "request_info")).alias("handed"))
+    n = F.count("*")
+    share = lambda c: F.round(F.count_if(c) / n, 6)
+    due, handed = F.col("due"), F.col("handed")
+    return d.groupBy("stratum").agg(
+        n.alias("n"), F.count_if(due & handed).alias("handed_due"), F.count_if(due & ~handed).alias("bad_auto"), F.count_if(~due & handed).alias("needless"), F.count_if(~due & ~handed).alias("auto_fine"),
+        share(due == handed).alias("accuracy"), share(due).alias("always_handed_accuracy"), share(~handed).alias("automation_rate"),
+    )
 
 
 def index_stats(spark, sf_dir):
@@ -335,8 +432,9 @@ def action_confusion(spark, sf_dir):
 
 _NAMES = (
     "sample_md5 salted_order_topn stratified_buckets dedupe_normalised content_hash cache_latest cache_miss heldout_antijoin rejoin_coverage invariants leak_scan run_report layer_counts evidence_support error_groups "
-    "paired_ids bm25_topk dense_topk hybrid_fusion class_fusion mmr ir_metrics one_nn nearest_centroid wilson grounding_failures per_class_f1 macro_f1 confusion_top majority mcnemar holm kappa risk_coverage calibration brier "
-    "bootstrap_ci tau_sweep tau_choice class_thresholds prior_draw rules_fit rules_predict index_stats action_confusion"
+    "paired_ids bm25_topk dense_topk hybrid_fusion mmr ir_metrics one_nn nearest_centroid wilson grounding_failures per_class_f1 macro_f1 confusion_top majority mcnemar holm kappa risk_coverage calibration brier "
+    "bootstrap_ci tau_sweep tau_choice class_thresholds prior_draw rules_fit rules_predict index_stats action_confusion risk_summary calibration_summary oos_detection confusion_matrix mcnemar_report agreement_report "
+    "bootstrap_cells paired_bootstrap_cells rules_coverage baseline_comparison constant_reply prediction_gold error_kinds action_rates"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
 
@@ -367,9 +465,30 @@ _TT = "(1.0 / (1.0 + 0.3275911 * sqrt(chi / 2)))"
 _ERFC = f"({_TT} * (0.254829592 + {_TT} * (-0.284496736 + {_TT} * (1.421413741 + {_TT} * (-1.453152027 + {_TT} * 1.061405429)))) * exp(-chi / 2))"
 _MC = f"{_VOTES}, d AS (SELECT stratum, count(*) FILTER (a AND NOT b) AS b, count(*) FILTER (NOT a AND b) AS c FROM v GROUP BY stratum), x AS (SELECT *, {_CHI} AS chi FROM d), mc AS (SELECT stratum, b, c, round(chi, 6) AS chi2, round(CASE WHEN b + c = 0 THEN 1.0 ELSE {_ERFC} END, 4) AS p FROM x)"
 _SWEEP = f"{_LAB}, t AS (SELECT CAST(round(k * 0.05, 2) AS DOUBLE) AS tau FROM range(6, 20) r(k)), sw AS (SELECT tau, count(*) AS n, count(*) FILTER (conf >= tau) AS automated, count(*) FILTER (conf >= tau AND wrong) AS bad FROM l, t GROUP BY tau), sweep AS (SELECT *, round(CASE WHEN automated = 0 THEN 0 ELSE bad / automated END, 6) AS share FROM sw)"
+_DOT = "round(list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])), 12)"
 _VEC = "v AS (SELECT vec_id AS id, embedding AS v, label FROM embeddings), s AS (SELECT q.id AS q, v.id, round(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(v.v AS DOUBLE[])), 6) AS score FROM v q JOIN v ON v.id <> q.id WHERE q.id % 50 = 0), near AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s)"
-_RULES = [(i, p) for i, ps in SEEDS.items() for p in ps]
-_HITS = f"{_EX}, x AS (SELECT evidence_id, intent, customer_text AS t FROM e WHERE intent IS NOT NULL AND customer_text IS NOT NULL)"
+_TERMS = "list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))"
+
+
+def _mined(rows: str) -> str:
+    """Common tables ``r`` of the rules and ``fb`` of the fallback, mined from a table of label and text."""
+    return f"""tk AS (SELECT label, regexp_extract_all(lower(coalesce(text, '')), '{X.TOKEN}') AS w FROM {rows} WHERE label IS NOT NULL), te AS (SELECT label, unnest({_TERMS}) AS pattern FROM tk),
+pl AS (SELECT pattern, label, count(*) AS c FROM te GROUP BY ALL), pb AS (SELECT pattern, label AS intent, c, sum(c) OVER (PARTITION BY pattern) AS support, row_number() OVER (PARTITION BY pattern ORDER BY c DESC, label) AS k FROM pl),
+r AS (SELECT CAST(row_number() OVER (ORDER BY c / support DESC, support DESC, intent DESC, pattern DESC) AS INT) AS rule, intent, pattern, CAST(support AS BIGINT) AS support, round(c / support, 6) AS precision FROM pb WHERE k = 1 AND c / support >= 0.5 AND support >= 2 QUALIFY rule <= 15),
+fb AS (SELECT label AS fallback FROM {rows} WHERE label IS NOT NULL GROUP BY label ORDER BY count(*) DESC, label LIMIT 1), fo AS (SELECT intent, min(rule) AS place FROM r GROUP BY intent)"""
+
+
+def _ruled(texts: str, key: str) -> str:
+    return f"""tt AS (SELECT *, regexp_extract_all(lower(coalesce(text, '')), '{X.TOKEN}') AS w FROM {texts}), th AS (SELECT {key}, unnest({_TERMS}) AS pattern FROM tt),
+hi AS (SELECT th.{key}, arg_min(r.intent, place) AS intent FROM th JOIN r USING (pattern) JOIN fo ON fo.intent = r.intent GROUP BY 1), pr AS (SELECT t.*, coalesce(hi.intent, fallback) AS predicted, hi.intent IS NOT NULL AS matched FROM {texts} t LEFT JOIN hi USING ({key}), fb)"""
+
+
+_ROWS = f"{_EX}, x AS (SELECT evidence_id, intent AS label, customer_text AS text FROM e WHERE intent IS NOT NULL AND customer_text IS NOT NULL)"
+_RULED = f"WITH {_ROWS}, {_mined('x')}, {_ruled('x', 'evidence_id')} "
+_MEAN6 = "(((2 * {0} + {1} * 1000) // (2 * {1} * 1000)) / 1000000.0)"
+_SQ = "CAST(round((conf - CAST(NOT wrong AS INT)) * (conf - CAST(NOT wrong AS INT)) * 1000000000) AS BIGINT)"
+_BINS = "b AS (SELECT CAST(" + " + ".join(f"(conf >= {e!r}::DOUBLE)::INT" for e in S.EDGES) + " AS INT) AS bin, count(*) AS n, CAST(sum(CAST(round(conf * 1000000000) AS BIGINT)) AS BIGINT) AS total, count(*) FILTER (NOT wrong) AS hits FROM l GROUP BY 1)"
+_RANKED = "k AS (SELECT wrong, conf, row_number() OVER w AS rank, CAST(sum(wrong::INT) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS errors, count(*) OVER () AS n, count(*) FILTER (NOT wrong) OVER () AS hits FROM l WINDOW w AS (ORDER BY conf DESC, md5(message_id || '|' || gold || '|' || pred)))"
 _PLAIN_SQL = "[" + ", ".join(f"'{x}'" for x in X.PLAIN_NUMBERS) + "]"
 _POISSON = " + ".join(f"CASE WHEN u >= {e} THEN 1 ELSE 0 END" for e in (0.367879441, 0.735758882, 0.919698603, 0.981011843, 0.996340153, 0.999405815, 0.999916759))
 _MASK_T = "coalesce(input_text_redacted, '')"
@@ -393,6 +512,7 @@ def _take_sql(each: int) -> str:
     return f"WITH {_EX}, " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM k_{n}" for n in conds)
 
 
+_KAPPA = "WITH g AS (SELECT count(*) AS n, count(*) FILTER (a AND b) AS yes, count(*) FILTER (NOT a AND NOT b) AS no, count(*) FILTER (a) / count(*) AS pa, count(*) FILTER (b) / count(*) AS pb FROM (SELECT grounding_passed AS a, decision.action <> 'escalate' AS b FROM decision_record) WHERE a IS NOT NULL AND b IS NOT NULL), h AS (SELECT *, (yes + no) / n AS p0, pa * pb + (1 - pa) * (1 - pb) AS pe, (pa + pb) * (1 - (pa + pb) / 2) AS ge FROM g) SELECT n, yes, no, round(p0, 6) AS p0, round(pe, 6) AS pe, round(CASE WHEN pe = 1 THEN 1 ELSE (p0 - pe) / (1 - pe) END, 6) AS kappa, round(2 * p0 - 1, 6) AS pabak, round((p0 - ge) / (1 - ge), 6) AS ac1"
 ORACLES = {
     "sample_md5": f"SELECT DISTINCT tweet_id FROM twcs WHERE {_U.format('tweet_id')} < 0.05",
     "salted_order_topn": f"SELECT evidence_id FROM (SELECT DISTINCT evidence_id FROM exemplar) ORDER BY {_U.format(chr(39).join(['evidence_id || ', '|pilot', '']))}, evidence_id LIMIT 30",
@@ -428,10 +548,7 @@ s AS (SELECT q.evidence_id AS q, p.evidence_id, round(sum(q.tf * idf * p.tf * 2.
 WHERE idf > 0 AND {_ID.format('substr(q.evidence_id, 3)')} % 50 = 0 AND q.evidence_id <> p.evidence_id GROUP BY ALL)
 SELECT q, evidence_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, evidence_id) AS INT) AS rank FROM s QUALIFY rank <= 10""",
     "dense_topk": f"WITH {_VEC} SELECT q, id, score, CAST(rank AS INT) AS rank FROM near WHERE rank <= 10",
-    "hybrid_fusion": f"""WITH {_VEC}, n50 AS (SELECT near.*, a.label = b.label AS own FROM near JOIN v a ON a.id = near.id JOIN v b ON b.id = q WHERE rank <= 50), o AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY rank) AS rank FROM n50 WHERE own),
-f AS (SELECT q, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT q, id, rank FROM n50 UNION ALL SELECT * FROM o) GROUP BY ALL)
-SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, CAST(id AS VARCHAR)) AS INT) AS fused_rank FROM f QUALIFY fused_rank <= 10""",
-    "class_fusion": f"""WITH {_VEC}, o AS (SELECT near.q, near.id, row_number() OVER (PARTITION BY near.q ORDER BY near.score DESC, near.id) AS rank FROM near JOIN v a ON a.id = near.id JOIN v b ON b.id = near.q WHERE a.label = b.label),
+    "hybrid_fusion": f"""WITH {_VEC}, o AS (SELECT near.q, near.id, row_number() OVER (PARTITION BY near.q ORDER BY near.score DESC, near.id) AS rank FROM near JOIN v a ON a.id = near.id JOIN v b ON b.id = near.q WHERE a.label = b.label),
 f AS (SELECT q, id, round(sum(1.0 / (60 + rank)), 9) AS score FROM (SELECT q, id, rank FROM near UNION ALL SELECT * FROM o) WHERE rank <= 50 GROUP BY ALL)
 SELECT *, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, CAST(id AS VARCHAR)) AS INT) AS fused_rank FROM f QUALIFY fused_rank <= 10""",
     "ir_metrics": f"""WITH {_VEC}, rel AS (SELECT a.id AS q, b.id FROM v a JOIN v b ON a.label = b.label AND a.id <> b.id WHERE a.id % 50 = 0), c AS (SELECT q, count(*) AS r FROM rel GROUP BY q),
@@ -449,17 +566,47 @@ f AS (SELECT x.id, x.label, m.label AS k, round(sum((m - x) * (m - x)), 6) AS fa
     "majority": f"WITH {_VOTES} SELECT stratum, count(*) AS n, count(*) FILTER (b) AS right FROM v GROUP BY stratum",
     "mcnemar": f"WITH {_MC} SELECT * FROM mc",
     "holm": f"WITH {_MC}, r AS (SELECT coalesce(stratum, 'none') AS name, p, 0.05 / (count(*) OVER () - row_number() OVER (ORDER BY p, coalesce(stratum, 'none')) + 1) AS lim FROM mc) SELECT name, p, round(lim, 6) AS limit, min(CAST(p <= lim AS INT)) OVER (ORDER BY p, name ROWS UNBOUNDED PRECEDING) = 1 AS rejected FROM r",
-    "kappa": "WITH g AS (SELECT count(*) AS n, count(*) FILTER (a AND b) AS yes, count(*) FILTER (NOT a AND NOT b) AS no, count(*) FILTER (a) / count(*) AS pa, count(*) FILTER (b) / count(*) AS pb FROM (SELECT grounding_passed AS a, decision.action <> 'escalate' AS b FROM decision_record) WHERE a IS NOT NULL AND b IS NOT NULL), h AS (SELECT *, (yes + no) / n AS p0, pa * pb + (1 - pa) * (1 - pb) AS pe, (pa + pb) * (1 - (pa + pb) / 2) AS ge FROM g) SELECT n, yes, no, round(p0, 6) AS p0, round(pe, 6) AS pe, round(CASE WHEN pe = 1 THEN 1 ELSE (p0 - pe) / (1 - pe) END, 6) AS kappa, round(2 * p0 - 1, 6) AS pabak, round((p0 - ge) / (1 - ge), 6) AS ac1 FROM h",
-    "risk_coverage": f"WITH {_LAB}, g AS (SELECT round(conf, 4) AS conf, count(*) AS n, count(*) FILTER (wrong) AS w FROM l GROUP BY 1), r AS (SELECT conf, CAST(sum(n) OVER d AS BIGINT) AS kept, CAST(sum(w) OVER d AS BIGINT) AS bad, sum(n) OVER () AS t FROM g WINDOW d AS (ORDER BY conf DESC)) SELECT conf, kept, bad, round(kept / t, 6) AS coverage, round(bad / kept, 6) AS risk FROM r",
-    "calibration": f"WITH {_LAB}, b AS (SELECT least(9, CAST(list_sum([CAST(conf >= x AS INT) FOR x IN [0.1, 0.2, 0.30000000000000004, 0.4, 0.5, 0.6000000000000001, 0.7000000000000001, 0.8, 0.9]]) AS INT)) AS bin, * FROM l), g AS (SELECT bin, count(*) AS n, round(avg(conf), 6) AS mean_conf, round(avg(CAST(NOT wrong AS DOUBLE)), 6) AS accuracy FROM b GROUP BY bin) SELECT CAST(r.i AS INT) AS bin, coalesce(n, 0) AS n, mean_conf, accuracy FROM range(10) r(i) LEFT JOIN g ON g.bin = r.i",
-    "brier": f"WITH {_LAB} SELECT stratum, round(avg((conf - CAST(NOT wrong AS DOUBLE)) ** 2), 6) AS brier, round(avg(CAST(NOT wrong AS DOUBLE)) * (1 - avg(CAST(NOT wrong AS DOUBLE))), 6) AS uncertainty FROM l GROUP BY stratum",
+    "kappa": _KAPPA + " FROM h",
+    "agreement_report": _KAPPA + f", {_wilson_sql('(yes + no)', 'n')}, CASE WHEN pe = 1 OR (p0 - pe) / (1 - pe) >= 0.8 THEN 'reliable' WHEN (p0 - pe) / (1 - pe) >= 0.667 THEN 'tentative' ELSE 'discard' END AS band FROM h",
+    "mmr": f"""WITH {_VEC}, n AS (SELECT near.q, near.id, near.score AS rel, v.v FROM near JOIN v USING (id) WHERE rank <= 50),
+p1 AS (SELECT *, round(rel, 6) AS value FROM n QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(rel, 6) DESC, id) = 1),
+n2 AS (SELECT n.*, {_DOT.format('n.v', 'p1.v')} AS seen FROM n JOIN p1 USING (q) WHERE n.id <> p1.id), p2 AS (SELECT *, round(0.7 * rel - (1 - 0.7) * seen, 6) AS value FROM n2 QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(0.7 * rel - (1 - 0.7) * seen, 6) DESC, id) = 1),
+n3 AS (SELECT n2.q, n2.id, n2.rel, greatest(n2.seen, {_DOT.format('n2.v', 'p2.v')}) AS seen FROM n2 JOIN p2 USING (q) WHERE n2.id <> p2.id), p3 AS (SELECT *, round(0.7 * rel - (1 - 0.7) * seen, 6) AS value FROM n3 QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(0.7 * rel - (1 - 0.7) * seen, 6) DESC, id) = 1)
+SELECT q, id, CAST(1 AS INT) AS pick, value FROM p1 UNION ALL SELECT q, id, 2, value FROM p2 UNION ALL SELECT q, id, 3, value FROM p3""",
+    "risk_coverage": f"WITH {_LAB}, {_RANKED} SELECT rank, errors, round(rank / n, 6) AS coverage, round(errors / rank, 6) AS risk FROM k",
+    "risk_summary": f"WITH {_LAB}, {_RANKED}, m AS (SELECT max(n) AS n, max(hits) AS hits, avg(errors / rank) AS a, avg(greatest(0, rank - hits) / rank) AS o FROM k) SELECT n, round(a, 6) AS aurc, round(o, 6) AS aurc_oracle, round(a - o, 6) AS e_aurc, round(hits / n, 6) AS accuracy FROM m",
+    "calibration": f"WITH {_LAB}, {_BINS} SELECT CAST(r.i AS INT) AS bin, coalesce(n, 0) AS n, {_MEAN6.format('total', 'n')} AS mean_conf, round(hits / n, 6) AS accuracy FROM range(10) r(i) LEFT JOIN b ON b.bin = r.i",
+    "calibration_summary": f"""WITH {_LAB}, {_BINS}, t AS (SELECT count(*) AS n, CAST(sum({_SQ}) AS BIGINT) AS sq, count(*) FILTER (NOT wrong) AS hits FROM l),
+m AS (SELECT sum(b.n / t.n * (total / (b.n * 1e9) - b.hits / b.n) ** 2) AS rel, sum(b.n / t.n * (b.hits / b.n - t.hits / t.n) ** 2) AS res, sum(b.n / t.n * abs(total / (b.n * 1e9) - b.hits / b.n)) AS ece FROM b, t)
+SELECT n, {_MEAN6.format('sq', 'n')} AS brier, round(rel, 6) AS reliability, round(res, 6) AS resolution, round(hits / n * (1 - hits / n), 6) AS uncertainty, round(ece, 6) AS ece, round(n / 10, 6) AS rows_per_bin FROM m, t""",
+    "brier": f"WITH {_LAB}, g AS (SELECT stratum, count(*) AS n, CAST(sum({_SQ}) AS BIGINT) AS sq, count(*) FILTER (NOT wrong) AS k FROM l GROUP BY stratum) SELECT stratum, {_MEAN6.format('sq', 'n')} AS brier, round(k / n * (1 - k / n), 6) AS uncertainty FROM g",
+    "oos_detection": f"""WITH {_LAB}, g AS (SELECT stratum, count(*) FILTER (gold = 'other_unclear' AND pred = 'other_unclear') AS tp, count(*) FILTER (gold <> 'other_unclear' AND pred = 'other_unclear') AS fp, count(*) FILTER (gold = 'other_unclear' AND pred <> 'other_unclear') AS fn FROM l GROUP BY stratum),
+h AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r FROM g) SELECT stratum, tp + fn AS support, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM h""",
+    "confusion_matrix": f"""WITH {_LAB}, c AS (SELECT gold, pred, count(*) AS c FROM l GROUP BY ALL), n AS (SELECT gold, sum(c) AS n FROM c GROUP BY gold), j AS (SELECT c.*, n, coalesce(r.c, 0) AS rev, c.gold <> c.pred AS off FROM c JOIN n USING (gold) LEFT JOIN c r ON r.gold = c.pred AND r.pred = c.gold)
+SELECT gold, pred, c, round(c / n, 6) AS share, CASE WHEN off THEN rev END AS reverse, CASE WHEN off THEN round(least(c, rev) / (c + rev), 6) END AS symmetry, CASE WHEN off THEN CASE WHEN least(c, rev) / (c + rev) > 0.35 THEN 'symmetric' ELSE 'asymmetric' END END AS diagnosis FROM j""",
+    "mcnemar_report": f"WITH {_MC}, t AS (SELECT stratum, count(*) AS n FROM v GROUP BY stratum) SELECT mc.stratum, n, b AS only_a, c AS only_b, chi2, p, chi2 > 3.841 AS significant, CASE WHEN b + c > 0 THEN round(100.0 * (sqrt(3.841 * (b + c)) + 1) / n, 6) END AS detectable_points FROM mc JOIN t ON t.stratum IS NOT DISTINCT FROM mc.stratum",
+    "rules_coverage": _RULED + "SELECT count(*) AS n, count(*) FILTER (matched) AS matched, count(*) FILTER (matched AND label = predicted) AS right_matched, count(*) FILTER (label = predicted) AS right, round(count(*) FILTER (matched) / count(*), 6) AS coverage FROM pr",
+    "baseline_comparison": f"""WITH {_LAB}, d AS (SELECT message_id, min(input_text_redacted) AS text FROM decision_record WHERE input_text_redacted IS NOT NULL GROUP BY message_id), a AS (SELECT message_id, min(stratum) AS stratum, min(gold) AS gold, min(pred) AS pred FROM l GROUP BY message_id), x AS (SELECT * FROM a JOIN d USING (message_id)),
+tr AS (SELECT *, gold AS label FROM x WHERE stratum <> 'random'), ts AS (SELECT * FROM x WHERE stratum = 'random'), {_mined('tr')}, {_ruled('ts', 'message_id')},
+ct AS (SELECT gold AS draw, count(*) AS n FROM tr GROUP BY gold), sh AS (SELECT draw, sum(n) OVER (ORDER BY draw) / sum(n) OVER () AS upto, (sum(n) OVER (ORDER BY draw) - n) / sum(n) OVER () AS above FROM ct),
+wd AS (SELECT pr.*, fallback, draw FROM pr LEFT JOIN sh ON {_U.format("message_id || '|prior'")} >= above AND {_U.format("message_id || '|prior'")} < upto, fb),
+each AS (SELECT gold, gold = pred AS a, unnest([{{'system': 'classifier', 'guess': pred}}, {{'system': 'constant', 'guess': fallback}}, {{'system': 'prior', 'guess': coalesce(draw, '')}}, {{'system': 'rules', 'guess': predicted}}], recursive := true) FROM wd),
+c AS (SELECT system, gold, guess AS pred, count(*) AS c FROM each GROUP BY ALL), s AS (SELECT system, label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM (SELECT system, gold AS label, CASE WHEN gold = pred THEN c ELSE 0 END AS tp, 0 AS fp, CASE WHEN gold <> pred THEN c ELSE 0 END AS fn FROM c UNION ALL SELECT system, pred, 0, c, 0 FROM c WHERE gold <> pred) GROUP BY ALL),
+f AS (SELECT system, CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS p, CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS r FROM s), m AS (SELECT system, round(avg(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END), 6) AS macro_f1 FROM f GROUP BY system),
+g AS (SELECT system, count(*) AS n, count(*) FILTER (gold = guess) AS k, count(*) FILTER (a AND gold <> guess) AS b, count(*) FILTER (NOT a AND gold = guess) AS c FROM each GROUP BY system), h AS (SELECT *, {_CHI} AS chi FROM g)
+SELECT h.system, n, k, round(k / n, 6) AS rate, {_wilson_sql('k', 'n')}, macro_f1, b AS only_a, c AS only_b, round(chi, 6) AS chi2, round(CASE WHEN b + c = 0 THEN 1.0 ELSE {_ERFC} END, 4) AS p FROM h JOIN m USING (system)""",
+    "constant_reply": f"SELECT DISTINCT message_id, '{CONSTANT_REPLY}' AS reply, CAST({len(CONSTANT_REPLY)} AS INT) AS chars, regexp_matches('{CONSTANT_REPLY}', '{X.DM.removeprefix('(?i)')}', 'i') AS asks_for_message FROM decision_record WHERE message_id IS NOT NULL",
+    "prediction_gold": f"""WITH {_EX}, g AS (SELECT message_id, min(intent) AS gold_intent FROM (SELECT DISTINCT message_id, evidence[1].evidence_id AS evidence_id FROM decision_record) JOIN e USING (evidence_id) WHERE intent IS NOT NULL GROUP BY message_id)
+SELECT DISTINCT message_id, gold_intent, predicted_intent AS pred_intent, intent_confidence AS pred_intent_confidence FROM g JOIN decision_record USING (message_id) WHERE predicted_intent IS NOT NULL""",
+    "error_kinds": f"WITH {_LAB}, k AS (SELECT 'intent' AS kind, gold AS truth, pred AS guess FROM l WHERE stratum = 'random' UNION ALL SELECT 'action', CASE WHEN grounding_passed THEN 'auto_handle' WHEN NOT grounding_passed THEN 'escalate' END, CASE WHEN action IN ('auto_send', 'request_info') THEN 'auto_handle' ELSE 'escalate' END FROM l WHERE stratum = 'random') SELECT kind, truth, guess, count(*) AS n FROM k WHERE truth <> guess GROUP BY ALL",
+    "action_rates": f"WITH d AS (SELECT {_TIDY} AS stratum, NOT grounding_passed AS due, decision.action NOT IN ('auto_send', 'request_info') AS handed FROM decision_record WHERE grounding_passed IS NOT NULL AND decision.action IS NOT NULL) SELECT stratum, count(*) AS n, count(*) FILTER (due AND handed) AS handed_due, count(*) FILTER (due AND NOT handed) AS bad_auto, count(*) FILTER (NOT due AND handed) AS needless, count(*) FILTER (NOT due AND NOT handed) AS auto_fine, round(count(*) FILTER (due = handed) / count(*), 6) AS accuracy, round(count(*) FILTER (due) / count(*), 6) AS always_handed_accuracy, round(count(*) FILTER (NOT handed) / count(*), 6) AS automation_rate FROM d GROUP BY stratum",
     "bootstrap_ci": f"WITH {_LAB}, x AS (SELECT rep, CAST(('0x' || substr(md5(rep || ':' || message_id || '|' || conf || '|' || gold), 1, 8)) AS BIGINT) / 4294967296.0 AS u, CAST(NOT wrong AS INT) AS f FROM l, range(1, 201) r(rep)), s AS (SELECT rep, sum({_POISSON}) AS n, sum(({_POISSON}) * f) AS k FROM x GROUP BY rep) SELECT count(*) AS reps, round(quantile_cont(k / n, 0.025), 6) AS low, round(quantile_cont(k / n, 0.5), 6) AS median, round(quantile_cont(k / n, 0.975), 6) AS high FROM s WHERE n > 0",
     "tau_sweep": f"WITH {_SWEEP} SELECT * FROM sweep",
-    "tau_choice": f"WITH {_SWEEP} SELECT coalesce((SELECT tau FROM sweep WHERE automated > 0 AND share <= 0.5 ORDER BY automated DESC, tau DESC LIMIT 1), CAST(0.95 AS DOUBLE)) AS tau",
+    "tau_choice": f"WITH {_SWEEP} SELECT coalesce((SELECT tau FROM sweep WHERE automated > 0 AND bad * 21 <= automated ORDER BY automated DESC, tau DESC LIMIT 1), CAST(0.95 AS DOUBLE)) AS tau",
     "class_thresholds": f"WITH {_LAB}, d AS (SELECT l.*, CAST(round(k * 0.05, 2) AS DOUBLE) AS t FROM l, range(1, 20) r(k)), p AS (SELECT pred AS label, t, count(*) FILTER (NOT wrong) AS tp, count(*) FILTER (wrong) AS fp FROM d WHERE conf >= t GROUP BY ALL), n AS (SELECT gold AS label, t, count(*) AS pos FROM d GROUP BY ALL), s AS (SELECT n.label, n.t, round(2 * coalesce(tp, 0) / (coalesce(tp, 0) + coalesce(fp, 0) + pos), 6) AS f1 FROM n LEFT JOIN p ON p.label = n.label AND p.t = n.t) SELECT label, t, f1 FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY f1 DESC, t) = 1",
     "prior_draw": f"WITH {_LAB}, c AS (SELECT gold, count(*) AS n FROM l GROUP BY gold), b AS (SELECT gold, sum(n) OVER (ORDER BY gold) / sum(n) OVER () AS upto, (sum(n) OVER (ORDER BY gold) - n) / sum(n) OVER () AS above FROM c), i AS (SELECT DISTINCT message_id, {_U.format(chr(39).join(['message_id || ', '|prior', '']))} AS u FROM l) SELECT message_id, gold AS draw FROM i JOIN b ON u >= above AND u < upto",
-    "rules_fit": f"WITH {_HITS}, h AS (" + " UNION ALL ".join(f"SELECT intent, '{i}' AS rule_intent, '{p}' AS pattern FROM x WHERE regexp_matches(t, '{p}', 'i')" for i, p in _RULES) + ") SELECT rule_intent, pattern, count(*) AS support, round(avg(CAST(intent = rule_intent AS DOUBLE)), 6) AS precision FROM h GROUP BY ALL",
-    "rules_predict": f"WITH {_HITS} SELECT evidence_id, CASE " + " ".join(f"WHEN regexp_matches(t, '{p}', 'i') THEN '{i}'" for i, p in _RULES) + " ELSE 'other_unclear' END AS predicted FROM x",
+    "rules_fit": f"WITH {_ROWS}, {_mined('x')} SELECT * FROM r",
+    "rules_predict": _RULED + "SELECT evidence_id, predicted, matched FROM pr",
     "index_stats": f"WITH {_EX} SELECT brand, intent, count(*) AS n, round(avg(length(brand_reply)), 4) AS reply_length, round(max(dense_score), 6) AS best FROM e GROUP BY ALL",
     "action_confusion": f"WITH d AS (SELECT {_TIDY} AS stratum, decision.action IN ('auto_send', 'request_info') AS auto, grounding_passed AS g FROM decision_record) SELECT stratum, count(*) AS n, count(*) FILTER (auto AND g) AS auto_grounded, count(*) FILTER (auto AND NOT g) AS auto_ungrounded, count(*) FILTER (NOT auto) AS handed_over FROM d GROUP BY stratum",
 }

@@ -40,10 +40,9 @@ def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def partial_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per query its three labels of the nearest vectors, and always the rest class -1."""
+    """Per query the three labels whose nearest vectors are nearest, over all vectors, and always the rest class -1."""
     v = E._vectors(spark, sf_dir)
-    near = R.dense_topk(v, v.where("id % 50 = 0").select(F.col("id").alias("q"), "v"), 20).join(v.select("id", "label"), "id")
-    best = R.top(near.groupBy("q", "label").agg(F.max("score").alias("score")), "q", "score", F.col("label"), 3)
+    best = R.top(R.best_per_label(v, v.where("id % 50 = 0").select(F.col("id").alias("q"), "v")), "q", "score", F.col("label"), 3)
     return best.select("q", "label").unionByName(best.select("q", F.lit(-1).alias("label")).distinct())
 
 
@@ -87,13 +86,7 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cost_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per cost ratio R the cut R / (R + 1): kept rows, their risk with its interval, and expected cost of a hundred."""
-    d = E._labelled(spark, sf_dir).withColumn("ratio", F.explode(F.array(*(F.lit(r) for r in (1, 2, 5, 10)))))
-    keep = F.col("conf") >= F.col("ratio") / (F.col("ratio") + 1.0)
-    g = d.groupBy("ratio").agg(F.count("*").alias("n"), F.count_if(keep).alias("kept"), F.count_if(keep & F.col("wrong")).alias("bad"))
-    lo, hi = S.wilson(F.col("bad"), F.col("kept"))
-    cost = 100.0 * (F.col("bad") * F.col("ratio") + F.col("n") - F.col("kept")) / F.col("n")
-    return g.select("ratio", "n", "kept", "bad", F.round(S.ratio(F.col("bad"), F.col("kept")), 6).alias("risk"), F.round(lo, 6).alias("low"), F.round(hi, 6).alias("high"), F.round(cost, 4).alias("cost"))
+    return S.sensitivity(E._labelled(spark, sf_dir))
 
 
 def ari(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,14 +125,14 @@ SELECT brand, root, confirmed, CAST(row_number() OVER (PARTITION BY brand ORDER
     "candidate_pool": f"""WITH {E._EX}, x AS (SELECT evidence_id, brand, intent FROM e WHERE brand IS NOT NULL AND intent IS NOT NULL), q AS (SELECT * FROM x WHERE {E._ID.format('substr(evidence_id, 3)')} % 50 = 0),
 p AS (SELECT brand, intent, count(*) - 1 AS pool FROM x GROUP BY ALL), t AS (SELECT q.evidence_id, x.evidence_id AS tail FROM q JOIN x ON x.brand = q.brand AND x.intent <> q.intent QUALIFY row_number() OVER (PARTITION BY q.evidence_id ORDER BY x.evidence_id) <= 5)
 SELECT q.evidence_id, pool, coalesce((SELECT string_agg(tail, ',' ORDER BY tail) FROM t WHERE t.evidence_id = q.evidence_id), '') AS tail FROM q JOIN p USING (brand, intent)""",
-    "partial_labels": f"WITH {E._VEC}, b AS (SELECT q, label, max(score) AS score FROM near JOIN v USING (id) WHERE rank <= 20 GROUP BY ALL), t AS (SELECT q, label FROM b QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, label) <= 3) SELECT q, label FROM t UNION ALL SELECT DISTINCT q, CAST(-1 AS INT) FROM t",
+    "partial_labels": f"WITH {E._VEC}, b AS (SELECT q, label, max(score) AS score FROM near JOIN v USING (id) GROUP BY ALL), t AS (SELECT q, label FROM b QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, label) <= 3) SELECT q, label FROM t UNION ALL SELECT DISTINCT q, CAST(-1 AS INT) FROM t",
     "citation_check": f"""WITH {E._EX}, d AS (SELECT DISTINCT message_id, decision.reply_draft AS draft, unnest(decision.evidence_ids) AS evidence_id FROM decision_record),
 j AS (SELECT message_id, e.evidence_id IS NOT NULL AS known, regexp_extract_all(lower(coalesce(draft, '')), '[a-z]{{5,}}') AS a, regexp_extract_all(lower(coalesce(brand_reply, '')), '[a-z]{{5,}}') AS b FROM d LEFT JOIN e USING (evidence_id))
 SELECT message_id, count(*) AS cited, count(*) FILTER (NOT known) AS dangling, count(*) FILTER (known AND len(a) > 0 AND NOT list_has_any(a, b)) AS weak FROM j GROUP BY message_id""",
     "verdict_merge": f"WITH {_VOTE_ROWS} SELECT * FROM m",
     "reply_quality": f"WITH {_VOTE_ROWS}, a AS (SELECT criterion, pass FROM m UNION ALL SELECT 'all', bool_and(pass) FROM m GROUP BY message_id) " + E._props_sql("a", "pass").replace("stratum", "criterion"),
     "paired_bootstrap": f"WITH {E._VOTES}, x AS (SELECT rep, CAST(('0x' || substr(md5(rep || ':' || message_id || '|' || coalesce(stratum, '')), 1, 8)) AS BIGINT) / 4294967296.0 AS u, CAST(a AS INT) - CAST(b AS INT) AS d FROM v, range(1, 201) r(rep)), s AS (SELECT rep, sum(({E._POISSON}) * d) / sum({E._POISSON}) AS r FROM x GROUP BY rep) SELECT round(avg(CAST(r <= 0 AS DOUBLE)), 6) AS p, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM s",
-    "cost_sensitivity": f"WITH {E._LAB}, g AS (SELECT CAST(ratio AS INT) AS ratio, count(*) AS n, count(*) FILTER (conf >= ratio / (ratio + 1.0)) AS kept, count(*) FILTER (conf >= ratio / (ratio + 1.0) AND wrong) AS bad FROM l, (SELECT unnest([1, 2, 5, 10]) AS ratio) GROUP BY ratio) SELECT ratio, n, kept, bad, round(bad / greatest(kept, 1), 6) AS risk, {E._wilson_sql('bad', 'nullif(kept, 0)')}, round(100.0 * (bad * ratio + n - kept) / n, 4) AS cost FROM g",
+    "cost_sensitivity": f"WITH {E._LAB}, g AS (SELECT CAST(ratio AS INT) AS ratio, count(*) AS n, count(*) FILTER (conf >= ratio / (ratio + 1.0)) AS kept, count(*) FILTER (conf >= ratio / (ratio + 1.0) AND wrong) AS bad, count(*) FILTER (conf < ratio / (ratio + 1.0) AND NOT wrong) AS needless FROM l, (SELECT unnest([5, 10, 20, 50]) AS ratio) GROUP BY ratio), w AS (SELECT *, {E._wilson_sql('bad', 'nullif(kept, 0)')} FROM g) SELECT ratio, round(ratio / (ratio + 1.0), 6) AS threshold, n, kept, bad, round(kept / n, 6) AS coverage, round(bad / greatest(kept, 1), 6) AS risk, CASE WHEN kept = 0 THEN 0.0 ELSE low END AS low, CASE WHEN kept = 0 THEN 1.0 ELSE high END AS high, round(100.0 * (bad * ratio + needless) / n, 4) AS cost, ratio = 20 AS is_default FROM w",
     "ari": f"WITH {E._LAB}, c AS (SELECT gold, pred, count(*) AS c FROM l GROUP BY ALL), x AS (SELECT (SELECT sum(c * (c - 1) / 2.0) FROM c) AS s, (SELECT sum(c) FROM c) AS n, (SELECT sum(c * (c - 1) / 2.0) FROM (SELECT sum(c) AS c FROM c GROUP BY gold)) AS sa, (SELECT sum(c * (c - 1) / 2.0) FROM (SELECT sum(c) AS c FROM c GROUP BY pred)) AS sb) SELECT round((s - sa * sb / (n * (n - 1) / 2.0)) / ((sa + sb) / 2 - sa * sb / (n * (n - 1) / 2.0)), 6) AS ari FROM x",
     "noise_share": f"WITH {E._LAB} SELECT stratum, count(*) AS n, count(*) FILTER (pred = 'other_unclear') AS unclear FROM l GROUP BY stratum",
 }

@@ -12,14 +12,10 @@ from threadloom.plans.general import _ID, _MADE
 from threadloom.session import table
 
 
-def _tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct deliveries' texts by written id."""
-    return table(spark, sf_dir, "twcs").select("tweet_id", "text").distinct()
-
-
 def _over_tweets(build):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _tweets(spark, sf_dir).select("tweet_id", *(c.alias(n) for n, c in build(F.col("text")).items())).distinct()
+        # one shuffle, of the results: deliveries of one tweet mostly have the same
+        return table(spark, sf_dir, "twcs").select("tweet_id", *(c.alias(n) for n, c in build(F.col("text")).items())).distinct()
 
     return query
 
@@ -112,11 +108,6 @@ def risky_spans(c):
     return {"spans": F.array_join(X.risky_spans(c), "|")}
 
 
-def _commit(c):
-    e = X.commitments(c)
-    return e
-
-
 def commitments(spark: SparkSession, sf_dir: str) -> DataFrame:
     drafts = table(spark, sf_dir, "decision_record").select("message_id", F.col("decision.reply_draft").alias("text")).distinct()
     return drafts.select("message_id", *(c.alias(n) for n, c in X.commitments(F.col("text")).items())).distinct()
@@ -191,7 +182,6 @@ _FAMILY = {"self_harm": X.any_of(X.SELF_HARM), "threat": X.any_of(X.THREAT), "ab
 _FIRED = "list_filter([" + ", ".join(f"CASE WHEN {_re(_T, p)} THEN '{n}' END" for n, p in _FAMILY.items()) + "], lambda x: x IS NOT NULL)"
 _AMOUNTS = f"list_transform({_all_sql(_T, X.MONEY)}, lambda m: try_cast(regexp_replace(m, '[^0-9.]', '', 'g') AS DOUBLE))"
 _STEP = f"(regexp_matches({_LOW}, '{'|'.join(X.RESOLUTION).replace(chr(39), chr(39) * 2)}') AND regexp_matches({_LOW}, '\\S'))"
-_WINDOW = r"\bwithin\s+(\d+)\s*(?:business\s+)?(day|week|month)s?\b"
 
 
 def _first_sql(pattern: str, group: int = 0) -> str:
@@ -200,6 +190,15 @@ def _first_sql(pattern: str, group: int = 0) -> str:
     return f"nullif(regexp_replace(regexp_extract({_T}, '{p}', {group}{flag}), '^\\s+|\\s+$', '', 'g'), '')"
 
 
+#: The six slots of commitments in SQL, over a column named text.
+SLOTS = {
+    "refund_offered": f"({_re(_LOW, X.REFUND)} AND NOT {_re(_LOW, X.NO_REFUND)})",
+    "refund_window_days": f"CAST(try_cast(nullif(regexp_extract({_LOW}, '{X.WINDOW}', 1), '') AS INT) * CASE regexp_extract({_LOW}, '{X.WINDOW}', 2) WHEN 'day' THEN 1 WHEN 'week' THEN 7 WHEN 'month' THEN 30 END AS INT)",
+    "compensation_amount": f"{_AMOUNTS}[1]",
+    "promised_timeline": _first_sql(X.DURATION),
+    "entitlement_claimed": _first_sql(X.ENTITLED, 1),
+    "escalation_promise": _first_sql(X.PASSED_ON),
+}
 _ONCE = rf"""once AS (SELECT id, author, inbound, made, text, up FROM (SELECT {_ID.format('tweet_id')} AS id, author_id AS author, lower(trim(inbound)) = 'true' AS inbound, {_MADE} AS made, text,
   min({_ID.format('in_response_to_tweet_id')}) OVER (PARTITION BY {_ID.format('tweet_id')}) AS up,
   row_number() OVER (PARTITION BY {_ID.format('tweet_id')} ORDER BY ingested_at NULLS LAST, text NULLS LAST, author_id NULLS FIRST, lower(trim(inbound)) NULLS FIRST) AS k FROM twcs) WHERE id IS NOT NULL AND k = 1)"""
@@ -232,12 +231,7 @@ ORACLES = {
     "risky_spans": _sql(
         spans="array_to_string(list_transform(list_filter(list_zip(l, range(len(l))), lambda x: list_position(l, x[1]) = x[2] + 1), lambda x: x[1]), '|')"
     ).replace("FROM twcs", "FROM (SELECT tweet_id, list_transform(" + " || ".join(_all_sql(_T, p) for p in (X.MONEY, X.DURATION, X.any_of(X.COMMITMENT), X.DATE)) + ", lambda s: lower(s)) AS l FROM twcs)"),
-    "commitments": f"""SELECT DISTINCT message_id, regexp_matches({_LOW}, '\\brefund(?:ed|ing)?\\b') AND NOT regexp_matches({_LOW}, '\\b(?:can(?:no|'')t|cannot|unable to|no)\\s+refund') AS refund_offered,
-CAST(try_cast(nullif(regexp_extract({_LOW}, '{_WINDOW}', 1), '') AS INT) * CASE regexp_extract({_LOW}, '{_WINDOW}', 2) WHEN 'day' THEN 1 WHEN 'week' THEN 7 WHEN 'month' THEN 30 END AS INT) AS refund_window_days,
-{_AMOUNTS}[1] AS compensation_amount, {_first_sql(X.DURATION)} AS promised_timeline,
-{_first_sql(r"(?i)\byou(?:'re| are)\s+entitled\s+to\s+([^.!?]{1,60})", 1)} AS entitlement_claimed,
-{_first_sql(r"(?i)\b(?:we(?:'ll| will)|I(?:'ll| will))\s+(?:escalate|pass this (?:on|to)|have (?:a|our) (?:specialist|manager|team)[^.!?]{0,40})")} AS escalation_promise
-FROM (SELECT message_id, decision.reply_draft AS text FROM decision_record)""",
+    "commitments": "SELECT DISTINCT message_id, " + ", ".join(f"{e} AS {n}" for n, e in SLOTS.items()) + " FROM (SELECT message_id, decision.reply_draft AS text FROM decision_record)",
     "parse_created_at": f"SELECT strftime({_MADE} AT TIME ZONE 'UTC', '%Y-%m-%d %H') AS hour, count(*) AS n, count(*) FILTER (created_at IS NOT NULL AND {_MADE} IS NULL) AS unreadable FROM twcs GROUP BY 1",
     "dm_frequency": f"SELECT brand, count(*) AS n, count(*) FILTER ({_re('brand_reply', X.DM)}) AS hits, round(count(*) FILTER ({_re('brand_reply', X.DM)}) / count(*), 6) AS rate FROM (SELECT DISTINCT evidence_id, brand, brand_reply FROM exemplar) GROUP BY brand",
     "style_card": f"""WITH r AS (SELECT DISTINCT evidence_id, brand, brand_reply AS t FROM exemplar WHERE brand_reply <> ''), k AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY length(t)) AS p, count(*) OVER (PARTITION BY brand) AS c FROM r)
