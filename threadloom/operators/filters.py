@@ -83,6 +83,10 @@ def semi_sample(rows: DataFrame, key: str, sampled: DataFrame) -> DataFrame:
     return rows.join(sampled.select(key).distinct(), key, "left_semi")
 
 
+def _member(name: str):
+    return lambda e: e[name]
+
+
 def _leaves(t: T.DataType, c: Column, path: str) -> list[tuple[str, Column]]:
     """Path and expression of each string leaf; those of arrays are arrays of strings, of any depth flattened."""
     if isinstance(t, T.StringType):
@@ -98,7 +102,11 @@ def _leaves(t: T.DataType, c: Column, path: str) -> list[tuple[str, Column]]:
         if isinstance(inner, T.ArrayType):
             return _leaves(inner, F.flatten(c), path + "[]")
         if isinstance(inner, T.StructType):
-            return [x for f in inner.fields for x in _leaves(T.ArrayType(f.dataType), F.transform(c, lambda e, n=f.name: e[n]), f"{path}[].{f.name}")]
+            out = []
+            for f in inner.fields:
+                values, name = F.transform(c, _member(f.name)), f"{path}[].{f.name}"
+                out += [(name, values)] if isinstance(f.dataType, T.StringType) else _leaves(T.ArrayType(f.dataType), values, name)
+            return out
         if isinstance(inner, T.MapType):
             return _leaves(T.ArrayType(T.ArrayType(inner.valueType)), F.transform(c, lambda e: F.map_values(e)), path + "[]")
     return []
@@ -123,6 +131,10 @@ def leaks(rows: DataFrame, limit: int = 200, allowed: tuple[str, ...] = (), empt
     return rows.select(F.explode(F.array(*found)).alias("f")).groupBy("f.field").agg(F.sum(F.greatest("f.n", F.lit(0))).alias("n"))
 
 
+def _picked(keys: list[str]):
+    return lambda e: F.struct(*(e[k].alias(k) for k in keys))
+
+
 def allowed_only(rows: DataFrame, allowed: dict[str, list[str] | None]) -> DataFrame:
     """The listed columns, of struct columns only the listed fields; anything else in the schema is an error, so that nothing new leaks unseen."""
     odd = [c for c in rows.columns if c not in allowed]
@@ -136,8 +148,7 @@ def allowed_only(rows: DataFrame, allowed: dict[str, list[str] | None]) -> DataF
         inner = rows.schema[name].dataType
         element = inner.elementType if isinstance(inner, T.ArrayType) else inner
         odd += [f"{name}.{f.name}" for f in element.fields if f.name not in keys]
-        pick = lambda e, keys=keys: F.struct(*(e[k].alias(k) for k in keys))
-        made = F.transform(F.col(name), pick) if isinstance(inner, T.ArrayType) else F.when(F.col(name).isNotNull(), pick(F.col(name)))
+        made = F.transform(F.col(name), _picked(keys)) if isinstance(inner, T.ArrayType) else F.when(F.col(name).isNotNull(), _picked(keys)(F.col(name)))
         out.append(made.alias(name))
     if odd:
         raise GuardError(f"columns that aren't allowed: {', '.join(sorted(odd))}")

@@ -70,10 +70,22 @@ def threads(messages: DataFrame) -> DataFrame:
     return ordered_turns(best_branch(branches(once), once), once)
 
 
+def _followed(turns: DataFrame) -> DataFrame:
+    """Turns with the text of the next one (``follow``), and whether there is none (``last``): by a join on the turn's number, so no window holds a thread."""
+    nxt = turns.select("root", (F.col("turn") - 1).alias("turn"), F.col("text").alias("follow"), F.lit(True).alias("more"))
+    return turns.join(nxt, ["root", "turn"], "left").withColumn("last", F.col("more").isNull()).drop("more")
+
+
+def resolutions(turns: DataFrame) -> DataFrame:
+    """``root, brand, confirmed``: per thread its first brand turn with a step, and whether the next turn confirms it."""
+    t = _followed(turns).where(~F.coalesce("inbound", F.lit(False))).where(X.resolves(F.col("text")))
+    ok = t.withColumn("confirmed", ~F.col("last") & X.matches(F.col("follow"), X.CONFIRMATION))
+    return ok.groupBy("root").agg(F.min_by(F.struct("author", "confirmed"), "turn").alias("r")).select("root", F.col("r.author").alias("brand"), "r.confirmed")
+
+
 def precedents(turns: DataFrame) -> DataFrame:
     """Per thread its first brand turn that resolves (with a follow-up: that is confirmed)."""
-    by = Window.partitionBy("root").orderBy("turn")
-    follow = turns.withColumn("follow", F.lead("text").over(by)).withColumn("last", F.lead("id").over(by).isNull())
+    follow = _followed(turns)
     follow_up = F.when(~F.col("last"), X.text(F.col("follow")))
     ok = follow.where(~F.coalesce("inbound", F.lit(False))).where(X.resolves(F.col("text"), follow_up))
     first = ok.groupBy("root").agg(F.min_by(F.struct("id", "author", "text", (~F.col("last")).alias("confirmed")), "turn").alias("p"))

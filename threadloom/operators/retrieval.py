@@ -287,7 +287,7 @@ def hybrid(docs: DataFrame, asked: DataFrame, candidates: int = 50, k: int = 3,
     vectors = checkpoint(embedded(docs, "id", "text", encoder))
     own = asked.join(docs.where("brand is not null and intent is not null").select(F.col("id").alias("q"), F.concat_ws("\x1f", "brand", "intent").alias("pool"), "text"), "q")
     lexical = checkpoint(pooled_bm25(docs, pool, own, candidates))
-    of_query = own.select("q", "pool").join(vectors.select(F.col("id").alias("q"), "v"), "q")
+    of_query = own.select("q", "pool").join(vectors.select(F.col("id").alias("q"), F.col("v").alias("v")), "q")
     dense = checkpoint(dense_topk(pool.join(vectors, "id"), of_query, candidates, within="pool"))
     fused = reciprocal_ranks(lexical.select("q", "id", "rank").unionByName(dense.select("q", "id", "rank")), "q", "id").select("q", "id", F.col("score").alias("rrf_score"))
     with_v = fused.join(vectors, "id").join(vectors.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q")

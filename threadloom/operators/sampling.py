@@ -20,23 +20,26 @@ def salted_top(rows: DataFrame, key: str, salt: str, n: int) -> DataFrame:
     return rows.withColumn("u", fraction(F.concat(F.col(key).cast("string"), F.lit("|" + salt)))).orderBy("u", key).limit(n)
 
 
-def stratified_take(rows: DataFrame, key: str, buckets: dict[str, Column], each: int) -> DataFrame:
-    """Per bucket, in their order, ``each`` rows by key that no earlier bucket took; the last bucket fills up from the rest.
+def stratified_take(rows: DataFrame, key: str, buckets: dict[str, Column], each: int | dict[str, int]) -> DataFrame:
+    """Per bucket, in their order, ``each`` rows by key (or a number per bucket and for ``filler``) that no earlier bucket took; the last bucket fills up from the rest.
 
-    Every bucket needs at most ``each`` times its position many rows by key, so only those are carried.
+    A bucket needs at most as many rows by key as it and the earlier ones take, so only those are carried.
     """
-    need = each * len(buckets)
-    tops = [rows.where(c).orderBy(key).limit(need).select(key, F.lit(i).alias("b")) for i, c in enumerate(buckets.values())]
-    tops.append(rows.orderBy(key).limit(need + each).select(key, F.lit(len(buckets)).alias("b")))
+    names = [*buckets, "filler"]
+    sizes = {n: each for n in names} if isinstance(each, int) else each
+    tops, need = [], 0
+    for i, (name, test) in enumerate([*buckets.items(), ("filler", F.lit(True))]):
+        need += sizes[name]
+        tops.append(rows.where(test).orderBy(key).limit(need).select(key, F.lit(i).alias("b")))
     pool = tops[0]
     for t in tops[1:]:
         pool = pool.unionByName(t)  # a few rows from here on
     taken = None
-    for i in range(len(buckets) + 1):
+    for i, name in enumerate(names):
         now = pool.where(F.col("b") == i)
         if taken is not None:
             now = now.join(taken.select(key), key, "left_anti")
-        now = now.orderBy(key).limit(each).select(key, F.lit([*buckets, "filler"][i]).alias("bucket"))
+        now = now.orderBy(key).limit(sizes[name]).select(key, F.lit(name).alias("bucket"))
         taken = now if taken is None else taken.unionByName(now)
     return taken
 
@@ -47,6 +50,13 @@ def dedupe_normal(rows: DataFrame, order: str, text: str) -> DataFrame:
     return rows.groupBy(F.md5(normal).alias("digest")).agg(F.min(order).alias(order), F.count("*").alias("copies"))
 
 
+def dedupe_stats(kept: DataFrame) -> DataFrame:
+    """One row on the result of ``dedupe_normal``: rows in, kept, dropped, and the share dropped."""
+    g = kept.agg(F.coalesce(F.sum("copies"), F.lit(0)).alias("n_input"), F.count("*").alias("kept"))
+    dropped = F.col("n_input") - F.col("kept")
+    return g.select("n_input", "kept", dropped.alias("dropped"), F.round(F.when(F.col("n_input") > 0, dropped / F.col("n_input")).otherwise(F.lit(0.0)), 6).alias("rate"))
+
+
 def content_hash(rows: DataFrame, key: str, *columns: str) -> DataFrame:
     """Order-independent digest of ``rows``: the sum of each row's 60-bit hash, and their number.
 

@@ -99,13 +99,6 @@ def invariants(spark, sf_dir):
     return d.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.coalesce(c, F.lit(False)).alias("broken")) for n, c in rules.items()))).alias("r")).groupBy("r.rule").agg(F.count_if("r.broken").alias("violations"))
 
 
-def leak_scan(spark, sf_dir):
-    """Long strings of the log by field."""
-    d = table(spark, sf_dir, "decision_record")
-    fields = {"input_text_redacted": F.col("input_text_redacted"), "raw_model_output": F.col("raw_model_output"), "reply_draft": F.col("decision.reply_draft")}
-    return d.select(F.explode(F.array(*(F.struct(F.lit(n).alias("field"), (F.char_length(c) > 200).alias("long")) for n, c in fields.items()))).alias("r")).groupBy("r.field").agg(F.count_if("r.long").alias("n"))
-
-
 def run_report(spark, sf_dir):
     d = table(spark, sf_dir, "decision_record")
     whole = d.agg(
@@ -431,7 +424,7 @@ def action_confusion(spark, sf_dir):
 
 
 _NAMES = (
-    "sample_md5 salted_order_topn stratified_buckets dedupe_normalised content_hash cache_latest cache_miss heldout_antijoin rejoin_coverage invariants leak_scan run_report layer_counts evidence_support error_groups "
+    "sample_md5 salted_order_topn stratified_buckets dedupe_normalised content_hash cache_latest cache_miss heldout_antijoin rejoin_coverage invariants run_report layer_counts evidence_support error_groups "
     "paired_ids bm25_topk dense_topk hybrid_fusion mmr ir_metrics one_nn nearest_centroid wilson grounding_failures per_class_f1 macro_f1 confusion_top majority mcnemar holm kappa risk_coverage calibration brier "
     "bootstrap_ci tau_sweep tau_choice class_thresholds prior_draw rules_fit rules_predict index_stats action_confusion risk_summary calibration_summary oos_detection confusion_matrix mcnemar_report agreement_report "
     "bootstrap_cells paired_bootstrap_cells rules_coverage baseline_comparison constant_reply prediction_gold error_kinds action_rates"
@@ -532,9 +525,6 @@ ORACLES = {
         )
     )
     + "], recursive := true) FROM decision_record) GROUP BY rule",
-    "leak_scan": "SELECT field, count(*) FILTER (long) AS n FROM (SELECT unnest(["
-    + ", ".join(f"{{'field': '{n}', 'long': length({c}) > 200}}" for n, c in (("input_text_redacted", "input_text_redacted"), ("raw_model_output", "raw_model_output"), ("reply_draft", "decision.reply_draft")))
-    + "], recursive := true) FROM decision_record) GROUP BY field",
     "run_report": "SELECT count(*) AS n, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, round(quantile_cont(latency_ms, 0.5), 4) AS p50, round(quantile_cont(latency_ms, 0.95), 4) AS p95, round(avg(CAST(cache_hit AS DOUBLE)), 6) AS hit_rate, round(avg(CAST(repair_attempts > 0 AS DOUBLE)), 6) AS repair_rate FROM decision_record",
     "layer_counts": "SELECT policy_layer_fired, decision.action AS action, count(*) AS n FROM decision_record GROUP BY ALL",
     "evidence_support": rf"""WITH d AS (SELECT DISTINCT message_id, decision.reply_draft AS t, lower(regexp_replace(array_to_string(list_filter(list_transform(evidence, lambda s: s.brand_reply), lambda y: y IS NOT NULL), ' '), '\s+', ' ', 'g')) AS e FROM decision_record WHERE decision.reply_draft IS NOT NULL)

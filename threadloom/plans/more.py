@@ -18,12 +18,7 @@ from threadloom.session import table
 
 def resolved_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to 50 threads per brand: those whose first resolving brand turn is confirmed, then the rest."""
-    turns = M.threads(table(spark, sf_dir, "twcs"))
-    by = Window.partitionBy("root").orderBy("turn")
-    t = turns.withColumn("follow", F.lead("text").over(by)).withColumn("last", F.lead("id").over(by).isNull()).where(~F.coalesce("inbound", F.lit(False)))
-    step = X.resolves(F.col("text"))
-    ok = t.where(step).withColumn("confirmed", ~F.col("last") & X.matches(F.col("follow"), X.CONFIRMATION))
-    first = ok.groupBy("root").agg(F.min_by(F.struct("author", "confirmed"), "turn").alias("r")).select("root", F.col("r.author").alias("brand"), "r.confirmed")
+    first = M.resolutions(M.threads(table(spark, sf_dir, "twcs")))
     return R.top(first.withColumn("c", F.col("confirmed").cast("int")), "brand", "c", F.col("root"), 50).select("brand", "root", "confirmed", "rank")
 
 
