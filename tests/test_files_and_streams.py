@@ -22,9 +22,11 @@ def test_lines(spark, tmp_path):
     files.write_lines(df, str(tmp_path / "l"), "k")
     assert sorted(map(tuple, files.read_lines(spark, str(tmp_path / "l"), "k string, n int").collect())) == [("a", 2), ("b", 1)]
     assert files.read_lines(spark, str(tmp_path / "none"), "k string").count() == 0
-    assert files.allowed(df, ["n", "k"]).columns == ["n", "k"]
-    with pytest.raises(ValueError, match="allowed: n"):
-        files.allowed(df, ["k"])
+    (tmp_path / "r.csv").write_text('id,note,more\n007,"a\nb",x\n', encoding="utf-8")
+    assert [tuple(r) for r in files.read_rows(spark, str(tmp_path / "r.csv"), ["note", "id", "absent"]).collect()] == [("a\nb", "007", None)]
+    assert files.read_rows(spark, str(tmp_path / "none.csv"), ["id"]).collect() == []
+    files.write_table(df, str(tmp_path / "t"), "k")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
 def test_cache_file(spark, tmp_path):
@@ -33,6 +35,15 @@ def test_cache_file(spark, tmp_path):
         files.append_cache(spark.createDataFrame([(k, r, {"in": i}, i)], files.CACHE), p)
     assert {r.key: r.response for r in files.read_cache(spark, p).collect()} == {"k": "b", "m": "c"}
     assert files.compact_cache(spark, p, str(tmp_path / "d")) == 2
+    assert files.read_cache(spark, str(tmp_path / "none")).count() == 0
+
+
+@pytest.mark.parametrize("line", ['{"key": "x", "resp', '{"response": "without a key"}'])
+def test_a_corrupt_cache_line_is_an_error(spark, tmp_path, line):
+    (tmp_path / "c.jsonl").write_text('{"key": "k", "response": "a", "position": 0}\n\n' + line + "\n", encoding="utf-8")
+    with pytest.raises(Exception, match="unreadable cache line"):
+        files.read_cache(spark, str(tmp_path / "c.jsonl")).collect()
+    assert [n for _, n in files.broken_lines(spark, str(tmp_path / "c.jsonl"))] == [3]
 
 
 def test_answers(spark):
@@ -61,8 +72,24 @@ def test_stream_of_contacts(spark, tmp_path):
     assert {r.id: r.repeated for r in spark.table("contacts").collect()} == {1: False, 2: True, 3: False, 4: False}
 
 
-def test_stream_keeps_latest(spark, tmp_path):
-    merge = decisions.keep_latest(str(tmp_path / "log"), "k", "t")
-    merge(spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], "k string, t int, v string"), 0)
-    merge(spark.createDataFrame([("a", 2, "z")], "k string, t int, v string"), 1)
-    assert {r.k: r.v for r in spark.read.parquet(str(tmp_path / "log/v1")).collect()} == {"a": "z", "b": "y"}
+def test_log_keeps_its_history(spark, tmp_path):
+    p, schema = str(tmp_path / "log"), "k string, t int, v string"
+    merge = decisions.keep_latest(p, "k", "t")
+    merge(spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], schema), 0)
+    merge(spark.createDataFrame([("a", 2, "z"), ("a", 1, "old")], schema), 3)  # a version is left out
+    merge(spark.createDataFrame([("a", 2, "z")], schema), 3)  # a batch runs again
+    anew = decisions.keep_latest(p, "k", "t")
+    anew(spark.createDataFrame([("c", 1, "w"), ("b", 0, "older")], schema), 0)  # a stream starts anew
+    assert {r.k: r.v for r in decisions.read_latest(spark, p, "k", "t").collect()} == {"a": "z", "b": "y", "c": "w"}
+    decisions.compact(spark, p, "k", "t", str(tmp_path / "log2"))
+    assert decisions.read_latest(spark, str(tmp_path / "log2"), "k", "t").count() == 3
+
+
+def test_answers_come_from_the_cache_with_one_repair(spark):
+    from threadloom.operators.sampling import cache_key
+
+    asked = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, None)], "id int, text string")
+    held = [("a", "v", '{"intent": "x", "confidence": 0.9}'), ("b", "v", "oh no"), ("b", "v/repair", '```json\n{"intent": "y", "confidence": 0.4}\n```'), ("c", "v", "oh no")]
+    cache = spark.createDataFrame(held, "t string, ver string, response string").select(cache_key(F.lit("m"), F.col("ver"), F.col("t")).alias("key"), "response")
+    got = {r.id: (r.intent, r.confidence, r.repair_attempts, r.error) for r in decisions.answered(asked, cache, "m", "v").collect()}
+    assert got == {1: ("x", 0.9, 0, None), 2: ("y", 0.4, 1, None), 3: ("other_unclear", 0.0, 1, "unreadable answer"), 4: ("other_unclear", 0.0, 0, "no cached answer"), 5: ("other_unclear", 0.0, 0, "no cached answer")}

@@ -100,12 +100,12 @@ def test_descendants(spark):
     assert got == {(1, 2, 1), (1, 3, 2), (1, 4, 2), (2, 3, 1), (2, 4, 1)}
 
 
-def test_class_fusion_ranks_the_whole_class(spark, tmp_path):
-    from threadloom.plans.evaluation import class_fusion
+def test_hybrid_fusion_ranks_the_whole_class(spark, tmp_path):
+    from threadloom.plans.evaluation import hybrid_fusion
 
     rows = [(0, [1.0, 0.0], 1), *((i, [1.0 - i / 1000, 0.0], 2) for i in range(1, 50)), *((i, [0.9, 0.0], None) for i in range(51, 56)), *((i, [-i / 1000, 0.0], 1) for i in range(101, 111))]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = [r.id for r in class_fusion(spark, str(tmp_path)).where("q = 0").orderBy("fused_rank").collect()]
+    got = [r.id for r in hybrid_fusion(spark, str(tmp_path)).where("q = 0").orderBy("fused_rank").collect()]
     # the class lies beyond the nearest 50, and its rank n counts as much as rank n of all; ties by the id as text
     assert got == [1, 101, 102, 2, 103, 3, 104, 4, 105, 5]
 

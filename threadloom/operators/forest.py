@@ -95,6 +95,43 @@ def _loops(links: DataFrame, stuck: DataFrame) -> DataFrame:
     return far.select("id", "cur").join(ring.select(F.col("id").alias("cur"), F.col("low").alias("root")), "cur").select("id", "root")
 
 
+def _steps(links: DataFrame, paths: bool) -> DataFrame:
+    """Each node's single step to its parent, with ``paths`` with the id walked over; roots stay where they are."""
+    held = links.select(F.col("id").alias("parent"), F.lit(True).alias("held"))
+    rooted = links.join(held, "parent", "left").select("id", F.when(F.col("held"), F.col("parent")).alias("nxt"))
+    return rooted.select(
+        "id",
+        F.coalesce("nxt", "id").alias("cur"),
+        F.when(F.col("nxt").isNull(), 0).otherwise(1).alias("d"),
+        F.col("id").alias("low"),
+        (F.col("nxt").isNull() | is_splitter(F.col("nxt"))).alias("done"),
+        *([F.when(F.col("nxt").isNull(), F.array().cast("array<bigint>")).otherwise(F.array("id")).alias("way")] if paths else []),
+    )
+
+
+def chains(links: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``(root, id)``: every node from each of ``leaves(root, leaf)`` up to its root, one leaf per root.
+
+    Only short ways to the next splitter are ever arrays. The splitters above a leaf are
+    marked by steps of halving length, then the ways of the marked ones are expanded: the
+    work is that of the links, not of all paths. Leaves must not lead into loops.
+    """
+    arrived, _ = _walk(checkpoint(_steps(checkpoint(links), True)), True, True)
+    arrived = checkpoint(arrived.select("id", "cur", "d", "way"))
+    own = arrived.join(leaves.select("root", F.col("leaf").alias("id")), "id")
+    jump = arrived.where(is_splitter(F.col("id")) & (F.col("d") > 0)).select("id", "cur")
+    jumps, held, n = [], -1, jump.count()
+    while n and n != held:  # a round that ends no chain leaves only those of loops
+        jumps.append(jump)
+        jump = checkpoint(jump.join(jump.select(F.col("id").alias("cur"), F.col("cur").alias("c2")), "cur").select("id", F.col("c2").alias("cur")))
+        held, n = n, jump.count()
+    marked = own.select("root", F.col("cur").alias("id"))
+    for step in reversed(jumps):
+        marked = checkpoint(marked.unionByName(marked.join(step, "id").select("root", F.col("cur").alias("id"))).distinct())
+    passed = marked.join(arrived.select("id", "way"), "id").select("root", F.explode("way").alias("id"))
+    return own.select("root", F.explode("way").alias("id")).unionByName(passed).unionByName(leaves.select("root", F.col("root").alias("id"))).distinct()
+
+
 def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     """``id, root, depth`` and with ``paths`` also ``path`` (ids from the root to the node).
 
@@ -103,18 +140,8 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     root the least id of the loop, and as path themselves alone. Empty input: empty.
     """
     links = checkpoint(links)
-    held = links.select(F.col("id").alias("parent"), F.lit(True).alias("held"))
     empty = F.array().cast("array<bigint>")
-    rooted = links.join(held, "parent", "left").select("id", F.when(F.col("held"), F.col("parent")).alias("nxt"))
-    one = rooted.select(
-        "id",
-        F.coalesce("nxt", "id").alias("cur"),
-        F.when(F.col("nxt").isNull(), 0).otherwise(1).alias("d"),
-        F.col("id").alias("low"),
-        (F.col("nxt").isNull() | is_splitter(F.col("nxt"))).alias("done"),
-        *([F.when(F.col("nxt").isNull(), empty).otherwise(F.array("id")).alias("way")] if paths else []),
-    )
-    one = checkpoint(one)
+    one = checkpoint(_steps(links, paths))
     arrived, lost = _walk(one, True, paths)
     n_lost = not lost.isEmpty()
     cols = ["id", "cur", "d", "low"] + (["way"] if paths else [])

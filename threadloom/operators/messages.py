@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
 from threadloom.functions.keys import id_number, instant, tidy_label
-from threadloom.operators.forest import hierarchy
+from threadloom.operators.forest import chains, hierarchy
+from threadloom.operators.order import numbered
 from threadloom.session import checkpoint
 
 
@@ -37,37 +38,38 @@ def branches(once: DataFrame) -> DataFrame:
     return tree.where("depth >= 0").join(parents, "id", "left_anti").select("root", F.col("id").alias("leaf"), (F.col("depth") + 1).alias("length"), "path")
 
 
-def best_branch(paths: DataFrame, once: DataFrame) -> DataFrame:
-    """Per root the branch that ends with a brand, else the longest, else the one with the least leaf."""
-    ends = paths.join(once.select(F.col("id").alias("leaf"), (~F.coalesce("inbound", F.lit(False))).cast("int").alias("brand_last")), "leaf")
-    return ends.groupBy("root").agg(F.max_by(F.struct("leaf", "length", "brand_last", "path"), F.struct("brand_last", "length", -F.col("leaf"))).alias("b")).select("root", "b.*")
+def best_leaves(once: DataFrame) -> DataFrame:
+    """``root, leaf, length, brand_last``: per root the leaf that ends with a brand, else the deepest, else the least. No paths are built."""
+    tree = hierarchy(once.select("id", F.col("up").alias("parent")))
+    parents = once.select(F.col("up").alias("id")).where("id is not null").distinct()
+    ends = tree.where("depth >= 0").join(parents, "id", "left_anti").join(once.select("id", (~F.coalesce("inbound", F.lit(False))).cast("int").alias("brand_last")), "id")
+    row = F.struct(F.col("id").alias("leaf"), (F.col("depth") + 1).alias("length"), "brand_last")
+    return ends.groupBy("root").agg(F.max_by(row, F.struct("brand_last", "depth", -F.col("id"))).alias("b")).select("root", "b.*")
 
 
 def ordered_turns(best: DataFrame, once: DataFrame) -> DataFrame:
     """``root, turn, id, author, inbound, made, text``: turns by time and id, runs of one author and instant by part number.
 
-    Threads whose first turn isn't a customer's or that no brand takes part in are left out.
-    Branches are as long as a thread is deep, so a window over one is bounded by its depth.
+    ``best(root, leaf, length)`` are the chosen branches. Threads whose first turn isn't a
+    customer's or that no brand takes part in are left out. Runs lie within one instant of
+    a thread, and so do their windows.
     """
-    turns = best.select("root", F.explode("path").alias("id")).join(once.drop("up"), "id")
-    by = Window.partitionBy("root").orderBy(F.col("made").asc_nulls_first(), "id")
-    new = (~F.col("made").eqNullSafe(F.lag("made").over(by)) | ~F.col("author").eqNullSafe(F.lag("author").over(by))).cast("int")
-    runs = turns.withColumn("base", F.row_number().over(by)).withColumn("new", F.coalesce(new, F.lit(1)))
-    runs = runs.withColumn("run", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))).withColumn("part", X.part(F.col("text")))
-    one = Window.partitionBy("root", "run")
+    turns = chains(once.select("id", F.col("up").alias("parent")), best).join(once.drop("up"), "id")
+    instant_ = Window.partitionBy("root", "made").orderBy("id")
+    new = (~F.col("author").eqNullSafe(F.lag("author").over(instant_)) | F.lag("id").over(instant_).isNull()).cast("int")
+    runs = turns.withColumn("new", new).withColumn("part", X.part(F.col("text")))
+    runs = runs.withColumn("run", F.sum("new").over(instant_.rowsBetween(Window.unboundedPreceding, 0)))
+    one = Window.partitionBy("root", "made", "run")
     marked = (F.count("*").over(one) > 1) & F.max("part").over(one).isNotNull()
     ranked = runs.withColumn("slot", F.when(marked, F.coalesce("part", F.lit(1_000_000))).otherwise(0))
-    out = ranked.withColumn("turn", F.row_number().over(Window.partitionBy("root").orderBy("run", "slot", "base")) - 1)
-    all_ = Window.partitionBy("root")
-    opener = F.max(F.when((F.col("turn") == 0) & F.col("inbound"), 1)).over(all_)
-    answered = F.max((~F.coalesce("inbound", F.lit(False))).cast("int")).over(all_)
-    kept = out.withColumn("o", opener).withColumn("a", answered).where("o = 1 and a = 1")
-    return kept.select("root", "turn", "id", "author", "inbound", "made", "text")
+    out = checkpoint(numbered(ranked, best.select("root", F.col("length").alias("n")), "root", "made", ["run", "slot", "id"], "turn"))
+    kept = out.groupBy("root").agg(F.max(F.when((F.col("turn") == 0) & F.col("inbound"), 1)).alias("o"), F.max((~F.coalesce("inbound", F.lit(False))).cast("int")).alias("a")).where("o = 1 and a = 1").select("root")
+    return out.join(kept, "root", "left_semi").select("root", "turn", "id", "author", "inbound", "made", "text")
 
 
 def threads(messages: DataFrame) -> DataFrame:
     once = checkpoint(deliveries_once(messages))
-    return ordered_turns(best_branch(branches(once), once), once)
+    return ordered_turns(checkpoint(best_leaves(once)), once)
 
 
 def _followed(turns: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from threadloom.functions import text as X
 from threadloom.functions.keys import instant
 from threadloom.operators import messages as M
 from threadloom.plans.general import _ID, _MADE
-from threadloom.session import table
+from threadloom.session import checkpoint, table
 
 
 def _over_tweets(build):
@@ -156,8 +156,7 @@ def thread_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = M.deliveries_once(table(spark, sf_dir, "twcs"))
-    return M.best_branch(M.branches(once), once).select("root", "leaf", "length", "brand_last")
+    return M.best_leaves(checkpoint(M.deliveries_once(table(spark, sf_dir, "twcs")))).select("root", "leaf", "length", "brand_last")
 
 
 def turn_order_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
