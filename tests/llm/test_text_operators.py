@@ -121,6 +121,8 @@ def test_rebuild(spark):
     assert got == [(1, 0, 1, "customer"), (1, 1, 3, "brand"), (1, 2, 2, "brand")]
     counts = {r.outcome: r.conversations for r in conversations.outcome_counts(df).collect()}
     assert counts == {"kept": 1, "unanswered": 1, "not_opened_by_customer": 1, "unreadable_time": 1, "broken_link": 2}
+    split = sorted(tuple(r) for r in conversations.rebuild(df, 1).select("conversation_id", "turn_no", "tweet_id", "speaker").collect())
+    assert split == got  # numbered per instant
     assert conversations.rebuild(df.limit(0)).count() == 0
 
 

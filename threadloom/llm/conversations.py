@@ -3,16 +3,17 @@
 A conversation is a connected component over the reply links, found by alternating
 large-star and small-star rounds, each a join of edge rows with one minimum per node: a
 component of any size or depth is only ever a set of edge rows. The turns of a
-component are then validated by aggregates and numbered per hour, so that a component
-with a third of all rows is never sorted in one task.
+component are then validated by aggregates; those of a large one are numbered per
+instant, so that a component with a third of all rows is never sorted in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.keys import id_number, instant, tidy_label
+from threadloom.operators.order import LIMIT, numbered
 from threadloom.session import checkpoint
 
 
@@ -111,7 +112,7 @@ def _judged(labelled: DataFrame) -> DataFrame:
     return per.withColumn("dropped", why)
 
 
-def rebuild(messages: DataFrame) -> DataFrame:
+def rebuild(messages: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``conversation_id, turn_no, tweet_id`` (BIGINT ids), ``speaker, made`` of the kept conversations.
 
     Kept: the component holds a tweet without reply link (so none leads to an absent tweet
@@ -121,18 +122,10 @@ def rebuild(messages: DataFrame) -> DataFrame:
     several times is one turn; an empty table gives no rows.
     """
     labelled = checkpoint(_labelled(messages))
-    kept = _judged(labelled).where("dropped is null").select("component", "conversation")
-    turns = (
-        labelled.where("spoken").join(kept, "component").select("conversation", "made", F.coalesce("part", F.lit(1 << 30)).alias("part"), "id", "who", F.date_trunc("hour", "made").alias("hour"))
-    )
-    hours = turns.groupBy("conversation", "hour").agg(F.count("*").alias("n"))
-    before = hours.select("conversation", "hour", (F.sum("n").over(Window.partitionBy("conversation").orderBy("hour")) - F.col("n")).alias("before"))
-    within = F.row_number().over(Window.partitionBy("conversation", "hour").orderBy("made", "part", "id"))
-    return (
-        turns.withColumn("within", within)
-        .join(before, ["conversation", "hour"])
-        .select(F.col("conversation").alias("conversation_id"), (F.col("before") + F.col("within") - 1).cast("int").alias("turn_no"), F.col("id").alias("tweet_id"), F.col("who").alias("speaker"), "made")
-    )
+    kept = checkpoint(_judged(labelled).where("dropped is null").select("component", "conversation", "turns"))
+    turns = labelled.where("spoken").join(kept.drop("turns"), "component").select("conversation", "made", F.coalesce("part", F.lit(1 << 30)).alias("part"), "id", "who")
+    out = numbered(turns, kept.select("conversation", F.col("turns").alias("n")), "conversation", "made", ["part", "id"], "turn_no", limit)
+    return out.select(F.col("conversation").alias("conversation_id"), F.col("turn_no").cast("int").alias("turn_no"), F.col("id").alias("tweet_id"), F.col("who").alias("speaker"), "made")
 
 
 def outcome_counts(messages: DataFrame) -> DataFrame:
