@@ -1,7 +1,11 @@
 """Text expressions, threads and statistics on worked examples."""
 
 import datetime as dt
+import math
+import random
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
@@ -89,7 +93,34 @@ def test_kappa_paradox(spark):
 def test_bm25_prefers_rare_terms(spark):
     docs = spark.createDataFrame([(1, "app error 503"), (2, "app works"), (3, "app fine"), (4, "app ok app"), (5, None)], "id int, t string")
     q = spark.createDataFrame([(9, "app 503")], "q int, qt string")
-    assert [r.id for r in R.bm25(docs, "id", "t", q, "q", "qt").collect()] == [1]
+    assert [r.id for r in R.bm25_topk(docs, "id", "t", q, "q", "qt", 10).collect()] == [1]
+
+
+@pytest.mark.parametrize("frequent", [3, 50])
+def test_bm25_lists_equal_brute_force(spark, monkeypatch, frequent):
+    """Frequent terms are left out of the join only where they can't change the list."""
+    monkeypatch.setattr(R, "FREQUENT", frequent)
+    rnd = random.Random(frequent)
+    vocabulary = [f"t{i}" for i in range(60)]
+    draw = lambda n: [vocabulary[min(59, int(rnd.expovariate(0.12)))] for _ in range(n)]
+    docs = {i: draw(rnd.randrange(0, 25)) for i in range(250)}
+    asked = {i: docs[i] for i in range(0, 250, 10)}
+    n, mean = len(docs), sum(map(len, docs.values())) / len(docs)
+    df = Counter(t for w in docs.values() for t in set(w))
+    want = set()
+    for q, terms in asked.items():
+        score = {}
+        for d, w in docs.items():
+            tf, s = Counter(w), 0.0
+            for t in terms:
+                if tf[t] and (idf := math.log((n - df[t] + 0.5) / (df[t] + 0.5))) > 0:
+                    s += idf * tf[t] * 2.5 / (tf[t] + 1.5 * (0.25 + 0.75 * len(w) / mean))
+            if s and d != q:
+                score[d] = round(s, 6)
+        want |= {(q, d, s, k + 1) for k, (d, s) in enumerate(sorted(score.items(), key=lambda x: (-x[1], x[0]))[:5])}
+    table = spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "id int, t string")
+    got = R.bm25_topk(table, "id", "t", table.where("id % 10 = 0").select(F.col("id").alias("q"), F.col("t").alias("qt")), "q", "qt", 5).collect()
+    assert {(r.q, r.id, r.score, r["rank"]) for r in got} == want
 
 
 def test_hash_sample_is_monotone(spark):

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import tokens
+from threadloom.operators.stats import few
 from threadloom.session import checkpoint
 
 
@@ -42,7 +43,7 @@ def vector_regression(rows: DataFrame, key: str, folds: int = 5) -> DataFrame:
     n = F.count("*")
     share = rows.groupBy("label").agg(n.alias("c"))
     total = share.agg(F.sum("c").alias("total"), F.count("*").alias("k"))
-    weighed = rows.join(F.broadcast(share.crossJoin(total)), "label").select(fold(key, folds).alias("fold"), F.col("label").cast("double").alias("y"), array_to_vector("v").alias("features"), (F.col("total") / (F.col("k") * F.col("c"))).alias("w"))
+    weighed = rows.join(F.broadcast(few(share.crossJoin(total))), "label").select(fold(key, folds).alias("fold"), F.col("label").cast("double").alias("y"), array_to_vector("v").alias("features"), (F.col("total") / (F.col("k") * F.col("c"))).alias("w"))
     out = None
     for k in range(folds):
         model = LogisticRegression(labelCol="y", weightCol="w", maxIter=40, regParam=0.01).fit(weighed.where(F.col("fold") != k))

@@ -24,23 +24,54 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.explode(tokens(F.col(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey: str, qtext: str) -> DataFrame:
-    """``(qkey, key, score)`` of every document that shares a telling term with a query.
+#: A term is frequent if one in so many documents has it: its posting list is joined only for queries that need it.
+FREQUENT = 50
 
-    Okapi with idf = ln((N - df + 0.5) / (df + 0.5)), at least 0: a term that half of all
-    documents hold tells nothing, and leaves its long posting list out of the join. A
-    query's repeated terms count as often. Statistics cover all documents.
+
+def weighed_terms(docs: DataFrame, posts: DataFrame) -> DataFrame:
+    """``term, df, N, avgdl, idf`` of the telling terms of ``docs(dl)``.
+
+    idf = ln((N - df + 0.5) / (df + 0.5)), at least 0: a term that half of all documents
+    hold tells nothing. Statistics cover all documents.
     """
-    sized = docs.select(key, text).withColumn("dl", F.size(tokens(F.col(text))))
-    stats = sized.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
-    posts = postings(docs, key, text)
+    stats = docs.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
     df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats)  # one row of statistics
-    idf = df.withColumn("idf", F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))).where("idf > 0").select("term", "idf", "avgdl")
-    asked = postings(queries, qkey, qtext).withColumnRenamed("tf", "qtf")
+    return df.withColumn("idf", F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))).where("idf > 0")
+
+
+def _gain() -> Column:
+    """What a term adds to a score: columns qtf, idf, tf, dl, avgdl; at most qtf * idf * (K1 + 1)."""
     tf = F.col("tf").cast("double")
-    part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    met = asked.join(idf, "term").join(posts, "term").join(sized.select(key, "dl"), key)
-    return met.groupBy(qkey, key).agg(F.round(F.sum(part), 6).alias("score"))
+    return F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+
+
+def bm25_topk(docs: DataFrame, key: str, text: str, queries: DataFrame, qkey: str, qtext: str, k: int) -> DataFrame:
+    """``(qkey, key, score, rank)``: the k documents with the highest Okapi score for each query, exactly; not the query itself.
+
+    A query's repeated terms count as often. Rare terms are scored first; the k-th best of
+    these scores is a floor of the query's list. Frequent terms whose bounds together stay
+    below it can't bring a document into the list by themselves, so their long posting
+    lists are never joined for that query: they only add to documents that other terms
+    found and that can still reach the floor.
+    """
+    sized = checkpoint(docs.select(F.col(key).alias("id"), tokens(F.col(text)).alias("w")).select("id", "w", F.size("w").alias("dl")))
+    posts = checkpoint(sized.select("id", "dl", F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf")))
+    idf = checkpoint(weighed_terms(sized, posts))
+    asked = postings(queries, qkey, qtext).select(F.col(qkey).alias("q"), "term", F.col("tf").alias("qtf")).join(idf, "term").withColumn("bound", F.col("qtf") * F.col("idf") * (K1 + 1)).withColumn("often", F.col("df") * FREQUENT > F.col("N"))
+    asked = checkpoint(asked)
+
+    def score(terms: DataFrame) -> DataFrame:
+        return terms.join(posts, "term").where("q != id").groupBy("q", "id").agg(F.sum(_gain()).alias("part"))
+
+    floor = top(score(asked.where("not often")), "q", "part", F.col("id"), k).groupBy("q").agg(F.when(F.count("*") == k, F.min("part")).otherwise(0.0).alias("floor"))
+    below = F.sum("bound").over(Window.partitionBy("q").orderBy("bound", "term"))  # the terms of one query
+    weak = asked.where("often").withColumn("upto", below).join(floor, "q").where(F.col("upto") < F.col("floor") * (1 - 1e-9)).select("q", "term", "floor", "upto")
+    strong = checkpoint(score(asked.join(weak.select("q", "term"), ["q", "term"], "left_anti")))
+    most = weak.groupBy("q").agg(F.max("upto").alias("more"), F.max("floor").alias("floor"))
+    open_ = strong.join(most, "q").where(F.col("part") + F.col("more") >= F.col("floor") * (1 - 1e-9)).select("q", "id")
+    added = open_.join(asked.join(weak.select("q", "term"), ["q", "term"]), "q").join(posts, ["id", "term"]).groupBy("q", "id").agg(F.sum(_gain()).alias("part"))
+    whole = strong.unionByName(added).groupBy("q", "id").agg(F.round(F.sum("part"), 6).alias("score"))
+    return top(whole, "q", "score", F.col("id"), k).select(F.col("q").alias(qkey), F.col("id").alias(key), "score", "rank")
 
 
 def top(scored: DataFrame, by: str, score: str, tie: str | Column, k: int) -> DataFrame:
@@ -259,16 +290,11 @@ def pooled_bm25(docs: DataFrame, pool: DataFrame, asked: DataFrame, k: int) -> D
     text)`` the queries. Postings are joined by pool and term, so a query never meets a
     document of another pool. A query isn't in its own list.
     """
-    sized = docs.select("id", "text").withColumn("dl", F.size(tokens(F.col("text"))))
-    stats = sized.agg(F.count("*").alias("N"), F.avg("dl").alias("avgdl"))
+    sized = docs.select("id", F.size(tokens(F.col("text"))).alias("dl"))
     posts = postings(docs, "id", "text")
-    df = posts.groupBy("term").agg(F.count("*").alias("df")).crossJoin(stats)  # one row of statistics
-    idf = df.withColumn("idf", F.log((F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5))).where("idf > 0").select("term", "idf", "avgdl")
-    terms = postings(asked, "q", "text").withColumnRenamed("tf", "qtf").join(asked.select("q", "pool"), "q").join(idf, "term")
-    tf = F.col("tf").cast("double")
-    part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    held = posts.join(pool, "id").join(sized.select("id", "dl"), "id")
-    scored = terms.join(held, ["pool", "term"]).where("q != id").groupBy("q", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    terms = postings(asked, "q", "text").withColumnRenamed("tf", "qtf").join(asked.select("q", "pool"), "q").join(weighed_terms(sized, posts).select("term", "idf", "avgdl"), "term")
+    held = posts.join(pool, "id").join(sized, "id")
+    scored = terms.join(held, ["pool", "term"]).where("q != id").groupBy("q", "id").agg(F.round(F.sum(_gain()), 6).alias("score"))
     best = top(scored, "q", "score", F.col("id"), k).select("q", "id", "score")
     # the rest of a list: the first of the pool that aren't scored; 2k + 1 of them hold k even if the query and k scored ones are among them
     first = top(pool.withColumn("one", F.lit(1)), "pool", "one", F.col("id"), 2 * k + 1).select("pool", "id")

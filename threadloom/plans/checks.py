@@ -42,6 +42,14 @@ def exemplar_prompt(spark, sf_dir):
     return _drafts(spark, sf_dir).select("message_id", V.exemplar_lines(F.col("evidence")).alias("prompt")).distinct()
 
 
+def judge_input(spark, sf_dir):
+    """What a judge reads: the message, its draft, the evidence, and the criteria once in each order."""
+    d = table(spark, sf_dir, "decision_record").where("message_id is not null and decision.reply_draft is not null")
+    asked = F.explode(F.array(*(F.struct(F.lit(n).alias("ordering"), F.lit(", ".join(c)).alias("criteria")) for n, c in (("forward", CRITERIA), ("reverse", CRITERIA[::-1]))))).alias("o")
+    parts = [F.lit("MESSAGE"), X.text(F.col("input_text_redacted")), F.lit("DRAFT"), F.col("draft"), F.lit("EVIDENCE"), V.exemplar_lines(F.col("evidence")), F.lit("CRITERIA"), F.col("o.criteria")]
+    return d.select("message_id", "input_text_redacted", F.col("decision.reply_draft").alias("draft"), "evidence", asked).select("message_id", "o.ordering", F.array_join(F.array(*parts), "\n").alias("prompt")).distinct()
+
+
 def top1_similarity(spark, sf_dir):
     return _drafts(spark, sf_dir).select("message_id", F.round(R.top1_similarity(F.col("evidence")), 6).alias("top1")).distinct()
 
@@ -240,7 +248,7 @@ def citation_lines(spark, sf_dir):
 
 
 _NAMES = (
-    "evidence_slots draft_validate exemplar_prompt top1_similarity hybrid_retrieve leak_scan allow_list blank_column stray_fields slice_violations sequential_ids semi_sample label_quota dedupe_stats brand_threads thread_gate "
+    "evidence_slots draft_validate exemplar_prompt judge_input top1_similarity hybrid_retrieve leak_scan allow_list blank_column stray_fields slice_violations sequential_ids semi_sample label_quota dedupe_stats brand_threads thread_gate "
     "resolved_rows label_report verdict_quotes reply_quality_systems reply_pairs judge_summary paraphrase_flips human_scores noise_sample intent_threads index_summary citation_lines"
 ).split()
 QUERIES = {n: globals()[n] for n in _NAMES}
@@ -312,10 +320,13 @@ def _leaf(path: str) -> str:
     return f"[{path}]"
 
 
+_LINES = "array_to_string(list_transform(list_zip(coalesce(evidence, []), range(1, len(coalesce(evidence, [])) + 1)), lambda z: z[2] || '. [' || coalesce(z[1].evidence_id, '') || '] ' || coalesce(z[1].customer_text, '') || ' | ' || coalesce(z[1].brand_reply, '')), chr(10))"
 ORACLES = {
     "evidence_slots": f"WITH {_BASE} SELECT DISTINCT message_id, array_to_string({_SLOT_REASONS}, '|') AS reasons, len({_SLOT_REASONS}) = 0 AS passed FROM s WHERE text IS NOT NULL",
     "draft_validate": f"WITH {_BASE}, r AS (SELECT message_id, CASE WHEN {_DRAFT} = '' THEN [] ELSE {_DRAFT_REASONS} END AS r FROM s) SELECT DISTINCT message_id, array_to_string(r, '|') AS reasons, len(r) = 0 AS passed FROM r",
-    "exemplar_prompt": "SELECT DISTINCT message_id, array_to_string(list_transform(list_zip(coalesce(evidence, []), range(1, len(coalesce(evidence, [])) + 1)), lambda z: z[2] || '. [' || coalesce(z[1].evidence_id, '') || '] ' || coalesce(z[1].customer_text, '') || ' | ' || coalesce(z[1].brand_reply, '')), chr(10)) AS prompt FROM decision_record WHERE message_id IS NOT NULL",
+    "exemplar_prompt": f"SELECT DISTINCT message_id, {_LINES} AS prompt FROM decision_record WHERE message_id IS NOT NULL",
+    "judge_input": f"""SELECT DISTINCT message_id, ordering, array_to_string(['MESSAGE', coalesce(input_text_redacted, ''), 'DRAFT', decision.reply_draft, 'EVIDENCE', {_LINES}, 'CRITERIA', criteria], chr(10)) AS prompt
+FROM decision_record, (VALUES ('forward', '{", ".join(CRITERIA)}'), ('reverse', '{", ".join(CRITERIA[::-1])}')) o(ordering, criteria) WHERE message_id IS NOT NULL AND decision.reply_draft IS NOT NULL""",
     "top1_similarity": "SELECT DISTINCT message_id, round(coalesce(list_max(list_transform(evidence, lambda s: coalesce(s.dense_score, s.rrf_score))), 0.0), 6) AS top1 FROM decision_record WHERE message_id IS NOT NULL",
     "hybrid_retrieve": f"WITH {_WIDE} SELECT pk.q, pk.id, CAST(pick AS INT) AS pick, CAST(lx.rank AS INT) AS bm25_rank, CAST(de.rank AS INT) AS dense_rank, rrf_score, rel AS dense_score FROM pk LEFT JOIN lx USING (q, id) LEFT JOIN de ON de.q = pk.q AND de.id = pk.id",
     "leak_scan": "SELECT field, CAST(n AS BIGINT) AS n FROM (" + " UNION ALL ".join(f"SELECT '{p}' AS field, sum(coalesce(len(list_filter({_leaf(p)}, lambda x: length(x) > 200)), 0)) AS n FROM decision_record" for p in _LEAVES) + ") WHERE n > 0",

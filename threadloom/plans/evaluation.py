@@ -140,8 +140,7 @@ def _asked(e, key):
 def bm25_topk(spark, sf_dir):
     e = _exemplars(spark, sf_dir)
     q = _asked(e, "evidence_id").select(F.col("evidence_id").alias("q"), F.col("customer_text").alias("qt"))
-    s = R.bm25(e, "evidence_id", "customer_text", q, "q", "qt").where("q != evidence_id")
-    return R.top(s, "q", "score", F.col("evidence_id"), 10).select("q", "evidence_id", "score", "rank")
+    return R.bm25_topk(e, "evidence_id", "customer_text", q, "q", "qt", 10)
 
 
 def _vectors(spark, sf_dir):
