@@ -136,6 +136,13 @@ def _near_sql(field: str) -> str:
 WHERE len(a.w) >= 6 AND len(b.w) >= 6 AND 10 * len(list_intersect(a.w, b.w)) >= 7 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))"""
 
 
+def _groups_sql(field: str) -> str:
+    return f"""SELECT * FROM (WITH RECURSIVE i AS (SELECT DISTINCT evidence_id AS id, list_sort({_WORDS.format(field)}) AS s FROM exemplar WHERE evidence_id IS NOT NULL), c AS (SELECT s, min(id) AS k FROM i WHERE len(s) >= 6 GROUP BY s),
+l AS (SELECT a.k AS x, b.k AS y FROM c a JOIN c b ON a.s <> b.s AND 10 * len(list_intersect(a.s, b.s)) >= 7 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))), n AS (SELECT x, count(*) AS links FROM l GROUP BY x),
+r AS (SELECT k AS a, k AS b FROM c UNION SELECT r.a, l.y FROM r JOIN l ON l.x = r.b), g AS (SELECT a, min(b) AS g FROM r GROUP BY a)
+SELECT '{field}' AS field_name, i.id AS evidence_id, c.k AS class_id, g.g AS group_id, coalesce(links, 0) AS links FROM i JOIN c USING (s) JOIN g ON g.a = c.k LEFT JOIN n ON n.x = c.k)"""
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_redacted": p1_redacted,
@@ -173,10 +180,20 @@ n AS (SELECT message_id, CAST(count(*) AS BIGINT) AS near_exemplars, count(DISTI
 s AS (SELECT message_id, count(*) AS same_conversation FROM (SELECT DISTINCT e.message_id, e.conv, x.evidence_id FROM e JOIN x ON e.conv = x.conv) GROUP BY message_id)
 SELECT i.message_id, coalesce(near_exemplars, 0) AS near_exemplars, coalesce(same_conversation, 0) AS same_conversation, coalesce(near_classes, 0) AS near_classes FROM (SELECT DISTINCT message_id FROM e) i LEFT JOIN n USING (message_id) LEFT JOIN s USING (message_id)""",
     "p4_found": _TURNS + "SELECT CAST(conv AS VARCHAR) AS conversation_id, CAST(turn_no AS INT) AS turn_no, CAST(id AS VARCHAR) AS tweet_id, who AS speaker FROM n WHERE conv IN (SELECT conv FROM g) AND conv IN (SELECT conv FROM k)",
+    "p4_outcomes": _TURNS
+    + """, o AS (SELECT id, conv AS c FROM w UNION ALL SELECT id, c FROM (WITH RECURSIVE x AS (SELECT id, up AS c FROM t WHERE up IS NOT NULL AND up NOT IN (SELECT id FROM t) UNION ALL SELECT t.id, x.c FROM t JOIN x ON t.up = x.id) SELECT * FROM x)),
+a AS (SELECT id, c FROM (WITH RECURSIVE y AS (SELECT id, up AS c FROM t WHERE id NOT IN (SELECT id FROM o) UNION SELECT y.id, t.up FROM y JOIN t ON t.id = y.c) SELECT * FROM y)),
+z AS (SELECT id, min(c) AS c FROM a WHERE c IN (SELECT id FROM a WHERE id = c) GROUP BY id),
+h AS (SELECT o.c, t.* FROM o JOIN t USING (id) UNION ALL SELECT z.c, t.* FROM z JOIN t USING (id)),
+d AS (SELECT c, count(*) AS tweets, bool_or(up IS NULL) AS rooted, count(*) - count(made) AS undated, count(*) FILTER (spoken) AS turns, count(*) FILTER (spoken AND who = 'brand') AS answers FROM h GROUP BY c),
+f AS (SELECT c, who FROM h WHERE spoken QUALIFY row_number() OVER (PARTITION BY c ORDER BY made, part NULLS LAST, id) = 1)
+SELECT CASE WHEN NOT rooted THEN 'broken_link' WHEN undated > 0 THEN 'unreadable_time' WHEN turns = 0 THEN 'empty' WHEN coalesce(f.who <> 'customer', true) THEN 'not_opened_by_customer' WHEN answers = 0 THEN 'unanswered' ELSE 'kept' END AS outcome, count(*) AS conversations, CAST(sum(tweets) AS BIGINT) AS tweets
+FROM d LEFT JOIN f ON f.c = d.c GROUP BY 1""",
     "p5_sample": _SAMPLE + f"SELECT stratum, conversation AS conversation_id, message_id FROM u WHERE u < {sampling.RATE}",
     "p7_found": "WITH "
     + ", ".join(f"{x} AS (SELECT DISTINCT evidence_id AS id, {_WORDS.format(x)} AS w FROM exemplar WHERE evidence_id IS NOT NULL)" for x in FIELDS)
     + " " + " UNION ".join(map(_near_sql, FIELDS)),
+    "p7_groups": " UNION ALL ".join(map(_groups_sql, FIELDS)),
     "p5_rates": _SAMPLE
     + f""", h AS (SELECT *, CASE stratum WHEN 'random' THEN 0.2 WHEN 'policy_trap' THEN 0.5 ELSE {sampling.RATE} END AS rate FROM u)
 SELECT stratum, count(*) AS records, count(DISTINCT conversation) AS conversations FROM h WHERE conversation IN (SELECT conversation FROM h WHERE u < rate) GROUP BY stratum""",
