@@ -38,7 +38,7 @@ def test_references(spark):
     got = {(r.tweet_id, r.ref_field, r.ref_tweet_id, r.ref_state) for r in references.orphan_references(twcs, gone).collect()}
     up, down = references.REPLY, references.LIST
     assert got == {(1, down, 9, "missing"), (2, up, 1, "late"), (3, up, 8, "missing"), (4, up, 7, "deleted")}
-    counts = {(r.ref_field, r.ref_state): r.n for r in references.orphan_counts(references.orphan_references(twcs, gone)).collect()}
+    counts = {(r.ref_field, r.ref_state): r.n for r in references.orphan_counts(twcs, gone).collect()}
     assert counts[(up, "late")] == 1
     assert references.orphan_references(twcs.limit(0), gone.limit(0)).count() == 0
 

@@ -115,6 +115,15 @@ def test_numbers_of_a_large_group(spark):
     assert got == want and sorted(v for k, v in got.items() if k % 3) == list(range(200))
 
 
+def test_previous_rows_of_a_large_group(spark):
+    rnd = random.Random(2)
+    rows = [(i, "big" if i % 3 else f"g{i % 9}", dt.datetime(2020, 1, 1) + dt.timedelta(seconds=rnd.randrange(200) * 600)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, g string, made timestamp")
+    want = {r.id: r.b for r in order.previous(df, "g", "made", ["id"], "id", "b").collect()}
+    assert {r.id: r.b for r in order.previous(df, "g", "made", ["id"], "id", "b", limit=50).collect()} == want
+    assert list(want.values()).count(None) == 4
+
+
 def test_no_task_sorts_a_large_group(spark):
     """A group with a third of all rows: the largest window of the plan holds one instant."""
     df = spark.range(6000).select("id", F.when(F.col("id") < 2000, 0).otherwise(F.col("id")).alias("g"), (F.lit(dt.datetime(2020, 1, 1)) + F.make_dt_interval(secs=F.col("id") % 500)).alias("made"))

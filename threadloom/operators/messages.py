@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as X
 from threadloom.functions.keys import id_number, instant, tidy_label
 from threadloom.operators.forest import chains, hierarchy
-from threadloom.operators.order import numbered
+from threadloom.operators.order import LIMIT, numbered, previous
 from threadloom.session import checkpoint
 
 
@@ -97,8 +97,9 @@ def precedents(turns: DataFrame) -> DataFrame:
     )
 
 
-def repeat_contacts(once: DataFrame, days: float = 7.0) -> DataFrame:
+def repeat_contacts(once: DataFrame, days: float = 7.0, limit: int = LIMIT) -> DataFrame:
     """Customer messages with the days since the same author's last one, and whether that is within the window."""
-    gap = (F.unix_micros("made") - F.unix_micros(F.lag("made").over(Window.partitionBy("author").orderBy("made", "id")))) / F.lit(86_400_000_000.0)
-    asked = once.where("inbound and made is not null and author is not null").withColumn("gap_days", gap)
-    return asked.select("id", F.round("gap_days", 6).alias("gap_days"), F.coalesce(F.col("gap_days") <= days, F.lit(False)).alias("repeated"))
+    asked = once.where("inbound and made is not null and author is not null").select("id", "author", "made")
+    held = previous(asked, "author", "made", ["id"], "made", "before", limit)
+    gap = (F.unix_micros("made") - F.unix_micros("before")) / F.lit(86_400_000_000.0)
+    return held.select("id", F.round(gap, 6).alias("gap_days"), F.coalesce(gap <= days, F.lit(False)).alias("repeated"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from threadloom.session import checkpoint
+
 #: Rows that one window sorts at most, but for those of one group and instant.
 LIMIT = 100_000
 
@@ -33,3 +35,19 @@ def numbered(rows: DataFrame, sizes: DataFrame, key: str, time: str, ties: list[
     within = F.row_number().over(Window.partitionBy(key, time).orderBy(*ties)) - 1
     met = big.withColumn("_within", within).join(before, (F.col(key) == F.col("_k2")) & F.col(time).eqNullSafe(F.col("_t2")))
     return small.unionByName(met.select(*rows.columns, (F.col("_before") + F.col("_within")).cast("int").alias(name)))
+
+
+def previous(rows: DataFrame, key: str, time: str, ties: list[Column | str], column: str, name: str, limit: int = LIMIT) -> DataFrame:
+    """``rows`` with ``name``, the value of ``column`` in the row before it in its group; null in the first one.
+
+    Groups of up to ``limit`` rows are one window each; in larger ones a row finds the one
+    before it by its number.
+    """
+    order = [F.col(time).asc_nulls_first(), *ties]
+    sizes = checkpoint(rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > limit))
+    if sizes.isEmpty():
+        return rows.withColumn(name, F.lag(column).over(Window.partitionBy(key).orderBy(*order)))
+    small = rows.join(sizes.select(key), key, "left_anti").withColumn(name, F.lag(column).over(Window.partitionBy(key).orderBy(*order)))
+    big = checkpoint(numbered(rows.join(sizes.select(key), key, "left_semi"), sizes, key, time, ties, "_k", limit))
+    before = big.select(key, (F.col("_k") + 1).alias("_k"), F.col(column).alias(name))
+    return small.unionByName(big.join(before, [key, "_k"], "left").select(*rows.columns, name))

@@ -15,7 +15,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return references.orphan_counts(references.orphan_references(table(spark, sf_dir, "twcs"), table(spark, sf_dir, "tweet_deletions")))
+    return references.orphan_counts(table(spark, sf_dir, "twcs"), table(spark, sf_dir, "tweet_deletions"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,3 +57,14 @@ def shared_folder(df: DataFrame, name: str) -> str:
     """A new path in the folder that all executors share."""
     _set_folder(df)
     return f"{df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_checkpoints(spark: SparkSession) -> None:
+    """Delete this session's checkpoints and shared tables, once no DataFrame needs them.
+
+    A session with ``spark.cleaner.referenceTracking.cleanCheckpoints`` cleans checkpoints by itself.
+    """
+    held = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if held.isDefined():
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(held.get())
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
