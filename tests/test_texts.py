@@ -61,6 +61,9 @@ def test_branches_and_order(spark):
     assert {tuple(r.path) for r in paths.collect()} == {(1, 2, 3, 4, 5), (1, 6), (8,)}
     turns = M.threads(df)
     assert [r.id for r in turns.where("root = 1").orderBy("turn").collect()] == [1, 3, 4, 2, 5]
+    split = M.threads(df, 1)  # every thread as if it were a large one
+    assert sorted(map(tuple, split.collect()), key=str) == sorted(map(tuple, turns.collect()), key=str)
+    assert sorted(map(tuple, M.precedents(split).collect())) == sorted(map(tuple, M.precedents(turns).collect()))
     p = M.precedents(turns).collect()
     assert [(r.evidence_id, r.confirmed) for r in p] == [("t_2", True)]
     assert M.threads(df.limit(0)).count() == 0

@@ -109,27 +109,9 @@ def _steps(links: DataFrame, paths: bool) -> DataFrame:
     )
 
 
-def chains(links: DataFrame, leaves: DataFrame) -> DataFrame:
-    """``(root, id)``: every node from each of ``leaves(root, leaf)`` up to its root, one leaf per root.
-
-    Only short ways to the next splitter are ever arrays. The splitters above a leaf are
-    marked by steps of halving length, then the ways of the marked ones are expanded: the
-    work is that of the links, not of all paths. Leaves must not lead into loops.
-    """
-    arrived, _ = _walk(checkpoint(_steps(checkpoint(links), True)), True, True)
-    arrived = checkpoint(arrived.select("id", "cur", "d", "way"))
-    own = arrived.join(leaves.select("root", F.col("leaf").alias("id")), "id")
-    jump = arrived.where(is_splitter(F.col("id")) & (F.col("d") > 0)).select("id", "cur")
-    jumps, held, n = [], -1, jump.count()
-    while n and n != held:  # a round that ends no chain leaves only those of loops
-        jumps.append(jump)
-        jump = checkpoint(jump.join(jump.select(F.col("id").alias("cur"), F.col("cur").alias("c2")), "cur").select("id", F.col("c2").alias("cur")))
-        held, n = n, jump.count()
-    marked = own.select("root", F.col("cur").alias("id"))
-    for step in reversed(jumps):
-        marked = checkpoint(marked.unionByName(marked.join(step, "id").select("root", F.col("cur").alias("id"))).distinct())
-    passed = marked.join(arrived.select("id", "way"), "id").select("root", F.explode("way").alias("id"))
-    return own.select("root", F.explode("way").alias("id")).unionByName(passed).unionByName(leaves.select("root", F.col("root").alias("id"))).distinct()
+def trees(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``hierarchy`` without paths, and each node's short way to its next splitter or root, for ``chains``."""
+    return _solve(links, True, False)
 
 
 def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
@@ -139,10 +121,15 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     absent is a root of depth 0. Nodes in a loop or leading into one have depth -1, as
     root the least id of the loop, and as path themselves alone. Empty input: empty.
     """
+    return _solve(links, paths, paths)[0]
+
+
+def _solve(links: DataFrame, ways: bool, paths: bool) -> tuple[DataFrame, DataFrame]:
+    """Hierarchy and ways; only with ``paths`` are ways longer than to the next splitter."""
     links = checkpoint(links)
     empty = F.array().cast("array<bigint>")
-    one = checkpoint(_steps(links, paths))
-    arrived, lost = _walk(one, True, paths)
+    one = checkpoint(_steps(links, ways))
+    arrived, lost = _walk(one, True, ways)
     n_lost = not lost.isEmpty()
     cols = ["id", "cur", "d", "low"] + (["way"] if paths else [])
     # the reduced graph: splitters and roots
@@ -169,7 +156,30 @@ def hierarchy(links: DataFrame, paths: bool = False) -> DataFrame:
     )
     if n_lost:
         out = out.unionByName(tails.select("id", "root", F.lit(-1).alias("depth"), *([F.array("id").alias("path")] if paths else [])))
-    return out
+    return out, arrived
+
+
+def chains(arrived: DataFrame, leaves: DataFrame) -> DataFrame:
+    """``(root, id)``: every node from each of ``leaves(root, leaf)`` up to its root, one leaf per root.
+
+    ``arrived`` are the ways of ``trees``; only these short ones are ever arrays. The
+    splitters above a leaf are marked by steps of halving length, then the ways of the
+    marked ones are expanded: the work is that of the links, not of all paths. Leaves must
+    not lead into loops.
+    """
+    arrived = checkpoint(arrived.select("id", "cur", "d", "way"))
+    own = arrived.join(leaves.select("root", F.col("leaf").alias("id")), "id")
+    jump = arrived.where(is_splitter(F.col("id")) & (F.col("d") > 0)).select("id", "cur")
+    jumps, held, n = [], -1, jump.count()
+    while n and n != held:  # a round that ends no chain leaves only those of loops
+        jumps.append(jump)
+        jump = checkpoint(jump.join(jump.select(F.col("id").alias("cur"), F.col("cur").alias("c2")), "cur").select("id", F.col("c2").alias("cur")))
+        held, n = n, jump.count()
+    marked = own.select("root", F.col("cur").alias("id"))
+    for step in reversed(jumps):
+        marked = checkpoint(marked.unionByName(marked.join(step, "id").select("root", F.col("cur").alias("id"))).distinct())
+    passed = marked.join(arrived.select("id", "way"), "id").select("root", F.explode("way").alias("id"))
+    return own.select("root", F.explode("way").alias("id")).unionByName(passed).unionByName(leaves.select("root", F.col("root").alias("id"))).distinct()
 
 
 def descendants(with_paths: DataFrame) -> DataFrame:

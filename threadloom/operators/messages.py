@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions import text as X
 from threadloom.functions.keys import id_number, instant, tidy_label
-from threadloom.operators.forest import chains, hierarchy
+from threadloom.operators.forest import chains, hierarchy, trees
 from threadloom.operators.order import LIMIT, numbered, previous
 from threadloom.session import checkpoint
 
@@ -38,23 +38,29 @@ def branches(once: DataFrame) -> DataFrame:
     return tree.where("depth >= 0").join(parents, "id", "left_anti").select("root", F.col("id").alias("leaf"), (F.col("depth") + 1).alias("length"), "path")
 
 
-def best_leaves(once: DataFrame) -> DataFrame:
-    """``root, leaf, length, brand_last``: per root the leaf that ends with a brand, else the deepest, else the least. No paths are built."""
-    tree = hierarchy(once.select("id", F.col("up").alias("parent")))
+def best_leaves(once: DataFrame, tree: DataFrame) -> DataFrame:
+    """``root, leaf, length, brand_last``: per root of ``tree(id, root, depth)`` the leaf that ends with a brand, else the deepest, else the least. No paths are built."""
     parents = once.select(F.col("up").alias("id")).where("id is not null").distinct()
     ends = tree.where("depth >= 0").join(parents, "id", "left_anti").join(once.select("id", (~F.coalesce("inbound", F.lit(False))).cast("int").alias("brand_last")), "id")
     row = F.struct(F.col("id").alias("leaf"), (F.col("depth") + 1).alias("length"), "brand_last")
     return ends.groupBy("root").agg(F.max_by(row, F.struct("brand_last", "depth", -F.col("id"))).alias("b")).select("root", "b.*")
 
 
-def ordered_turns(best: DataFrame, once: DataFrame) -> DataFrame:
-    """``root, turn, id, author, inbound, made, text``: turns by time and id, runs of one author and instant by part number.
+def ordered_turns(best: DataFrame, ways: DataFrame, once: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """``root, turn, id, author, inbound, made, text, follow, last``: turns by time and id, runs of one author and instant by part number.
 
-    ``best(root, leaf, length)`` are the chosen branches. Threads whose first turn isn't a
-    customer's or that no brand takes part in are left out. Runs lie within one instant of
-    a thread, and so do their windows.
+    ``best(root, leaf, length)`` are the chosen branches, ``ways`` those of ``forest.trees``.
+    ``follow`` is the text of the next turn, ``last`` says that there is none. Threads
+    whose first turn isn't a customer's or that no brand takes part in are left out.
+
+    Runs lie within one instant of a thread, and so do their windows. As long as no thread
+    has more than ``limit`` turns, rows are dealt by thread once and every window finds them
+    in place; else none but the numbers of small threads relies on a window over a thread.
     """
-    turns = chains(once.select("id", F.col("up").alias("parent")), best).join(once.drop("up"), "id")
+    large = not best.where(F.col("length") > limit).isEmpty()
+    turns = chains(ways, best).join(once.drop("up"), "id")
+    if not large:
+        turns = turns.repartition("root")
     instant_ = Window.partitionBy("root", "made").orderBy("id")
     new = (~F.col("author").eqNullSafe(F.lag("author").over(instant_)) | F.lag("id").over(instant_).isNull()).cast("int")
     runs = turns.withColumn("new", new).withColumn("part", X.part(F.col("text")))
@@ -62,38 +68,42 @@ def ordered_turns(best: DataFrame, once: DataFrame) -> DataFrame:
     one = Window.partitionBy("root", "made", "run")
     marked = (F.count("*").over(one) > 1) & F.max("part").over(one).isNotNull()
     ranked = runs.withColumn("slot", F.when(marked, F.coalesce("part", F.lit(1_000_000))).otherwise(0))
-    out = checkpoint(numbered(ranked, best.select("root", F.col("length").alias("n")), "root", "made", ["run", "slot", "id"], "turn"))
-    kept = out.groupBy("root").agg(F.max(F.when((F.col("turn") == 0) & F.col("inbound"), 1)).alias("o"), F.max((~F.coalesce("inbound", F.lit(False))).cast("int")).alias("a")).where("o = 1 and a = 1").select("root")
-    return out.join(kept, "root", "left_semi").select("root", "turn", "id", "author", "inbound", "made", "text")
-
-
-def threads(messages: DataFrame) -> DataFrame:
+    opener, answered = F.max(F.when((F.col("turn") == 0) & F.col("inbound"), 1)), F.max((~F.coalesce("inbound", F.lit(False))).cast("int"))
+    names = ["root", "turn", "id", "author", "inbound", "made", "text", "follow", "last"]
+    if not large:
+        by = Window.partitionBy("root").orderBy(F.col("made").asc_nulls_first(), "run", "slot", "id")
+        out = ranked.withColumn("turn", F.row_number().over(by) - 1).withColumn("follow", F.lead("text").over(by)).withColumn("last", F.lead("id").over(by).isNull())
+        whole = Window.partitionBy("root")
+        return out.withColumn("o", opener.over(whole)).withColumn("a", answered.over(whole)).where("o = 1 and a = 1").select(names)
+    out = checkpoint(numbered(ranked, best.select("root", F.col("length").alias("n")), "root", "made", ["run", "slot", "id"], "turn", limit))
+    kept = out.groupBy("root").agg(opener.alias("o"), answered.alias("a")).where("o = 1 and a = 1").select("root")
+    nxt = out.select("root", (F.col("turn") - 1).alias("turn"), F.col("text").alias("follow"), F.lit(True).alias("more"))
+    return out.join(kept, "root", "left_semi").join(nxt, ["root", "turn"], "left").withColumn("last", F.col("more").isNull()).select(names)
+
+
+def threads(messages: DataFrame, limit: int = LIMIT) -> DataFrame:
     once = checkpoint(deliveries_once(messages))
-    return ordered_turns(checkpoint(best_leaves(once)), once)
-
-
-def _followed(turns: DataFrame) -> DataFrame:
-    """Turns with the text of the next one (``follow``), and whether there is none (``last``): by a join on the turn's number, so no window holds a thread."""
-    nxt = turns.select("root", (F.col("turn") - 1).alias("turn"), F.col("text").alias("follow"), F.lit(True).alias("more"))
-    return turns.join(nxt, ["root", "turn"], "left").withColumn("last", F.col("more").isNull()).drop("more")
+    tree, ways = trees(once.select("id", F.col("up").alias("parent")))
+    return ordered_turns(checkpoint(best_leaves(once, tree)), ways, once, limit)
 
 
 def resolutions(turns: DataFrame) -> DataFrame:
     """``root, brand, confirmed``: per thread its first brand turn with a step, and whether the next turn confirms it."""
-    t = _followed(turns).where(~F.coalesce("inbound", F.lit(False))).where(X.resolves(F.col("text")))
+    t = turns.where(~F.coalesce("inbound", F.lit(False))).where(X.resolves(F.col("text")))
     ok = t.withColumn("confirmed", ~F.col("last") & X.matches(F.col("follow"), X.CONFIRMATION))
     return ok.groupBy("root").agg(F.min_by(F.struct("author", "confirmed"), "turn").alias("r")).select("root", F.col("r.author").alias("brand"), "r.confirmed")
 
 
 def precedents(turns: DataFrame) -> DataFrame:
     """Per thread its first brand turn that resolves (with a follow-up: that is confirmed)."""
-    follow = _followed(turns)
     follow_up = F.when(~F.col("last"), X.text(F.col("follow")))
-    ok = follow.where(~F.coalesce("inbound", F.lit(False))).where(X.resolves(F.col("text"), follow_up))
-    first = ok.groupBy("root").agg(F.min_by(F.struct("id", "author", "text", (~F.col("last")).alias("confirmed")), "turn").alias("p"))
-    asked = turns.where("turn = 0").select("root", X.normalise(F.col("text")).alias("customer_text"))
-    return first.join(asked, "root").select(
-        F.concat(F.lit("t_"), F.col("p.id").cast("string")).alias("evidence_id"), F.col("root").cast("string").alias("conversation_id"), "customer_text", X.normalise(F.col("p.text")).alias("brand_reply"), F.col("p.author").alias("brand"), "p.confirmed"
+    ok = ~F.coalesce("inbound", F.lit(False)) & X.resolves(F.col("text"), follow_up)
+    # only openers and resolving turns meet the aggregate
+    some = turns.withColumn("ok", F.coalesce(ok, F.lit(False))).where("ok or turn = 0")
+    first = F.min_by(F.struct("id", "author", "text", (~F.col("last")).alias("confirmed")), F.when(F.col("ok"), F.col("turn"))).alias("p")
+    per = some.groupBy("root").agg(first, F.max(F.when(F.col("turn") == 0, X.text(F.col("text")))).alias("asked")).where("p is not null")
+    return per.select(
+        F.concat(F.lit("t_"), F.col("p.id").cast("string")).alias("evidence_id"), F.col("root").cast("string").alias("conversation_id"), X.normalise(F.col("asked")).alias("customer_text"), X.normalise(F.col("p.text")).alias("brand_reply"), F.col("p.author").alias("brand"), "p.confirmed"
     )
 
 

@@ -228,7 +228,7 @@ def intent_threads(spark, sf_dir):
 def index_summary(spark, sf_dir):
     """Threads, those held out, brand replies in the pool, precedents, their share, and how many of their replies are copies."""
     t = table(spark, sf_dir, "twcs")
-    turns = checkpoint(M.threads(t).select("root", "turn", "id", "author", "inbound", "text"))
+    turns = checkpoint(M.threads(t).select("root", "turn", "id", "author", "inbound", "text", "follow", "last"))
     held = table(spark, sf_dir, "decision_record").where(tidy_label(F.col("stratum")).isNotNull()).select(id_number(F.col("conversation_id")).alias("root")).where("root is not null").distinct()
     pool = turns.join(held, "root", "left_anti")
     whole = turns.agg(F.count_distinct("root").alias("threads"))

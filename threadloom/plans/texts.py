@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import text as X
 from threadloom.functions.keys import instant
 from threadloom.operators import messages as M
+from threadloom.operators.forest import hierarchy
 from threadloom.plans.general import _ID, _MADE
 from threadloom.session import checkpoint, table
 
@@ -156,7 +157,8 @@ def thread_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def best_branch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.best_leaves(checkpoint(M.deliveries_once(table(spark, sf_dir, "twcs")))).select("root", "leaf", "length", "brand_last")
+    once = checkpoint(M.deliveries_once(table(spark, sf_dir, "twcs")))
+    return M.best_leaves(once, hierarchy(once.select("id", F.col("up").alias("parent")))).select("root", "leaf", "length", "brand_last")
 
 
 def turn_order_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
