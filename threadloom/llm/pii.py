@@ -567,10 +567,9 @@ def _chains(u: np.ndarray, step: np.ndarray, mask: np.ndarray) -> tuple[np.ndarr
     return node, pair
 
 
-def beliefs(f: Field, b: Batch, allowed: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def beliefs(f: Field, b: Batch, allowed: np.ndarray, rounds: int = ROUNDS, local: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Node, pair and skip-edge marginals by loopy message passing; messages are damped once they are slow to settle."""
-    u = f.weights[b.feats].sum(2)
-    u = np.where(allowed, u, -1e4)
+    u = np.where(allowed, f.weights[b.feats].sum(2) if local is None else local, -1e4)
     e = b.edges
     there, back = np.zeros((len(e), LABELS)), np.zeros((len(e), LABELS))
     agree = np.zeros((len(f.skip), LABELS, LABELS))
@@ -657,13 +656,14 @@ def fit(texts: list[str], epochs: int = 8, rate: float = 0.15, ridge: float = 1e
         for b in batches:
             if not b.n:
                 continue
-            held, free = beliefs(f, b, b.clamped & b.allowed), beliefs(f, b, b.allowed)
+            local = f.weights[b.feats].sum(2)
+            held, free = (beliefs(f, b, x, local=local) for x in (b.clamped & b.allowed, b.allowed))
             gap = (np.exp(held[0]) - np.exp(free[0])) * b.mask[:, :, None]
-            g = np.zeros_like(f.weights)
             flat = b.feats.reshape(-1, b.feats.shape[2])
             rows = gap.reshape(-1, LABELS)
             live = np.abs(rows).max(1) > 1e-4
-            np.add.at(g, flat[live].ravel(), np.repeat(rows[live], flat.shape[1], axis=0))
+            at = flat[live].ravel()
+            g = np.stack([np.bincount(at, np.repeat(rows[live, k], flat.shape[1]), BUCKETS + 1) for k in range(LABELS)], 1).astype(np.float32)
             inside = b.mask[:, 1:, None, None]
             gs = ((np.exp(held[1]) - np.exp(free[1])) * inside).sum((0, 1))
             gk = np.zeros_like(f.skip)
