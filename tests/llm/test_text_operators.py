@@ -191,6 +191,16 @@ def test_near_duplicates_equal_brute_force(spark, hot, monkeypatch):
     assert got == want and len(want) > 30
 
 
+def test_portions_cover_all_rows(monkeypatch):
+    monkeypatch.setattr(neardup, "BATCH", 10)
+    rng = np.random.default_rng(3)
+    for n in ([], [25], [3, 4], rng.integers(1, 30, 40).tolist(), [10, 10, 10]):
+        n = np.array(n, np.int64)
+        parts = list(neardup._portions(n)) if len(n) else []
+        assert [i for r, _ in parts for i in range(r.start, r.stop)] == list(range(len(n)))
+        assert all(w.stop - w.start == n[r].sum() for r, w in parts) and [w.start for _, w in parts[1:]] == [w.stop for _, w in parts[:-1]]
+
+
 def test_groups_and_empty(spark):
     t = "one two three four five six seven eight nine ten"
     df = spark.createDataFrame([("a", t), ("b", t), ("c", t + " eleven"), ("d", "short text")], "k string, t string")
