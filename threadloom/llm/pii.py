@@ -27,6 +27,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,13 +129,12 @@ _WS = r"[\s  -   　]"
 _UP, _LET = r"[A-ZÀ-Þ]", r"[A-Za-zÀ-ɏ\p{L}\p{Nl}\p{No}]"
 #: That the letter before begins a word; tested after the letter, which few positions have. Versions of Java differ on what \b is beside other letters than a to z.
 _FIRST = r"(?<![\p{L}\p{N}_].)"
-#: That no common word begins here; a pair of words with one is never a name.
-_NO_PLAIN = rf"(?!(?i:{'|'.join(sorted(_PLAIN))})(?!{_LET}|['’]{_LET}))"
-#: The same for the word that began one letter ago.
-_PLAIN_BEFORE = "(?!" + "|".join(f"(?<=[{c.upper()}{c}])(?:{'|'.join(sorted(w[1:] for w in _PLAIN if w[0] == c and len(w) > 1))})(?!{_LET}|['’]{_LET})" for c in sorted({w[0] for w in _PLAIN if len(w) > 1})) + ")"
+_PLAIN_ENDS = {c: sorted(w[1:] for w in _PLAIN if w[0] == c and len(w) > 1) for c in sorted({w[0] for w in _PLAIN if len(w) > 1})}
+#: A capital that begins no common word; a pair of words with one is never a name. By its first letter, so that few words are tried.
+_UP_NAME = rf"(?=[A-ZÀ-Þ])(?:{'|'.join(f"{c.upper()}(?!(?:{'|'.join(x)})(?!{_LET}|['’]{_LET}))" for c, x in _PLAIN_ENDS.items())}|[{''.join(c for c in 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' if c.lower() not in _PLAIN_ENDS)}À-Þ])"
 #: Cheap tests in Java's syntax; a text with a possible span passes one of them.
 _SIGNS = (
-    rf"{_UP}{_FIRST}{_PLAIN_BEFORE}{_LET}+(?:[-'’]{_LET}+)*{_WS}(?:{_UP}\.?{_WS})?(?:(?:van|von|de|der|den|di|da|la|le|bin|al|VAN|VON|DE){_WS})*{_NO_PLAIN}{_UP}{_LET}",
+    rf"{_UP_NAME}{_FIRST}{_LET}+(?:[-'’]{_LET}+)*{_WS}(?:{_UP}\.?{_WS})?(?:(?:van|von|de|der|den|di|da|la|le|bin|al|VAN|VON|DE){_WS})*{_UP_NAME}{_LET}",
     rf"\b{_UP}\.{_WS}?(?:(?:van|von|de|der|den|di|da|la|le|bin|al|VAN|VON|DE){_WS})*{_UP}",
     rf"{_UP}{_FIRST}(?<!, .)(?<!and .){_LET}+(?:[-'’]{_LET}+)*,[ ]{_UP}{_LET}+(?:[-'’]{_LET}+)*(?:{_WS}{_UP}\.)?(?![\w\p{{L}}\p{{N}}]|,|{_WS}(?:and|or|plus|but|in{_WS}{_UP}|stay|remain|run|\d))",
 )
@@ -779,24 +779,34 @@ def load(spark: SparkSession, path: str) -> Field:
     return Field(weights.reshape(BUCKETS + 1, LABELS).copy(), step.reshape(LABELS, LABELS).copy(), skip.reshape(-1, LABELS).copy(), frozenset(r["given"]))
 
 
-def _tag(source: DataFrame, model: Field, redacted: bool) -> DataFrame:
+def _tag(source: DataFrame, model: Field) -> DataFrame:
+    """``field_name, record_id, pii_type`` of each text, its types once."""
     shared = source.sparkSession.sparkContext.broadcast(model)  # of fixed size: buckets x labels, and a bounded list of names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for b in batches:
             names, ids, texts = (c.to_pylist() for c in b.columns)
-            found = tagger(texts)
-            if redacted:
-                done = pa.array([redact(t, f) for t, f in zip(texts, found, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), done], ["field_name", "record_id", "text"])
-            else:
-                rows = [(n, i, TYPES[t - 1]) for n, i, f in zip(names, ids, found, strict=True) for t in sorted({x[2] for x in f})]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["field_name", "record_id", "pii_type"])
+            rows = [(n, i, TYPES[t - 1]) for n, i, f in zip(names, ids, tagger(texts), strict=True) for t in sorted({x[2] for x in f})]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*rows, strict=True)], ["field_name", "record_id", "pii_type"])
+
+    return source.mapInArrow(run, "field_name string, record_id string, pii_type string")
+
+
+def _mask(source: DataFrame, model: Field) -> DataFrame:
+    """``source`` without its last column ``asked``, which marks the texts that may hold something; the others pass as they are."""
+    shared = source.sparkSession.sparkContext.broadcast(model)  # as above
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(shared.value)
+        for b in batches:
+            asked = b.column(3)
+            texts = b.column(2).filter(asked).to_pylist()
+            done = pa.array([redact(t, f) for t, f in zip(texts, tagger(texts), strict=True)], b.column(2).type)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.replace_with_mask(b.column(2), asked, done)], ["field_name", "record_id", "text"])
 
-    last = "text" if redacted else "pii_type"
-    return source.mapInArrow(run, f"field_name string, record_id string, {last} string")
+    return source.mapInArrow(run, "field_name string, record_id string, text string")
 
 
 def find(texts: DataFrame, model: Field | None = None) -> DataFrame:
@@ -807,12 +817,10 @@ def find(texts: DataFrame, model: Field | None = None) -> DataFrame:
     """
     model = model or learn(texts)
     held = texts.select("field_name", "record_id", "text").where(F.col("record_id").isNotNull() & possible(F.col("text"), model.given))
-    return _tag(spread(held), model, False).distinct()
+    return _tag(spread(held), model).distinct()
 
 
 def redact_texts(texts: DataFrame, model: Field | None = None) -> DataFrame:
     """Every row of ``texts`` with its personal data replaced by placeholders; all else is unchanged."""
     model = model or learn(texts)
-    rows = texts.select("field_name", "record_id", "text")
-    test = possible(F.col("text"), model.given)
-    return _tag(spread(rows.where(test)), model, True).unionByName(rows.where(~test))
+    return _mask(spread(texts.select("field_name", "record_id", "text", possible(F.col("text"), model.given).alias("asked"))), model)
