@@ -29,6 +29,13 @@ def test_lines(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
 
 
+def test_vectors_are_kept(spark, tmp_path):
+    df = spark.createDataFrame([(1, [0.5, -1.25]), (2, []), (3, None)], "id bigint, v array<float>")
+    files.write_table(df, str(tmp_path / "v"))
+    back = spark.read.parquet(str(tmp_path / "v"))
+    assert dict(back.dtypes)["v"] == "array<float>" and sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
+
+
 def test_cache_file(spark, tmp_path):
     p = str(tmp_path / "c")
     for i, (k, r) in enumerate([("k", "a"), ("k", "b"), ("m", "c")]):
