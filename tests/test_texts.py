@@ -126,6 +126,23 @@ def test_bm25_lists_equal_brute_force(spark, monkeypatch, frequent):
     assert {(r.q, r.id, r.score, r["rank"]) for r in got} == want
 
 
+def test_bm25_pairs_are_no_rows(spark, monkeypatch):
+    """No checkpoint holds more rows than queries have terms or results, though every query meets nearly every document; slices and blocks change nothing."""
+    rnd, seen = random.Random(5), []
+    held = R.checkpoint
+    monkeypatch.setattr(R, "checkpoint", lambda df: (lambda x: (seen.append(x.count()), x)[1])(held(df)))
+    texts = [(f"t_{i:03}", " ".join(f"w{rnd.randrange(30)}" for _ in range(12))) for i in range(300)]
+    texts += [(f"u_{i}", texts[i][1]) for i in range(20)] + [(None, "w1 w2 w3"), ("v_0", None), ("v_1", "...")]
+    table = spark.createDataFrame(texts, "id string, t string")
+    asks = table.where("id like '%0'").select(F.col("id").alias("q"), F.col("t").alias("qt"))
+    whole = R.bm25_topk(table, "id", "t", asks, "q", "qt", 10)
+    lists = {(r.q, r.id, r.score, r["rank"]) for r in whole.collect()}
+    assert len(lists) == 32 * 10 and max(seen) <= 32 * 12  # 32 queries with a text
+    cut = R.bm25_topk(table, "id", "t", asks, "q", "qt", 10, block=7, slice_=40)
+    assert {(r.q, r.id, r.score, r["rank"]) for r in cut.collect()} == lists
+    assert not R.bm25_topk(table.limit(0), "id", "t", asks, "q", "qt", 10).count() and not R.bm25_topk(table, "id", "t", asks.limit(0), "q", "qt", 10).count()
+
+
 def test_hash_sample_is_monotone(spark):
     df = spark.range(2000).withColumnRenamed("id", "k")
     five, ten = ({r.k for r in H.hash_sample(df, "k", p).collect()} for p in (5.0, 10.0))
