@@ -191,6 +191,19 @@ def test_near_duplicates_equal_brute_force(spark, hot, monkeypatch):
     assert got == want and len(want) > 30
 
 
+@pytest.mark.parametrize("hot", [2, neardup.HOT])
+def test_near_duplicates_of_few_common_words(spark, hot, monkeypatch):
+    """Classes that have no word in common beyond a frequent n-gram are compared too."""
+    monkeypatch.setattr(neardup.candidates, "__defaults__", (wordsets.SHARE, hot, neardup.LONGEST))
+    rnd = random.Random(hot)
+    texts = [f"a b c d e x{i}" for i in range(80)] + [f"f g h i j k l y{i} z{i}" for i in range(70)] + [f"f g h i j k l y{i}" for i in range(70, 75)] + ["f g h i j k l"]
+    texts += sorted({" ".join(sorted(rnd.sample([f"w{i}" for i in range(11)], rnd.randrange(5, 10)))) for _ in range(90)})
+    df = spark.createDataFrame([(f"t_{i:03d}", t) for i, t in enumerate(texts)], "k string, t string")
+    got = {(r.a, r.b) for r in neardup.pairs_of(*neardup.near_duplicates(df, "k", "t")).collect()}
+    want = {(f"t_{i:03d}", f"t_{j:03d}") for i, s in enumerate(texts) for j, t in enumerate(texts) if i < j and near(s, t)}
+    assert len(got) == len(want) and got == want and len(want) > 80 * 79 // 2
+
+
 def test_portions_cover_all_rows(monkeypatch):
     monkeypatch.setattr(neardup, "BATCH", 10)
     rng = np.random.default_rng(3)

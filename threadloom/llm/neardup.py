@@ -6,8 +6,10 @@ words share their first k common words within prefixes that are k - 1 words long
 the plain ones, so classes are joined on prefix n-grams: on single words where these are
 rare, on word pairs that begin with a frequent word otherwise; words of one class only
 join nothing. An n-gram that more than ``HOT`` classes have is extended by one more word,
-and so on up to ``LONGEST``. Length, positional and suffix filters act inside the join;
-the pairs left are made distinct and verified once on their whole word sets.
+and so on up to ``LONGEST``. Small classes may have no further word in common: those that
+an n-gram alone makes near-same are joined on it and their sizes, however many they are.
+Length, positional and suffix filters act inside the join; the pairs left are made
+distinct and verified once on their whole word sets.
 
 Rows of the join are five numbers: the n-gram, the class, where the n-gram ends (with
 its size and the class's), and how many words behind it lie in each of eight parts of
@@ -107,7 +109,7 @@ def first_grams(places: Places, rep: np.ndarray, share: float, frequent: int) ->
     n, level_, row = places.n, places.flat >> 56, places.row
     spare = n - _needed(n, share)  # the first common word is at this place at the latest
     opens = (places.pos <= spare[row]) & (level_ > 0)
-    one = np.flatnonzero(opens & (level_ <= frequent))
+    one = np.flatnonzero(opens & ((level_ <= frequent) | (_needed(n, share)[row] <= 1)))
     yield [places.flat[one], rep[row[one]], _info(1, n[row[one]], places.pos[one]), *places.behind(one)]
     two = np.flatnonzero(opens & (level_ > frequent))
     count = np.minimum(n - 1, spare + 1)[row[two]] - places.pos[two]
@@ -171,7 +173,7 @@ def candidates(named: DataFrame, share: float = SHARE, hot: int = HOT, longest:
                     own = part[own]
                     yield _batch([_mix(key[own], places.flat[at]), rep[own], _info(size[own] + 1, n[own], places.pos[at]), *places.behind(at)], ["key", "rep", "info", "s0", "s1"])
 
-    grams, tables, found = spread(hashed).mapInArrow(begin, GRAM), [], None
+    grams, tables, found, ended = spread(hashed).mapInArrow(begin, GRAM), [], None, None
     for size in range(2, longest + 1):
         often = grams.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
         tables.append(stored(grams.join(often, "key"), "grams"))
@@ -181,12 +183,31 @@ def candidates(named: DataFrame, share: float = SHARE, hot: int = HOT, longest:
         more = grams.where(F.col("c") > hot)
         if size == longest or more.isEmpty():
             break
+        enough = _enough(more, share)
+        ended = enough if ended is None else ended.unionByName(enough)
         grams = spread(more.select("key", "rep", "info").join(hashed, "rep").select("key", "rep", "info", "hashes")).mapInArrow(extend, GRAM)
+    if ended is not None:
+        found = found.unionByName(_alike(checkpoint(ended), share))
     found = checkpoint(found.distinct())
     dropped(spark, *tables)
     return found
 
 
+def _enough(grams: DataFrame, share: float) -> DataFrame:
+    """Classes that an n-gram alone may make near-same to another: ``(key, rep, size, n)``."""
+    size, n = F.col("info").bitwiseAND(F.lit(255)), F.shiftright("info", 8).bitwiseAND(F.lit((1 << 28) - 1))
+    return grams.select("key", "rep", size.alias("size"), n.alias("n")).where(near(F.col("size"), F.col("n"), F.col("size"), share))  # no class has fewer words than the n-gram
+
+
+def _alike(side: DataFrame, share: float) -> DataFrame:
+    """Pairs of classes with a common n-gram that makes them near-same, joined on it and on each size that is near enough: no others meet."""
+    num, den = _ratio(share)
+    most = F.floor(F.col("size") * (num + den) / num).cast("bigint") - F.col("n")  # words that the larger class has at most
+    a = side.where(most >= F.col("n")).select("key", F.col("rep").alias("rep_a"), F.col("n").alias("n_a"), F.explode(F.sequence(F.col("n"), most)).alias("n"))
+    met = a.join(side.select("key", F.col("rep").alias("rep_b"), "n"), ["key", "n"]).where((F.col("n_a") < F.col("n")) | (F.col("rep_a") < F.col("rep_b")))
+    return met.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+
+
 def _met(grams: DataFrame, share: float) -> DataFrame:
     """Pairs of classes with a common n-gram, after the length, positional and suffix filters."""
     n, last = F.shiftright("info", 8).bitwiseAND(F.lit((1 << 28) - 1)), F.shiftright("info", 36)
